@@ -698,8 +698,8 @@ BODIES = {
         CASE WHEN s.subtotal IS NULL THEN i.total ELSE s.subtotal + s.subtotal * 8 / 100 END AS total
         FROM inv i LEFT JOIN (SELECT invoiceId, {dsum('total')} AS subtotal FROM item WHERE lineNo <= 2 GROUP BY 1) s
         ON s.invoiceId = i.id""",
-    "replace_children_items": """SELECT invoiceId, productId, lineNo, quantity, unitPrice, total
-        FROM item x WHERE (lineNo <= 2 AND EXISTS (SELECT 1 FROM inv WHERE inv.id = x.invoiceId))
+    "replace_children_items": """SELECT invoiceId, productId, lineNo, quantity, unitPrice,
+        CASE WHEN lineNo <= 2 THEN quantity * unitPrice ELSE total END AS total FROM item x WHERE (lineNo <= 2 AND EXISTS (SELECT 1 FROM inv WHERE inv.id = x.invoiceId))
         OR NOT EXISTS (SELECT 1 FROM item y JOIN inv ON inv.id = y.invoiceId
             WHERE y.invoiceId = x.invoiceId AND y.lineNo <= 2)""",
     "guarded_delete_products": guarded("prod", "SELECT count(*) FROM led WHERE productId = x.id"),

@@ -26,6 +26,11 @@ def exact_total(amount: Column) -> Column:
     return F.sum(amount.cast("decimal(34,4)")).cast("double")
 
 
+def exact_multiple(amount: Column, factor: Column) -> Column:
+    """Amount times a whole number, free of binary rounding in between."""
+    return (amount.cast("decimal(28,4)") * factor).cast("double")
+
+
 def exact_avg(amount: Column) -> Column:
     return exact_sum(amount) / F.count(amount)
 

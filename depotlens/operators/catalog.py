@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from depotlens.functions.columns import any_of, like_ascii, line_value, stock_status, where_equal
 from depotlens.functions.dates import in_days
-from depotlens.functions.numbers import exact_sum, exact_total, percent, zero_if_null
+from depotlens.functions.numbers import exact_multiple, exact_sum, exact_total, percent, zero_if_null
 from depotlens.operators.reports import warehouse_activity
 from depotlens.plans.fanout import repeats, with_child_count
 from depotlens.plans.lookups import lookup
@@ -111,7 +111,7 @@ def warehouse_list(tables: Tables, id: int | None = None, mode: str = "reference
     value = value.withColumnsRenamed({"productCount": "totalProducts", "inventoryValue": "totalInventoryValue"})
     joined = counted.join(value, F.col("id") == F.col("_group"), "left").drop("_group")
     joined = joined.fillna(0, subset=["totalProducts", "totalInventoryValue"])
-    total = F.col("totalInventoryValue") * repeats(mode, "totalLocations")
+    total = exact_multiple(F.col("totalInventoryValue"), repeats(mode, "totalLocations"))
     return joined.withColumn("totalInventoryValue", total).orderBy("name", "id")
 
 

@@ -15,7 +15,7 @@ from depotlens.functions.columns import (
     where_equal,
 )
 from depotlens.functions.dates import in_days, in_days_if_both, last_days, period_label
-from depotlens.functions.numbers import exact_avg, exact_sum, exact_total, percent, ratio, zero_if_null
+from depotlens.functions.numbers import exact_avg, exact_multiple, exact_sum, exact_total, percent, ratio, zero_if_null
 from depotlens.plans.fanout import repeats, with_child_count
 from depotlens.plans.lookups import lookup
 from depotlens.plans.stock import Tables, movements, with_home_stock
@@ -336,12 +336,14 @@ def warehouse_activity(tables: Tables, ledger: DataFrame, mode: str) -> DataFram
         zero_if_null(exact_sum(of_type("inbound", line_value()))).alias("inValue"),
         zero_if_null(exact_sum(of_type("outbound", line_value()))).alias("outValue"),
     )
-    measures = [c for c in booked.columns if c != "_booked"]
+    counts, sums = ["inCount", "outCount", "transferCount"], ["inQuantity", "outQuantity", "inValue", "outValue"]
     parents = with_child_count(tables["warehouses"], tables["products"], "warehouseId", "totalProducts")
     parents = with_child_count(parents, tables["locations"], "warehouseId", "totalLocations")
-    joined = parents.join(booked, F.col("id") == F.col("_booked"), "left").fillna(0, subset=measures)
+    joined = parents.join(booked, F.col("id") == F.col("_booked"), "left").fillna(0, subset=counts + sums)
     factor = repeats(mode, "totalProducts", "totalLocations")
-    return joined.withColumns({m: F.col(m) * factor for m in measures})
+    return joined.withColumns(
+        {c: F.col(c) * factor for c in counts} | {s: exact_multiple(F.col(s), factor) for s in sums}
+    )
 
 
 def _warehouse_head() -> list[Column]:
