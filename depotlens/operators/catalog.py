@@ -12,7 +12,7 @@ from depotlens.functions.dates import in_days
 from depotlens.functions.numbers import exact_multiple, exact_sum, exact_total, percent, zero_if_null
 from depotlens.operators.reports import warehouse_activity
 from depotlens.plans.fanout import repeats, with_child_count
-from depotlens.plans.lookups import lookup
+from depotlens.plans.lookups import lookup, only_keys_of
 from depotlens.plans.stock import Tables, on_hand_by_key, with_home_stock
 
 
@@ -39,10 +39,20 @@ def product_stock(tables: Tables, id: int | None = None) -> DataFrame:
     products = where_equal(tables["products"], id=id).select(
         "id", "name", "sku", F.col("warehouseId").alias("_home"), F.col("locationId").alias("_place")
     )
-    products = lookup(products, tables["warehouses"], "_home", warehouseId="id", warehouseName="name")
-    products = lookup(products, tables["locations"], "_place", locationId="id", locationName="name")
-    return with_home_stock(
-        products.drop("_home", "_place"), tables["transactions"], ("totalIn", "totalOut", "onHand")
+    columns = ("totalIn", "totalOut", "onHand")
+    stock = with_home_stock(products, tables["transactions"], columns, "_home")
+    stock = lookup(stock, tables["warehouses"], "_home", warehouseId="id", warehouseName="name")
+    stock = lookup(stock, tables["locations"], "_place", locationId="id", locationName="name")
+    known = F.col("warehouseId").isNotNull()
+    return stock.select(
+        "id",
+        "name",
+        "sku",
+        "warehouseId",
+        "warehouseName",
+        "locationId",
+        "locationName",
+        *[F.when(known, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in columns],
     )
 
 
@@ -82,9 +92,13 @@ def location_products(tables: Tables, id: int | None = None) -> DataFrame:
     return lookup(stock, tables["uoms"], "uomId", uomName="name").orderBy("name", "id")
 
 
-def _catalog_value(priced: DataFrame, ledger: DataFrame, group: str, warehouse: str) -> DataFrame:
+def _catalog_value(
+    priced: DataFrame, ledger: DataFrame, group: str, warehouse: str, bounded_by: DataFrame | None = None
+) -> DataFrame:
     """Per group: number of products and their stock in ``warehouse`` at catalog price."""
-    stock = on_hand_by_key(ledger).select(
+    held = priced.select(F.col("_id").alias("productId"), F.col(warehouse).alias("warehouseId"))
+    at_place = only_keys_of(ledger, held, ["productId", "warehouseId"], bounded_by)
+    stock = on_hand_by_key(at_place).select(
         F.col("productId").alias("_product"), F.col("warehouseId").alias("_warehouse"), "onHand"
     )
     met = (F.col("_id") == F.col("_product")) & (F.col(warehouse) == F.col("_warehouse"))
@@ -139,12 +153,10 @@ def warehouse_stats(tables: Tables, id: int | None = None, mode: str = "referenc
 def _valued_locations(tables: Tables, locations: DataFrame) -> DataFrame:
     """Locations with product count and value of those products in the location's warehouse."""
     places = locations.select(F.col("id").alias("_place"), F.col("warehouseId").alias("_at"))
-    priced = (
-        tables["products"]
-        .select(F.col("id").alias("_id"), "locationId", "unitPrice")
-        .join(places, F.col("locationId") == F.col("_place"))
-    )
-    value = _catalog_value(priced, tables["transactions"], "_place", "_at")
+    products = tables["products"].select(F.col("id").alias("_id"), "locationId", "unitPrice")
+    # A product is at one location at most, so no more rows come out than products.
+    priced = products.join(places, F.col("locationId") == F.col("_place"))
+    value = _catalog_value(priced, tables["transactions"], "_place", "_at", products)
     joined = locations.join(value, F.col("id") == F.col("_group"), "left").drop("_group")
     return joined.fillna(0, subset=["productCount", "inventoryValue"])
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.columns import signed_quantity
 from depotlens.functions.numbers import UNITS, to_units
 from depotlens.plans.durable import materialize
+from depotlens.plans.lookups import only_keys_of
 
 CHECKED_TYPES = ("outbound", "transfer")
 KEY = ["productId", "warehouseId"]
@@ -40,7 +41,7 @@ def _net(events: Column, start: Column) -> Column:
     return F.aggregate(events, start, _after) - start
 
 
-def _chunks(requests: DataFrame, ledger: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
+def _chunks(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
     """One row per chunk: its key and place, the stock before the batch, its ordered events."""
     # Ranges over key and order cut a hot key into several partitions, in order.
     placed = requests.repartitionByRange(*KEY, *order_by).withColumn("_part", F.spark_partition_id())
@@ -58,10 +59,15 @@ def _chunks(requests: DataFrame, ledger: DataFrame, order_by: Sequence[str], row
         .groupBy(*CHUNK)
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
     )
-    stock = ledger.groupBy(*KEY).agg(F.sum(to_units(signed_quantity())).alias("stock"))
     return chunks.join(stock, KEY, "left").fillna(0, subset=["stock"])
 
 
+def opening_stock(ledger: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stock before the batch (in units) per key; only of the wanted keys if they are few."""
+    wanted = only_keys_of(ledger, keys.select(*KEY).distinct(), KEY)
+    return wanted.groupBy(*KEY).agg(F.sum(to_units(signed_quantity())).alias("stock"))
+
+
 def _starts(state: DataFrame) -> DataFrame:
     before = Window.partitionBy(*KEY).orderBy("_part", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     return state.withColumn("next", F.col("stock") + F.coalesce(F.sum("net").over(before), F.lit(0)))
@@ -100,7 +106,11 @@ def decide(
     ``order_by`` must order the requests of a key without ties. Types other than outbound
     and transfer are always accepted and move the stock.
     """
-    chunks = materialize(_chunks(requests, ledger, order_by, rows_per_chunk), "posting-chunks")
+    return _decide(requests, opening_stock(ledger, requests), order_by, rows_per_chunk)
+
+
+def _decide(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
+    chunks = materialize(_chunks(requests, stock, order_by, rows_per_chunk), "posting-chunks")
     starts = _settle(chunks)
     if starts is None:
         started = chunks.withColumn("start", F.col("stock"))
@@ -165,30 +175,38 @@ def expand_transfers(
 ) -> tuple[DataFrame, DataFrame]:
     """(both legs of every covered transfer, rejected requests with ``available``).
 
-    A transfer also feeds later ones out of its target. Decisions are therefore repeated
-    with the inbound legs of the transfers accepted so far until they stay the same; in
-    order of time at least one more of them is right after every round.
+    A transfer also feeds later ones out of its target, so the first decisions, made as if
+    every transfer arrived, may be wrong. Those fed by a transfer whose decision has changed
+    are made again until none changes any more; in order of time at least one more decision
+    is right after every round.
     """
-    legs = transfer_legs(requests)
-    incoming = legs.filter(F.col("type") == "inbound")
-    guess: DataFrame | None = None
-    while True:
-        fed = incoming if guess is None else incoming.join(guess.filter("accepted").select("id"), "id", "left_semi")
-        round_legs = legs.filter(F.col("type") == "outbound").unionByName(fed)
-        decided = decide(round_legs, ledger, ("transactionDate", "id", "leg"), rows_per_chunk)
+    # Every round reads the legs several times.
+    legs = materialize(transfer_legs(requests), "transfer-legs")
+    leaving, arriving = legs.filter(F.col("type") == "outbound"), legs.filter(F.col("type") == "inbound")
+    stock = materialize(opening_stock(ledger, legs), "transfer-stock")
+
+    def decisions(posted: DataFrame) -> DataFrame:
+        decided = _decide(posted, stock, ("transactionDate", "id", "leg"), rows_per_chunk)
+        return decided.filter(F.col("type") == "outbound").select("id", "accepted", "available")
+
+    verdicts = materialize(decisions(legs).withColumn("changed", ~F.col("accepted")), "transfer-verdicts")
+    while not verdicts.filter("changed").isEmpty():
+        fed = arriving.join(verdicts.filter("changed").select("id"), "id", "left_semi").select(*KEY).distinct()
+        arrived = arriving.join(verdicts.filter("accepted").select("id"), "id", "left_semi")
+        again = decisions(leaving.unionByName(arrived).join(fed, KEY, "left_semi")).select(
+            "id", F.col("accepted").alias("_accepted"), F.col("available").alias("_available")
+        )
         verdicts = materialize(
-            decided.filter(F.col("type") == "outbound").select("id", "accepted", "available"), "transfer-verdicts"
+            verdicts.join(again, "id", "left").select(
+                "id",
+                F.coalesce("_accepted", "accepted").alias("accepted"),
+                F.coalesce("_available", "available").alias("available"),
+                F.coalesce(F.col("_accepted") != F.col("accepted"), F.lit(False)).alias("changed"),
+            ),
+            "transfer-verdicts",
         )
-        if guess is None:
-            changed = verdicts.filter("NOT accepted")
-        else:
-            before = guess.select(F.col("id").alias("_id"), F.col("accepted").alias("_before"))
-            changed = verdicts.join(before, F.col("id") == F.col("_id")).filter("accepted <> _before")
-        guess = verdicts
-        if changed.isEmpty():
-            break
-    posted = legs.join(guess.filter("accepted").select("id"), "id", "left_semi").select(*LEG)
-    rejected = requests.join(guess.filter("NOT accepted").select("id", "available"), "id")
+    posted = legs.join(verdicts.filter("accepted").select("id"), "id", "left_semi").select(*LEG)
+    rejected = requests.join(verdicts.filter("NOT accepted").select("id", "available"), "id")
     return posted, rejected.withColumn("requested", F.col("quantity"))
 
 

@@ -23,13 +23,19 @@ from depotlens.plans.stock import Tables, movements, with_home_stock
 def overview(tables: Tables, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row of system totals; the date range limits every ledger figure."""
     ledger = in_days_if_both(tables["transactions"], "transactionDate", start, end)
-    totals = ledger.agg(
-        F.count("*").alias("totalTransactions"),
-        F.count_distinct(F.to_date("transactionDate")).alias("activeDays"),
-        zero_if_null(exact_sum(of_type("inbound", line_value()))).alias("totalInboundValue"),
-        zero_if_null(exact_sum(of_type("outbound", line_value()))).alias("totalOutboundValue"),
-        zero_if_null(exact_sum(of_type("inbound", F.col("quantity")))).alias("totalInboundQuantity"),
-        zero_if_null(exact_sum(of_type("outbound", F.col("quantity")))).alias("totalOutboundQuantity"),
+    # By day first: the number of days is then a plain count, not a distinct one.
+    daily = ledger.groupBy(F.to_date("transactionDate").alias("day")).agg(
+        F.count("*").alias("rows"),
+        exact_sum(of_type("inbound", line_value())).alias("totalInboundValue"),
+        exact_sum(of_type("outbound", line_value())).alias("totalOutboundValue"),
+        exact_sum(of_type("inbound", F.col("quantity"))).alias("totalInboundQuantity"),
+        exact_sum(of_type("outbound", F.col("quantity"))).alias("totalOutboundQuantity"),
+    )
+    sums = [c for c in daily.columns if c.startswith("total")]
+    totals = daily.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("totalTransactions"),
+        F.count("day").alias("activeDays"),
+        *[zero_if_null(exact_total(F.col(c))).alias(c) for c in sums],
     )
 
     def row_count(table: str) -> Column:

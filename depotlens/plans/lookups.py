@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's size estimate of the frame is within the session's broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= limit
+
+
+def only_keys_of(
+    rows: DataFrame, keys: DataFrame, on: list[str], bounded_by: DataFrame | None = None
+) -> DataFrame:
+    """Drop rows whose key is not in ``keys``, if that can be done without a shuffle.
+
+    ``bounded_by`` is a frame known to be no smaller than ``keys``, to be measured instead
+    of it (Spark takes the size of a join for the product of its sides). A reduction ahead of an aggregation whose other keys would be thrown away later. Where
+    the keys are too many to broadcast, all rows are kept: aggregating first then moves
+    less, and a hot key stays combined on the map side.
+    """
+    if not fits_broadcast(keys if bounded_by is None else bounded_by):
+        return rows
+    return rows.join(F.broadcast(keys), on, "left_semi")
+
+
 def lookup(df: DataFrame, dimension: DataFrame, key: str, by: str = "id", **columns: str) -> DataFrame:
     """Add ``new_name=dimension_column`` for the dimension row whose ``by`` equals ``key``.
 

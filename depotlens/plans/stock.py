@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depotlens.functions.columns import line_value, of_type, signed_quantity
 from depotlens.functions.numbers import exact_sum, zero_if_null
+from depotlens.plans.lookups import only_keys_of
 
 Tables = Mapping[str, DataFrame]
 
@@ -37,9 +38,12 @@ def with_home_stock(
 ) -> DataFrame:
     """Products with the movements booked in their home warehouse (0.0 where none are).
 
-    The ledger shrinks to one row per (product, warehouse) before it meets the products.
+    The ledger shrinks to one row per (product, warehouse) before it meets the products, and
+    to rows of home warehouses before that when the products are few enough.
     """
-    stock = movements(ledger, ("productId", "warehouseId"), columns).select(
+    homes = products.select(F.col("id").alias("productId"), F.col(warehouse).alias("warehouseId"))
+    at_home = only_keys_of(ledger, homes, ["productId", "warehouseId"])
+    stock = movements(at_home, ("productId", "warehouseId"), columns).select(
         F.col("productId").alias("_product"), F.col("warehouseId").alias("_warehouse"), *columns
     )
     met = (F.col("id") == F.col("_product")) & (F.col(warehouse) == F.col("_warehouse"))
