@@ -495,6 +495,10 @@ def guarded(table: str, *references: str) -> str:
     return f"""SELECT id, concat_ws(',', {names}) AS held_by FROM (SELECT x.id, {counts} FROM {table} x) WHERE {held}"""
 
 
+NEW_INVOICE = """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id,
+    concat('NEW-', l_orderkey, '-', l_linenumber) AS invoiceNumber, l_suppkey AS customerId,
+    strftime(l_shipdate, '%Y-%m-%d') AS invoiceDate, CASE WHEN l_tax > 0.04 THEN 8.0 ELSE 0.0 END::DOUBLE AS taxRate"""
+
 BODIES = {
     "overview": overview(),
     "overview_range": overview(f"WHERE {IN_YEAR}"),
@@ -692,6 +696,18 @@ BODIES = {
         warehouseId, locationId, quantity, 0.0::DOUBLE AS unitPrice, concat('ADJUSTMENT: ', notes) AS reference, notes,
         {T_DATE} FROM led t WHERE t.type = 'adjustment'""",
     "upsert_latest": UPSERT,
+    "upsert_area_usage": f"""SELECT w.id, w.name, w.code, w.totalArea, w.rentalPrice, w.type, t.quantity AS usedArea, {STAMP.format('t.transactionDate')}
+        AS updatedAt FROM wh w JOIN (SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY warehouseId
+            ORDER BY transactionDate DESC, quantity DESC) = 1) t ON t.warehouseId = w.id""",
+    "post_invoices": f"""SELECT id, invoiceNumber, customerId, invoiceDate, taxRate, subtotal,
+        subtotal * taxRate / 100 AS taxAmount, subtotal + subtotal * taxRate / 100 AS total FROM (
+        SELECT {NEW_INVOICE}, CAST(CAST(l_quantity * 10.25 AS DECIMAL(18,2)) + CAST(2 * l_extendedprice AS DECIMAL(18,2))
+            AS DOUBLE) AS subtotal FROM lineitem WHERE l_suppkey <> 0)""",
+    "post_invoices_items": f"""SELECT id AS invoiceId, productId, quantity, unitPrice, quantity * unitPrice AS total FROM (
+        SELECT {NEW_INVOICE}, l_partkey AS productId, l_quantity AS quantity, 10.25::DOUBLE AS unitPrice
+        FROM lineitem WHERE l_suppkey <> 0
+        UNION ALL SELECT {NEW_INVOICE}, l_partkey + 1, 2.0, l_extendedprice FROM lineitem WHERE l_suppkey <> 0)""",
+    "plain_delete": f"SELECT {LEDGER_COLUMNS} FROM led t WHERE t.type <> 'adjustment'",
     "replace_children_invoices": f"""SELECT i.id, i.invoiceNumber, i.customerId,
         strftime(i.invoiceDate, '%Y-%m-%d') AS invoiceDate, i.status, 8.0::DOUBLE AS taxRate,
         coalesce(s.subtotal, 0) AS subtotal, coalesce(s.subtotal * 8 / 100, 0) AS taxAmount,

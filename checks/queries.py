@@ -159,6 +159,29 @@ def _deleted(t: SyntheticTables, entity: str) -> DataFrame:
     return kept.select("id").join(held, "id", "left")
 
 
+def _posted_invoices(t: SyntheticTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    documents = t["lineitem"].selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id",
+        "concat('NEW-', l_orderkey, '-', l_linenumber) AS invoiceNumber",
+        "l_suppkey AS customerId",
+        "CAST(l_shipdate AS DATE) AS invoiceDate",
+        "CASE WHEN l_tax > 0.04 THEN 8.0D END AS taxRate",
+        """array(named_struct('productId', l_partkey, 'quantity', l_quantity, 'unitPrice', 10.25D),
+                 named_struct('productId', l_partkey + 1, 'quantity', 2.0D, 'unitPrice', l_extendedprice)) AS items""",
+    )
+    return batch.post_invoices(documents)
+
+
+def upsert_area_usage(t: SyntheticTables) -> DataFrame:
+    """Every ledger row reports the used area of its warehouse; the newest report counts."""
+    reported = t["transactions"].select(
+        F.col("warehouseId").alias("id"), F.col("quantity").alias("usedArea"), F.col("transactionDate").alias("updatedAt")
+    )
+    accepted, _ = batch.validate_batch(reported, "area_usage")
+    target = t["warehouses"].withColumn("updatedAt", F.lit("1990-01-01").cast("timestamp_ntz"))
+    return batch.upsert_latest(target, accepted, "area_usage", insert=False)
+
+
 def _overdue(t: SyntheticTables) -> tuple[DataFrame, DataFrame]:
     return batch.cascade_delete(t["invoices"], t["invoice_items"], t["invoices"].filter("status = 'overdue'"))
 
@@ -226,7 +249,7 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "warehouse_efficiency_exact": lambda t: reports.warehouse_efficiency(t, mode="exact"),
     # Ledger
     "ledger_list": ledger.ledger_list,
-    "ledger_list_all": lambda t: ledger.ledger_list(t, limit=None),
+    "ledger_list_all": lambda t: ledger.ledger_list(t, limit=None, ordered=False),
     "ledger_summary": ledger.ledger_summary,
     "ledger_daily": ledger.ledger_daily,
     "on_hand": ledger.on_hand,
@@ -307,6 +330,10 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "expand_transfers": expand_transfers,
     "expand_adjustments": expand_adjustments,
     "upsert_latest": upsert_latest,
+    "upsert_area_usage": upsert_area_usage,
+    "post_invoices": lambda t: _posted_invoices(t)[0],
+    "post_invoices_items": lambda t: _posted_invoices(t)[1],
+    "plain_delete": lambda t: batch.plain_delete(t["transactions"], t["transactions"].filter("type = 'adjustment'")),
     "replace_children_invoices": lambda t: _replaced(t)[0],
     "replace_children_items": lambda t: _replaced(t)[1],
     "guarded_delete_products": lambda t: _deleted(t, "products"),

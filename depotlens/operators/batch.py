@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.columns import is_blank
-from depotlens.functions.numbers import zero_if_null
+from depotlens.functions.numbers import UNITS, to_units, zero_if_null
 from depotlens.operators.billing import invoice_totals
-from depotlens.plans.lookups import lookup
+from depotlens.plans.lookups import lookup, only_keys_of
 
 
 class Rules(NamedTuple):
@@ -158,6 +158,28 @@ def upsert_latest(target: DataFrame, changes: DataFrame, entity: str, insert: bo
     return version.unionByName(added.select(*[c for c in added.columns if c in target.columns]), allowMissingColumns=True)
 
 
+def post_invoices(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(invoices with totals, their items, rejected ones) of invoice documents.
+
+    A document has its items nested, as structs with at least productId, quantity and
+    unitPrice. The totals are folded inside the document, without a shuffle.
+    """
+    accepted, rejected = validate_batch(batch, "invoices")
+    amounts = F.transform("items", lambda i: F.coalesce(to_units(i["quantity"] * i["unitPrice"]), F.lit(0)))
+    units = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda total, amount: total + amount)
+    tax = F.col("subtotal") * F.col("taxRate") / F.lit(100.0)
+    invoices = (
+        accepted.withColumn("subtotal", units / F.lit(float(UNITS)))
+        .withColumn("taxAmount", tax)
+        .withColumn("total", F.col("subtotal") + F.col("taxAmount"))
+        .drop("items")
+    )
+    items = accepted.select(F.col("id").alias("invoiceId"), F.explode("items").alias("item")).select(
+        "invoiceId", "item.*", (F.col("item.quantity") * F.col("item.unitPrice")).alias("total")
+    )
+    return invoices, items, rejected
+
+
 def replace_children(
     invoices: DataFrame, items: DataFrame, new_items: DataFrame, tax_rate: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -197,8 +219,9 @@ def guarded_delete(
     asked = ids.select("id").distinct()
     counts = [count for _, _, count in GUARDS[entity]]
     for table, foreign_key, count in GUARDS[entity]:
-        # Grouped first: a parent with most of the children is then one row in the join.
-        references = tables[table].groupBy(F.col(foreign_key).alias("id")).agg(F.count("*").alias(count))
+        # Grouped before the join: a parent with most of the children is then one row in it.
+        children = only_keys_of(tables[table].select(F.col(foreign_key).alias("id")), asked.select("id"), ["id"], ids)
+        references = children.groupBy("id").agg(F.count("*").alias(count))
         asked = asked.join(references, "id", "left")
     asked = asked.fillna(0, subset=counts)
     free = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in counts])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.columns import any_of, like_ascii, where_equal
 from depotlens.functions.dates import in_days
 from depotlens.functions.numbers import exact_avg, exact_sum, zero_if_null
-from depotlens.plans.lookups import lookup
+from depotlens.plans.lookups import lookup, sorted_list
 from depotlens.plans.parts import nest, with_part
 from depotlens.plans.stock import Tables
 
@@ -30,7 +30,7 @@ def customer_list(tables: Tables, id: int | None = None, keyword: str | None = N
     return joined.fillna(0, subset=["totalInvoices", "totalRevenue"]).orderBy("name", "id")
 
 
-def customer_transactions(tables: Tables, id: int | None = None) -> DataFrame:
+def customer_transactions(tables: Tables, id: int | None = None, ordered: bool = True) -> DataFrame:
     """Ledger rows that carry a customer's *name*, newest first.
 
     Customers who share a name each get all of these rows.
@@ -41,13 +41,15 @@ def customer_transactions(tables: Tables, id: int | None = None) -> DataFrame:
     found = tables["transactions"].join(customers, F.col("customer") == F.col("_name")).drop("_name")
     found = lookup(found, tables["products"], "productId", productName="name", productSku="sku")
     found = lookup(found, tables["warehouses"], "warehouseId", warehouseName="name")
-    return found.orderBy(F.desc("transactionDate"), "id", "customerId")
+    return sorted_list(found, F.desc("transactionDate"), "id", "customerId", ordered=ordered)
 
 
 INVOICE_TEXT = ("invoiceNumber", "customerName", "customerCode")
 
 
-def invoice_list(tables: Tables, customer_id: int | None = None, keyword: str | None = None) -> DataFrame:
+def invoice_list(
+    tables: Tables, customer_id: int | None = None, keyword: str | None = None, ordered: bool = True
+) -> DataFrame:
     """Invoices with customer, number of items and item sum (NULL without items)."""
     invoices = where_equal(tables["invoices"], customerId=customer_id)
     named = lookup(invoices, tables["customers"], "customerId", customerName="name", customerCode="code")
@@ -59,7 +61,7 @@ def invoice_list(tables: Tables, customer_id: int | None = None, keyword: str |
         .agg(F.count("*").alias("itemCount"), exact_sum(F.col("total")).alias("calculatedTotal"))
     )
     joined = named.join(items, F.col("id") == F.col("_invoice"), "left").drop("_invoice")
-    return joined.fillna(0, subset=["itemCount"]).orderBy(F.desc("invoiceDate"), "id")
+    return sorted_list(joined.fillna(0, subset=["itemCount"]), F.desc("invoiceDate"), "id", ordered=ordered)
 
 
 ITEMS_PER_DOCUMENT = 10_000

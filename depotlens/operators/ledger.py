@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.columns import line_value, of_type, where_equal
 from depotlens.functions.dates import in_days, last_days
 from depotlens.functions.numbers import exact_sum
-from depotlens.plans.lookups import lookup
+from depotlens.plans.lookups import lookup, sorted_list
 from depotlens.plans.stock import Tables, on_hand_by_key
 
 
@@ -22,6 +22,7 @@ def ledger_list(
     end: str | None = None,
     limit: int | None = 100,
     id: Any = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Newest ledger rows with the names of what they refer to.
 
@@ -36,7 +37,7 @@ def ledger_list(
     named = lookup(named, tables["warehouses"], "warehouseId", warehouseName="name")
     named = lookup(named, tables["locations"], "locationId", locationName="name")
     named = lookup(named, tables["uoms"], "_uom", uomName="name").drop("_uom")
-    return named.orderBy(*newest_first)
+    return sorted_list(named, *newest_first, ordered=ordered)
 
 
 def _in_out_sums(names: tuple[str, str, str, str]) -> list[Column]:

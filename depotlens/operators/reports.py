@@ -17,7 +17,7 @@ from depotlens.functions.columns import (
 from depotlens.functions.dates import in_days, in_days_if_both, last_days, period_label
 from depotlens.functions.numbers import exact_avg, exact_multiple, exact_sum, exact_total, percent, ratio, zero_if_null
 from depotlens.plans.fanout import repeats, with_child_count
-from depotlens.plans.lookups import lookup
+from depotlens.plans.lookups import lookup, sorted_list
 from depotlens.plans.stock import Tables, movements, with_home_stock
 
 def overview(tables: Tables, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -156,7 +156,11 @@ def _referenced(
 
 
 def transfer_report(
-    tables: Tables, start: str | None = None, end: str | None = None, from_warehouse_id: int | None = None
+    tables: Tables,
+    start: str | None = None,
+    end: str | None = None,
+    from_warehouse_id: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Legs with a ``TR-`` reference folded into one row per transfer.
 
@@ -195,7 +199,7 @@ def transfer_report(
         .when(F.col("_left"), "in_progress")
         .otherwise("pending")
     )
-    return named.orderBy(F.desc("date"), "id").select(
+    return sorted_list(named, F.desc("date"), "id", ordered=ordered).select(
         "reference",
         "date",
         "product",
@@ -209,11 +213,11 @@ def transfer_report(
     )
 
 
-def _named_entries(tables: Tables, entries: DataFrame) -> DataFrame:
+def _named_entries(tables: Tables, entries: DataFrame, ordered: bool) -> DataFrame:
     entries = lookup(entries, tables["products"], "productId", productName="name", sku="sku")
     entries = lookup(entries, tables["warehouses"], "warehouseId", warehouseName="name")
     entries = lookup(entries, tables["locations"], "locationId", locationName="name")
-    return entries.orderBy(F.desc("transactionDate"), "id")
+    return sorted_list(entries, F.desc("transactionDate"), "id", ordered=ordered)
 
 
 ENTRY = (
@@ -235,12 +239,13 @@ def adjustment_report(
     end: str | None = None,
     warehouse_id: int | None = None,
     reason: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Entries with an ``ADJ-`` reference, labelled by the sign of their quantity."""
     entries = _referenced(tables, "ADJ-", start, end, warehouse_id)
     if reason:
         entries = entries.filter(like_ascii("notes", reason))
-    return _named_entries(tables, entries).select(
+    return _named_entries(tables, entries, ordered).select(
         *ENTRY,
         F.when(F.col("quantity") > 0, "Tăng").otherwise("Giảm").alias("adjustmentType"),
         F.abs(F.col("quantity")).alias("absoluteQuantity"),
@@ -248,10 +253,14 @@ def adjustment_report(
 
 
 def stocktake_report(
-    tables: Tables, start: str | None = None, end: str | None = None, warehouse_id: int | None = None
+    tables: Tables,
+    start: str | None = None,
+    end: str | None = None,
+    warehouse_id: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Entries with an ``ST-`` reference."""
-    return _named_entries(tables, _referenced(tables, "ST-", start, end, warehouse_id)).select(*ENTRY)
+    return _named_entries(tables, _referenced(tables, "ST-", start, end, warehouse_id), ordered).select(*ENTRY)
 
 
 def revenue_timeline(

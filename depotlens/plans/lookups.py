@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,15 @@ def only_keys_of(
     return rows.join(F.broadcast(keys), on, "left_semi")
 
 
+def sorted_list(df: DataFrame, *columns: str | Column, ordered: bool = True) -> DataFrame:
+    """Order a list of rows, if asked for.
+
+    A total order range-partitions the whole result and computes it once more to sample the
+    ranges, so the lists that may be as long as a fact table let callers do without.
+    """
+    return df.orderBy(*columns) if ordered else df
+
+
 def lookup(df: DataFrame, dimension: DataFrame, key: str, by: str = "id", **columns: str) -> DataFrame:
     """Add ``new_name=dimension_column`` for the dimension row whose ``by`` equals ``key``.
 
