@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.plans.parts import nest, with_part
+from depotlens.plans.parts import nest_children
 
 # Declared so that reading a table needs no job for its schema.
 RAW = {
@@ -190,9 +190,9 @@ class SyntheticTables(Mapping[str, DataFrame]):
         lines = self.raw("lineitem").selectExpr(
             "l_orderkey", "l_partkey AS productId", "l_quantity AS qty", "l_suppkey", "l_linenumber"
         )
-        parts = with_part(lines, "l_orderkey", ["productId", "qty", "l_suppkey", "l_linenumber"], 10_000)
-        nested = nest(parts, "l_orderkey", F.struct("productId", "qty"), "lines")
-        return self.documents().join(nested, F.col("id") == F.col("l_orderkey"), "left").drop("l_orderkey", "part")
+        spread = ["productId", "qty", "l_suppkey", "l_linenumber"]
+        line = F.struct("productId", "qty")
+        return nest_children(self.documents(), lines, "l_orderkey", line, "lines", spread, 10_000).drop("part")
 
     def maintenance_plans(self) -> DataFrame:
         return self.raw("events").filter("event_type IN ('view', 'click')").selectExpr(

@@ -9,7 +9,7 @@ from depotlens.functions.columns import any_of, like_ascii, where_equal
 from depotlens.functions.dates import in_days
 from depotlens.functions.numbers import exact_avg, exact_sum, zero_if_null
 from depotlens.plans.lookups import lookup, sorted_list
-from depotlens.plans.parts import nest, with_part
+from depotlens.plans.parts import nest_children
 from depotlens.plans.stock import Tables
 
 CUSTOMER_TEXT = ("name", "code", "contactPerson", "phone")
@@ -77,8 +77,6 @@ def invoice_document(tables: Tables, id: int | None = None, part_limit: int = IT
     columns = [c for c in items.columns if c != "invoiceId"]
     named = lookup(items, tables["products"], "productId", productName="name", productSku="sku")
     spread = [c for c in ("id", "productId", "quantity", "total") if c in columns]
-    parts = with_part(named, "invoiceId", spread, part_limit)
-    nested = nest(parts, "invoiceId", F.struct(*columns, "productName", "productSku"), "items")
     header = lookup(
         where_equal(tables["invoices"], id=id),
         tables["customers"],
@@ -86,10 +84,8 @@ def invoice_document(tables: Tables, id: int | None = None, part_limit: int = IT
         customerName="name",
         customerCode="code",
     )
-    joined = header.join(nested, F.col("id") == F.col("invoiceId"), "left").drop("invoiceId")
-    return joined.withColumns(
-        {"part": F.coalesce("part", F.lit(0)), "items": F.coalesce("items", F.array().cast(nested.schema["items"].dataType))}
-    )
+    item = F.struct(*columns, "productName", "productSku")
+    return nest_children(header, named, "invoiceId", item, "items", spread, part_limit)
 
 
 def invoice_summary(

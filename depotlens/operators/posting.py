@@ -41,8 +41,8 @@ def _net(events: Column, start: Column) -> Column:
     return F.aggregate(events, start, _after) - start
 
 
-def _chunks(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """One row per chunk: its key and place, the stock before the batch, its ordered events."""
+def _chunks(requests: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
+    """One row per chunk: its key, its place, its ordered events."""
     # Ranges over key and order cut a hot key into several partitions, in order.
     placed = requests.repartitionByRange(*KEY, *order_by).withColumn("_part", F.spark_partition_id())
     number = F.row_number().over(Window.partitionBy(*KEY, "_part").orderBy(*order_by))
@@ -54,12 +54,11 @@ def _chunks(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], rows
         F.when(F.col("type") == "inbound", units).otherwise(-units).alias("delta"),
         F.struct(*requests.columns).alias("request"),
     )
-    chunks = (
+    return (
         placed.withColumn("_piece", F.floor((number - 1) / F.lit(rows_per_chunk)))
         .groupBy(*CHUNK)
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
     )
-    return chunks.join(stock, KEY, "left").fillna(0, subset=["stock"])
 
 
 def opening_stock(ledger: DataFrame, keys: DataFrame) -> DataFrame:
@@ -73,22 +72,28 @@ def _starts(state: DataFrame) -> DataFrame:
     return state.withColumn("next", F.col("stock") + F.coalesce(F.sum("net").over(before), F.lit(0)))
 
 
-def _settle(chunks: DataFrame) -> DataFrame | None:
-    """Start stock of every chunk of the keys that have several; None when none has."""
-    summary = chunks.select(*CHUNK, "stock", F.aggregate("events", F.lit(0).cast("bigint"), lambda n, e: n + e["delta"]).alias("net"))
-    several = summary.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*KEY)
-    state = materialize(summary.join(several, KEY, "left_semi"), "posting-state")
+def _settle(chunks: DataFrame, stock: DataFrame) -> DataFrame:
+    """The stock every chunk starts with.
+
+    Only summaries of the chunks meet by key, never their events.
+    """
+    total = F.aggregate("events", F.lit(0).cast("bigint"), lambda net, event: net + event["delta"])
+    summary = chunks.select(*CHUNK, total.alias("net")).join(stock, KEY, "left").fillna(0, subset=["stock"])
+    siblings = F.count("*").over(Window.partitionBy(*KEY))
+    summary = materialize(summary.withColumn("siblings", siblings), "posting-summary")
+    alone = summary.filter("siblings = 1").select(*CHUNK, F.col("stock").alias("start"))
+    state = summary.filter("siblings > 1").drop("siblings")
     if state.isEmpty():
-        return None
+        return alone
     # Nothing is folded yet: no start is known.
     state = state.withColumn("start", F.lit(None).cast("bigint"))
     while True:
         state = materialize(_starts(state), "posting-state")
         wrong = ~F.col("next").eqNullSafe(F.col("start"))
         if state.filter(wrong).isEmpty():
-            return state.select(*CHUNK, "start")
+            return alone.unionByName(state.select(*CHUNK, "start"))
         again = (
-            chunks.join(state.filter(wrong).select(*CHUNK, "next"), CHUNK)
+            chunks.join(state.filter(wrong).select(*CHUNK, "stock", "next"), CHUNK)
             .withColumn("net", _net(F.col("events"), F.col("next")))
             .select(*CHUNK, "stock", "net", F.col("next").alias("start"))
         )
@@ -110,12 +115,8 @@ def decide(
 
 
 def _decide(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    chunks = materialize(_chunks(requests, stock, order_by, rows_per_chunk), "posting-chunks")
-    starts = _settle(chunks)
-    if starts is None:
-        started = chunks.withColumn("start", F.col("stock"))
-    else:
-        started = chunks.join(starts, CHUNK, "left").withColumn("start", F.coalesce("start", "stock"))
+    chunks = materialize(_chunks(requests, order_by, rows_per_chunk), "posting-chunks")
+    started = chunks.join(_settle(chunks, stock), CHUNK)
     begin = F.struct(
         F.col("start").alias("balance"),
         F.array().cast("array<struct<available:bigint,accepted:boolean>>").alias("seen"),

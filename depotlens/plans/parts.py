@@ -5,28 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.plans.durable import materialize
+from depotlens.plans.lookups import fits_broadcast
 
-def with_part(children: DataFrame, key: str, spread_by: list[str], limit: int) -> DataFrame:
-    """Number the parts that the children of a key are nested in (``part``, from 0).
 
-    A key with up to ``limit`` children has only part 0. Larger keys are spread by a hash
-    of ``spread_by`` over as many parts as keep one at about ``limit``, so that no task
-    has to hold a whole hot key. Only the large keys are joined back.
-    """
-    large = (
-        children.groupBy(F.col(key).alias("_large"))
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select("_large", F.ceil(F.col("_rows") / F.lit(limit)).alias("_parts"))
-    )
-    bucket = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
-    return (
-        children.join(large, F.col(key) == F.col("_large"), "left")
-        .withColumn("part", F.coalesce(bucket, F.lit(0)))
-        .drop("_large", "_parts")
-    )
+def _with_part_count(df: DataFrame, key: str, large: DataFrame) -> DataFrame:
+    side = F.broadcast(large) if fits_broadcast(large) else large
+    return df.join(side, F.col(key) == F.col("_large"), "left").withColumn(
+        "_parts", F.coalesce("_parts", F.lit(1))
+    ).drop("_large")
 
 
-def nest(children: DataFrame, key: str, element: Column, name: str) -> DataFrame:
-    """One row per (key, part) with the sorted array of elements."""
-    return children.groupBy(key, "part").agg(F.array_sort(F.collect_list(element)).alias(name))
+def nest_children(
+    parents: DataFrame,
+    children: DataFrame,
+    key: str,
+    element: Column,
+    name: str,
+    spread_by: list[str],
+    limit: int,
+) -> DataFrame:
+    """Parents (by ``id``) with the sorted array of their children's elements.
+
+    A parent with up to ``limit`` children is one row with ``part`` 0. The children of a
+    larger one are spread by a hash of ``spread_by`` over parts of about ``limit``, one row
+    each, so that no task has to hold a whole hot parent: neither the grouping nor the join
+    is by ``key`` alone. The children are counted first, in a job of its own; without any
+    large parent the rest is one plain grouping.
+    """
+    counts = children.groupBy(F.col(key).alias("_large")).agg(F.count("*").alias("_rows"))
+    crowded = counts.filter(F.col("_rows") > limit)
+    large = materialize(
+        crowded.select("_large", F.ceil(F.col("_rows") / F.lit(limit)).cast("int").alias("_parts")), "large-parents"
+    )
+    if large.isEmpty():
+        nested = children.groupBy(key).agg(F.array_sort(F.collect_list(element)).alias(name))
+        joined = parents.join(nested, F.col("id") == F.col(key), "left").withColumn("part", F.lit(0)).drop(key)
+    else:
+        bucket = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
+        placed = _with_part_count(children, key, large).withColumn("_part", bucket)
+        # Explicit: a join by key has already brought the rows of a key together.
+        spread = placed.repartition(F.col(key), F.col("_part"))
+        nested = spread.groupBy(key, "_part").agg(F.array_sort(F.collect_list(element)).alias(name))
+        wanted = _with_part_count(parents, "id", large).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+        )
+        met = (F.col("id") == F.col(key)) & (F.col("part") == F.col("_part"))
+        joined = wanted.join(nested, met, "left")
+        joined = joined.filter(F.col(name).isNotNull() | (F.col("_parts") == 1)).drop("_parts", "_part", key)
+    empty = F.array().cast(nested.schema[name].dataType)
+    return joined.withColumn(name, F.coalesce(F.col(name), empty))

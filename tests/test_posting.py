@@ -61,7 +61,7 @@ def test_sequence(spark):
     ],
 )
 def test_like_a_loop_with_a_hot_key_in_many_chunks(spark, seed, kinds, opening):
-    requests = generated(seed, 1500, 0.5, kinds)
+    requests = generated(seed, 1000, 0.5, kinds)
     stock = {(p, w): opening for p in range(1, 6) for w in (1, 2)} if opening else {}
     frame = spark.createDataFrame(requests, REQUEST).repartition(3)
     decided = posting.decide(frame, ledger_of(spark, stock), rows_per_chunk=40)
@@ -71,14 +71,14 @@ def test_like_a_loop_with_a_hot_key_in_many_chunks(spark, seed, kinds, opening):
 def test_alternating_requests_that_settle_slowly(spark):
     """Every chunk depends on the exact end of the one before."""
     requests = []
-    for i in range(200):
+    for i in range(80):
         when = START + timedelta(minutes=i)
         requests.append((2 * i, "outbound", 1, 1, 1.0, when))
-        requests.append((2 * i + 1, "outbound", 1, 1, 200.0 - i, when))
+        requests.append((2 * i + 1, "outbound", 1, 1, 80.0 - i, when))
     decided = posting.decide(
-        spark.createDataFrame(requests, REQUEST), ledger_of(spark, {(1, 1): 200.0}), rows_per_chunk=16
+        spark.createDataFrame(requests, REQUEST), ledger_of(spark, {(1, 1): 80.0}), rows_per_chunk=16
     )
-    assert by(decided, "id", "available", "accepted") == looped(requests, {(1, 1): 200.0})
+    assert by(decided, "id", "available", "accepted") == looped(requests, {(1, 1): 80.0})
 
 
 TRANSFER = (
@@ -90,11 +90,11 @@ TRANSFER = (
 def test_transfers_feed_later_transfers(spark):
     rng = random.Random(5)
     requests = []
-    for id_ in range(300):
+    for id_ in range(80):
         source, target = rng.randint(1, 4), rng.randint(1, 4)
         when = START + timedelta(minutes=rng.randint(0, 200))
         requests.append((id_, rng.randint(1, 2), source, target, None, None, float(rng.randint(1, 20)), 1.0, f"TR-{id_}", None, when))
-    stock = {(1, 1): 60.0, (2, 3): 25.0}
+    stock = {(1, 1): 40.0, (2, 3): 25.0}
     balances, expected = dict(stock), {}
     for r in sorted(requests, key=lambda r: (r[10], r[0])):
         have = balances.get((r[1], r[2]), 0.0)
