@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # Line amounts are accumulated as whole ten-thousandths; finer digits are rounded. Double
 # sums differ in the last digits with partition order, so a retried task could change a
-# report. This sum cannot, it does not overflow on a hot key as a bigint would, and it costs
-# a third of a sum over doubles that are each cast to a decimal.
+# report. These sums cannot. High and low bits are added up apart, as two bigints: nearly as
+# fast as a double sum, half the time of a decimal one, and a hot key cannot overflow them.
 UNITS = 10_000
+LOW_BITS = 20
 
 
 def to_units(amount: Column) -> Column:
@@ -19,7 +20,10 @@ def to_units(amount: Column) -> Column:
 
 def exact_sum(amount: Column) -> Column:
     """SUM over ledger-line amounts; NULL when there is nothing to add."""
-    return F.sum(to_units(amount).cast("decimal(20,0)")).cast("double") / F.lit(float(UNITS))
+    units = to_units(amount)
+    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))).cast("decimal(20,0)")
+    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
+    return (high * F.lit(1 << LOW_BITS) + low).cast("double") / F.lit(float(UNITS))
 
 
 def exact_total(amount: Column) -> Column:
