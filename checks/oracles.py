@@ -696,8 +696,10 @@ BODIES = {
         warehouseId, locationId, quantity, 0.0::DOUBLE AS unitPrice, concat('ADJUSTMENT: ', notes) AS reference, notes,
         {T_DATE} FROM led t WHERE t.type = 'adjustment'""",
     "upsert_latest": UPSERT,
-    "upsert_area_usage": f"""SELECT w.id, w.name, w.code, w.totalArea, w.rentalPrice, w.type, t.quantity AS usedArea, {STAMP.format('t.transactionDate')}
-        AS updatedAt FROM wh w JOIN (SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY warehouseId
+    "upsert_area_usage": f"""SELECT w.id, w.name, w.code, w.totalArea, w.rentalPrice, w.type,
+        coalesce(t.quantity, w.usedArea) AS usedArea,
+        coalesce({STAMP.format('t.transactionDate')}, '1990-01-01 00:00:00') AS updatedAt
+        FROM wh w LEFT JOIN (SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY warehouseId
             ORDER BY transactionDate DESC, quantity DESC) = 1) t ON t.warehouseId = w.id""",
     "post_invoices": f"""SELECT id, invoiceNumber, customerId, invoiceDate, taxRate, subtotal,
         subtotal * taxRate / 100 AS taxAmount, subtotal + subtotal * taxRate / 100 AS total FROM (
