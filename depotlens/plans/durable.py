@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a local session may go without."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A folder that the driver and all executors share.
+
+    ``spark.checkpoint.dir`` names it; a session without one uses a sub-folder of its table
+    storage (``spark.sql.warehouse.dir``). A machine-local folder is never chosen.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="depotlens-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -27,6 +30,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     pruning and size estimates for the readers.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files below a frame that ``materialize`` returned, once nothing reads them."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    jvm = spark.sparkContext._jvm
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if path.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
