@@ -9,7 +9,7 @@ sentence cannot force padding). With f(j) the cost of the tokens up to node j,
 
 is a minimum of f(j) + j over a sliding window, kept in a monotone queue: each node enters and
 leaves it once. A sequence whose length is a power of two needs no padding, which adds one
-transition for each power.
+transition for each power from 256 on.
 
 Words are tokenized once: byte-level BPE never joins over a white-space boundary, so the ids
 of a text whose words are separated by single spaces or line feeds are those of its words,
@@ -28,16 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.llm.workers import reachable, size_of
+from depotlens.llm.workers import reachable
 
 LIMIT = 2048
 END_ID = 1
 SENTENCE_PENALTY = 8
 GRID_PENALTY = 48
-GRID = 64
+GRID = 128
+#: Shorter sequences are not worth being saved from padding.
+SMALLEST_POWER = 256
 RUN_TOKENS = 1 << 19
-PARTITION_BYTES = 12 << 20
 CACHE_WORDS = 1_000_000
+ENDINGS = ".,;:!?|)"
 SENTENCE_ENDS = (".", "!", "?", "\n")
 
 OUTPUT = (
@@ -75,9 +77,10 @@ class Encoder:
         # A letter and the punctuation after it never share a token (the apostrophe may).
         cores: dict[str, tuple[str, str]] = {}
         for word in words:
-            core = word.rstrip(".,;:!?|)")
-            if core and core != word and core[-1].isalpha():
-                cores[word] = (core, word[len(core) :])
+            if word[-1] in ENDINGS:
+                core = word.rstrip(ENDINGS)
+                if core and core[-1].isalpha():
+                    cores[word] = (core, word[len(core) :])
         tails = {tail for _, tail in cores.values()}
         wanted = [w for w in words if w not in cores]
         wanted += [c for c in {c for c, _ in cores.values()} if c not in cache and c not in words]
@@ -147,9 +150,11 @@ def choose_cuts(nodes: list[int], penalties: list[int], limit: int = LIMIT) -> l
     ``nodes`` are token counts after which a cut is possible, with its penalty; neighbours
     are at most ``limit`` apart, counted from 0.
     """
-    powers = [1 << k for k in range(limit.bit_length()) if 1 << k <= limit]
+    powers = [1 << k for k in range(limit.bit_length()) if SMALLEST_POWER <= 1 << k < limit]
     place = [0, *nodes]
-    at = {p: i for i, p in enumerate(place)}
+    at = [-1] * (place[-1] + 1)
+    for i, p in enumerate(place):
+        at[p] = i
     cost = [0] * len(place)
     back = [0] * len(place)
     queue = [0]  # indices with rising f(j) + j
@@ -162,8 +167,10 @@ def choose_cuts(nodes: list[int], penalties: list[int], limit: int = LIMIT) -> l
         best, source = keys[head] + limit - p, queue[head]
         if best:
             for power in powers:
-                j = at.get(p - power)
-                if j is not None and cost[j] < best:
+                if power > p:
+                    break
+                j = at[p - power]
+                if j >= 0 and cost[j] < best:
                     best, source = cost[j], j
         best += penalties[i - 1]
         cost[i], back[i] = best, source
@@ -251,7 +258,6 @@ def pack(
     tokenizer_path: str,
     limit: int = LIMIT,
     run_tokens: int = RUN_TOKENS,
-    partition_bytes: int = PARTITION_BYTES,
     with_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``limit`` tokens, in order of ``doc_id``.
@@ -266,6 +272,6 @@ def pack(
     other, NULL ids first. An empty table gives an empty result.
     """
     reachable(docs.sparkSession)
-    parts = max(1, -(-size_of(docs) // partition_bytes))
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # Documents stream through a task run by run, so the size of a partition is the session's choice.
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInArrow(_packer(tokenizer_path, limit, run_tokens, with_ids), OUTPUT)
