@@ -38,7 +38,7 @@ GRID = 128
 #: Shorter sequences are not worth being saved from padding.
 SMALLEST_POWER = 256
 RUN_TOKENS = 1 << 19
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_400_000
 ENDINGS = ".,;:!?|)"
 SENTENCE_ENDS = (".", "!", "?", "\n")
 
