@@ -7,11 +7,12 @@ rank that lets it expect about k ln k + 2 k darts; every dart hits one of k coor
 lowest rank per coordinate is the signature. Coordinates left empty get a higher rank. Two
 signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
 
-Texts whose signatures agree in a band share a bucket. A bucket is worked off in rounds: one pivot meets
-the members that are not yet in its class, every pair is verified on the shingles themselves,
-and the classes of the links found so far are merged. So a bucket of n copies costs n pairs and
-not n * n / 2. When few pairs between different classes are left in the buckets, all of them
-are verified: every link between two classes that banding can see is found.
+Texts whose signatures agree in a band share a bucket. First one pivot of each bucket meets all
+its members, every pair is verified on the shingles themselves, and the classes of these links are
+formed: n copies cost n pairs and not n * n / 2, and most buckets are of one class then. The
+members of any other bucket are dealt to blocks of bounded size; a task compares two blocks by a product
+of their shingle matrices and tells only links that join classes. So no pair of a bucket is emitted
+as a row, and every link between two classes that banding can see is found.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ COORDINATES = BANDS * ROWS
 LEVELS = 3
 #: Rank cells are at most 4 wide, so more darts in one are hardly ever drawn.
 MAX_DARTS_IN_CELL = 24
-#: Pairs per document up to which what is left is verified in one go.
-LEFT_PER_DOCUMENT = 4
-MAX_ROUNDS = 40
+#: Sizes of a block of a bucket; two blocks and a matrix of their shared shingles fit in a task.
+BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 400_000
+COLUMNS = 4096
 
 _poisson = {}
 
@@ -249,51 +251,90 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return classed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def _within_blocks(threshold: float):
+    """Links between members of two blocks of a bucket (or within one), a spanning set of them."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        one, two = key[1].as_py(), key[2].as_py()
+        nodes = table.column("node").to_numpy()
+        labels = table.column("label").to_numpy()
+        block = table.column("block").to_numpy()
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.float32)
+        shared, column = np.unique(np.concatenate(sets), return_inverse=True)
+        often = np.bincount(column) > 1
+        number = np.cumsum(often) - 1
+        row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+        row, column = row[often[column]], number[column[often[column]]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for begin in range(0, int(often.sum()), COLUMNS):
+            part = (column >= begin) & (column < begin + COLUMNS)
+            matrix = np.zeros((len(sets), COLUMNS), np.float32)
+            matrix[row[part], column[part] - begin] = 1
+            both += matrix @ matrix.T
+        alike = both >= threshold * (sizes[:, None] + sizes[None] - both) - 1e-4
+        alike &= labels[:, None] != labels[None]
+        if one != two:
+            alike &= block[:, None] != block[None]
+        top = dict(zip(labels.tolist(), labels.tolist()))
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        found = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike)))):
+            x, y = root(labels[i].item()), root(labels[j].item())
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                found.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return compare
+
+
 def _settle(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, label): components of all links between nodes that share a bucket."""
-    spark = buckets.sparkSession
-    labels = spark.createDataFrame([], "node bigint, label bigint")
-    links = None
-    documents = max(1, sets.count())
-    open_buckets = buckets
-    for turn in range(MAX_ROUNDS):
-        labelled = (
-            open_buckets.select("bucket", "node")
-            .join(labels.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left")
-            .select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        )
-        groups = labelled.groupBy("bucket", "label").agg(
-            F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("first")
-        )
-        state = groups.groupBy("bucket").agg(
-            F.count("*").alias("labels"),
-            F.sum("rows").alias("all"),
-            F.sum(F.col("rows") * F.col("rows")).alias("inside"),
-            F.min("first").alias("pivot"),
-        ).filter("labels > 1")
-        state = materialize(
-            state.select(F.col("bucket").alias("_bucket"), F.col("pivot.node").alias("pivot"), F.col("pivot.label").alias("pivot_label"),
-                         ((F.col("all") * F.col("all") - F.col("inside")) / 2).cast("bigint").alias("left")),
-            "pivots",
-        )
-        left = state.agg(F.sum("left")).first()[0] or 0
-        if left == 0:
-            return labels
-        open_buckets = materialize(labelled.join(state, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "open-buckets")
-        last = left <= LEFT_PER_DOCUMENT * documents or turn == MAX_ROUNDS - 1
-        if last:
-            one = open_buckets.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-            two = open_buckets.select(F.col("bucket").alias("_bucket"), F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-        else:
-            pairs = open_buckets.filter("label <> pivot_label").select(
-                F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-            )
-        found = materialize(_links(pairs.select("a", "b").distinct(), sets, similarity), "found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        if last:
-            return labels
-        # A pivot has met all others of its bucket by now, so it may leave.
-        open_buckets = open_buckets.filter("node <> pivot")
-    return labels
+    pivots = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("pivot"))
+    pivots = pivots.select(F.col("bucket").alias("_bucket"), F.col("pivot.node").alias("pivot"))
+    met = buckets.join(pivots, F.col("bucket") == F.col("_bucket")).filter("node <> pivot")
+    pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    stars = materialize(_links(pairs, sets, similarity), "stars")
+    labels = components(stars)
+    named = labels.select(F.col("node").alias("_node"), "label")
+    labelled = buckets.join(named, F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    sized = labelled.join(sets.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).drop("_node")
+    state = sized.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("n").alias("total")
+    )
+    # A bucket of one class has nothing left to find.
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    mixed = materialize(state.filter("low <> high").select(F.col("bucket").alias("_bucket"), blocks.alias("blocks")), "mixed")
+    if mixed.isEmpty():
+        return labels
+    block = F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")
+    dealt = labelled.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("block", block)
+    # Each block meets every block of its bucket once, itself included.
+    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "node", "label", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+    )
+    full = copies.join(sets.select(F.col("node").alias("_node"), "shingles"), F.col("node") == F.col("_node")).drop("_node")
+    crossing = full.groupBy("bucket", "one", "two").applyInArrow(_within_blocks(similarity), "a bigint, b bigint")
+    # What the classes so far hold together need not be looked at again.
+    left, right = (labels.select(F.col("node").alias(f"_{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+    between = (
+        materialize(crossing, "crossing")
+        .join(left, F.col("a") == F.col("_a"), "left")
+        .join(right, F.col("b") == F.col("_b"), "left")
+        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        .filter("a <> b")
+        .distinct()
+    )
+    merged = components(between)
+    outer = merged.select(F.col("node").alias("_old"), F.col("label").alias("_new"))
+    nodes = labels.union(
+        merged.join(labels.select(F.col("node").alias("_known")), F.col("node") == F.col("_known"), "left_anti").select("node", F.col("node"))
+    )
+    return nodes.join(outer, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label"))

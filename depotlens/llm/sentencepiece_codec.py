@@ -80,6 +80,8 @@ class Codec:
         for value, i in self.bytes.items():
             self.text_of[i] = bytes([value])
         self.words: dict[str, bytes] = {}
+        #: Pieces of two or more characters that the merges build from their characters at all.
+        self.built = np.array([len(p) > 1 and self.merged(p) == [p] for p in ordered])
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -134,7 +136,7 @@ class Codec:
                     first = a
                 else:
                     low[active], high[active] = first, a
-        counts = np.where(self.lengths > 1, high - low, 0)
+        counts = np.where(self.built, high - low, 0)
         piece = np.repeat(rows, counts)
         nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
         start = order[low[piece] + nth]
@@ -160,8 +162,7 @@ class Codec:
                         i = starts[edge] - begin
                         candidate = ordered[numbers[edge]]
                         if i == 0 or (i > 0 and fitting(last[i], candidate)):
-                            if self._whole(candidate):
-                                chosen = candidate
+                            chosen = candidate
                     edge += 1
                 last[j] = chosen or word[j - 1]
             parts: list[int] = []
@@ -177,14 +178,6 @@ class Codec:
             self.words[word] = np.array(parts[::-1], "<u4").tobytes()
             begin += n + 1
 
-    def _whole(self, piece: str) -> bool:
-        """Whether the merges build this piece from its characters at all."""
-        pair = ("", piece)
-        known = self.fits.get(pair)
-        if known is None:
-            known = self.fits[pair] = self.merged(piece) == [piece]
-        return known
-
     def _parts(self, word: str) -> list[str]:
         """The word cut where no piece has these two neighbours: no merge reaches over."""
         neighbours = self.neighbours
