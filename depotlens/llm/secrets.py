@@ -142,7 +142,8 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule
         .filter(F.size(F.array_except(keys, F.col("done"))) > 0)
     )
     blobs = versions.join(unseen, (F.col("digest") == F.col("_digest")) & F.col("path").eqNullSafe(F.col("carrier")))
-    _scan(blobs, rules).write.mode("append").parquet(ledger.path)
+    # Rows repeated as a whole share the carrier's id.
+    _scan(blobs, rules).dropDuplicates(["digest"]).write.mode("append").parquet(ledger.path)
     wanted = F.array(*[F.lit(r.kind) for r in rules])
     found = ledger.by_blob().select(
         F.col("digest").alias("_digest"),
