@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The column by which ``append_ledger`` partitions, as yyyy-MM.
+MONTH = "month"
+
 
 def in_days(df: DataFrame, column: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Keep rows whose calendar day lies in [start, end]; either bound may be missing.
 
     The bounds are compared with the raw column as a half-open range, so Parquet
-    statistics and partition pruning can use them.
+    statistics can use them, and with the partitions of a ledger written by month.
     """
     if start:
         df = df.filter(F.col(column) >= F.lit(start).cast("date"))
+        df = _from_month(df, column, F.lit(start).cast("date"))
     if end:
         df = df.filter(F.col(column) < F.date_add(F.lit(end).cast("date"), 1))
+        if _by_month(df, column):
+            df = df.filter(F.col(MONTH) <= F.date_format(F.lit(end).cast("date"), "yyyy-MM"))
     return df
 
 
+def _by_month(df: DataFrame, column: str) -> bool:
+    return column == "transactionDate" and MONTH in df.columns
+
+
+def _from_month(df: DataFrame, column: str, day: Column) -> DataFrame:
+    return df.filter(F.col(MONTH) >= F.date_format(day, "yyyy-MM")) if _by_month(df, column) else df
+
+
 def in_days_if_both(df: DataFrame, column: str, start: str | None, end: str | None) -> DataFrame:
     """As ``in_days``, but a single bound is ignored."""
     return in_days(df, column, start, end) if start and end else df
@@ -37,8 +51,8 @@ def newest(df: DataFrame, column: str, as_of: str | None = None) -> Column:
 
 def last_days(df: DataFrame, column: str, days: int, as_of: str | None = None) -> DataFrame:
     """Rows from midnight ``days`` days before ``as_of`` on; later rows are all kept."""
-    day = F.to_date(newest(df, column, as_of))
-    return df.filter(F.col(column) >= F.date_sub(day, int(days)))
+    day = F.date_sub(F.to_date(newest(df, column, as_of)), int(days))
+    return _from_month(df.filter(F.col(column) >= day), column, day)
 
 
 def day_spine(df: DataFrame, column: str, days: int, as_of: str | None = None) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Line amounts are accumulated as whole ten-thousandths; finer digits are rounded. Double
-# sums differ in the last digits with partition order, so a retried task could change a
-# report. These sums cannot. High and low bits are added up apart, as two bigints: nearly as
-# fast as a double sum, half the time of a decimal one, and a hot key cannot overflow them.
-UNITS = 10_000
+# Double sums differ in the last digits with partition order, so a retried task could change a
+# report. These sums cannot: whole part and fraction (in thousand-millionths, about what a double
+# holds beside amounts of some millions) are added up apart, each as high and low bits in bigints, which a
+# hot key cannot overflow. Decimals only put the four sums together.
+PLACES = 9
 LOW_BITS = 20
+FRACTION_LOW_BITS = 15
+#: Beyond this a double has no fraction and steps of hundreds; such amounts are summed as doubles.
+LARGEST = float(1 << 62)
+#: Stock units of the posting operators.
+UNITS = 10_000
 
 
 def to_units(amount: Column) -> Column:
@@ -18,22 +25,38 @@ def to_units(amount: Column) -> Column:
     return F.rint(amount * F.lit(float(UNITS))).cast("bigint")
 
 
+def _bits(values: Column, low_bits: int) -> Column:
+    """Sum of bigints as decimal(28,0)."""
+    low = F.sum(values.bitwiseAND(F.lit((1 << low_bits) - 1).cast("bigint"))).cast("decimal(19,0)")
+    high = F.sum(F.shiftright(values, low_bits)).cast("decimal(19,0)")
+    return high * F.lit(Decimal(1 << low_bits)).cast("decimal(7,0)") + low
+
+
 def exact_sum(amount: Column) -> Column:
     """SUM over ledger-line amounts; NULL when there is nothing to add."""
-    units = to_units(amount)
-    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))).cast("decimal(20,0)")
-    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
-    return (high * F.lit(1 << LOW_BITS) + low).cast("double") / F.lit(float(UNITS))
+    amount = amount.cast("double")
+    usual = F.when(F.abs(amount) < LARGEST, amount)
+    whole = F.floor(usual)
+    fraction = F.rint((usual - whole) * F.lit(float(10**PLACES))).cast("bigint")
+    parts = _bits(whole, LOW_BITS) + _bits(fraction, FRACTION_LOW_BITS).cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-PLACES))
+    large = F.sum(F.when(F.abs(amount) >= LARGEST, amount))
+    total = parts.cast("double")
+    return F.when(large.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + large)
 
 
 def exact_total(amount: Column) -> Column:
     """SUM over already aggregated amounts, which may be far larger than one line."""
-    return F.sum(amount.cast("decimal(34,4)")).cast("double")
+    amount = amount.cast("double")
+    usual = F.sum(F.when(F.abs(amount) < 1e19, amount).cast(f"decimal(28,{PLACES})")).cast("double")
+    large = F.sum(F.when(F.abs(amount) >= 1e19, amount))
+    return F.when(large.isNull(), usual).otherwise(F.coalesce(usual, F.lit(0.0)) + large)
 
 
 def exact_multiple(amount: Column, factor: Column) -> Column:
     """Amount times a whole number, free of binary rounding in between."""
-    return (amount.cast("decimal(28,4)") * factor).cast("double")
+    small = (F.abs(amount) < 1e17) & (factor < 10**10)
+    usual = F.when(small, amount).cast(f"decimal(27,{PLACES})") * F.when(small, factor).cast("decimal(10,0)")
+    return F.when(small, usual.cast("double")).otherwise(amount * factor)
 
 
 def exact_avg(amount: Column) -> Column:

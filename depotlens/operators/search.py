@@ -88,11 +88,18 @@ SEARCHED = {
 }
 
 
+SEARCH_NAMES = {"transactions": "documents", "invoices": "invoice_documents"}
+
+
 def entity_search(tables: Tables, term: str = "", type: str = "all") -> DataFrame:
     """Products, stock slips, customers, contracts and invoices whose text contains the term.
 
-    ``type`` is ``all`` or one of the keys of ``SEARCHED``; any other finds nothing.
+    ``type`` is ``all``, one of the keys of ``SEARCHED``, or ``transactions`` or ``invoices``
+    for the slips and invoices; any other is an error.
     """
+    type = SEARCH_NAMES.get(type, type)
+    if type != "all" and type not in SEARCHED:
+        raise ValueError(f"unknown type {type!r}")
     found = []
     for entity, (columns, shape) in SEARCHED.items():
         matching = tables[entity].filter(any_of([contains_folded(c, term) for c in columns]))

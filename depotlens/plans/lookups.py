@@ -7,10 +7,25 @@ from pyspark.sql import functions as F
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's size estimate of the frame is within the session's broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= limit
+    """Whether Spark's size estimate of the frame is within the session's broadcast limit.
+
+    False where the session tells no estimate (Spark Connect): the choice is Spark's then.
+    """
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return False
+    estimate = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate <= _bytes(limit)
+
+
+def _bytes(size: str) -> int:
+    """A Spark size such as 10MB, 256k or -1."""
+    digits = size.strip().lower().removesuffix("b")
+    for power, unit in enumerate("kmgt", 1):
+        if digits.endswith(unit):
+            return int(digits[:-1]) * 1024**power
+    return int(digits)
 
 
 def only_keys_of(

@@ -139,7 +139,9 @@ def test_entity_search(searchable):
         ("Phiếu Xuất", "PX-1", "3 dòng"), ("Phiếu Xuất", "PX-2", "0 dòng"), ("Phiếu Xuất", "PX-3", "1 dòng"),
     ]
     assert search.entity_search(searchable, "").count() == 3 + 4 + 2 + 2 + 1
-    assert search.entity_search(searchable, "", "unknown").count() == 0
+    assert search.entity_search(searchable, "px", "transactions").count() == slips.count() > 0
+    with pytest.raises(ValueError):
+        search.entity_search(searchable, "", "unknown")
 
 
 def test_other_searches(searchable):
