@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from depotlens.llm import exact_dedup, language_id, near_dedup, packing, secrets
 from depotlens.plans.durable import materialize
 
-#: A document whose most probable language is less likely than this is rejected.
-MINIMUM_SCORE = 0.4
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -29,12 +26,13 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or with no likely language.
+    """Rejects documents without a language: NULL texts and those without a letter.
 
-    Rows that share an id stay if one of them is accepted.
+    A low score alone rejects nothing, since clean texts that are short or mix words of two
+    languages have one too. Rows that share an id stay if one of them is accepted.
     """
     predicted = language_id.predict(docs, language_id.fit(docs))
-    accepted = predicted.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MINIMUM_SCORE))
+    accepted = predicted.filter(F.col("lang_pred") != language_id.UNKNOWN)
     return _only(docs, accepted.select("doc_id").distinct())
 
 
