@@ -276,16 +276,14 @@ def all_spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_TEXTS) -> np.ndarray:
-    """Train on ``sample`` whole texts that hold digits or at-signs, drawn by a hash of the text."""
-    rows = (
-        docs.select("text")
-        .filter(F.col("text").rlike("[0-9@]"))
-        .select("text", F.xxhash64("text", F.lit(3)).alias("place"))
-        .orderBy("place", "text")
-        .limit(sample)
-        .collect()
-    )
-    return train([r["text"] for r in rows])
+    """Train on ``sample`` different whole texts that hold digits or at-signs, drawn by a hash of the text.
+
+    The draw is of hashes alone: of the texts only those drawn reach the driver, once each.
+    """
+    hashed = docs.select("text").filter(F.col("text").rlike("[0-9@]")).withColumn("place", F.xxhash64("text", F.lit(3)))
+    places = [r["place"] for r in hashed.select("place").distinct().orderBy("place").limit(sample).collect()]
+    drawn = hashed.filter(F.col("place").isin(places)).groupBy("place").agg(F.min("text").alias("text"))
+    return train([r["text"] for r in sorted(drawn.collect(), key=lambda r: r["place"])])
 
 
 def _finder(weights: np.ndarray):
