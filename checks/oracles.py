@@ -433,9 +433,10 @@ PRODUCT_CARD = """SELECT p.id AS productId, concat('{"id":', p.id, ',"code":"',
     ',"lastUpdated":"2024-01-01T00:00:00.000Z","description":"', p.description, '"}') AS card FROM dstock p"""
 
 # Requests one after the other, per product and warehouse: the balance is carried along.
-POSTED = """WITH RECURSIVE req AS (SELECT id, productId, warehouseId, quantity,
+def in_order(requests: str = "led") -> str:
+    return f"""WITH RECURSIVE req AS (SELECT id, productId, warehouseId, quantity,
         row_number() OVER (PARTITION BY productId, warehouseId ORDER BY transactionDate, id) AS n
-        FROM led WHERE type IN ('outbound', 'transfer')),
+        FROM {requests} WHERE type IN ('outbound', 'transfer')),
     stock AS (SELECT productId, warehouseId, sum(CASE WHEN type = 'inbound' THEN quantity ELSE -quantity END) AS q
         FROM led WHERE type NOT IN ('outbound', 'transfer') GROUP BY ALL),
     posted(id, productId, warehouseId, quantity, n, available, accepted) AS (
@@ -447,12 +448,18 @@ POSTED = """WITH RECURSIVE req AS (SELECT id, productId, warehouseId, quantity,
             CASE WHEN b.accepted THEN b.available - b.quantity ELSE b.available END >= r.quantity
         FROM posted b JOIN req r ON r.productId = b.productId AND r.warehouseId = b.warehouseId AND r.n = b.n + 1)"""
 
+
+POSTED = in_order()
+BLANKS = """(SELECT id, type, productId, warehouseId, CASE WHEN quantity > 3 THEN quantity WHEN quantity > 2 THEN 0.0 END AS quantity,
+    CASE WHEN id LIKE '%7' THEN TIMESTAMP '2024-01-01' ELSE transactionDate END AS transactionDate FROM led)"""
+COMPLETE = f"(SELECT * FROM {BLANKS} WHERE quantity > 0 AND warehouseId <> 0 AND productId <> 0)"
+
 # As above per product, with the balances of all 25 warehouses in a list.
 TRANSFERRED = """WITH RECURSIVE req AS (
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id,
             l_partkey AS productId, l_suppkey % 25 AS src, (l_suppkey + l_linenumber) % 25 AS dst, l_quantity AS quantity,
             l_shipdate AS d FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY productId ORDER BY d, id) AS n FROM req),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY productId ORDER BY d, id) AS n FROM req WHERE src <> 0 AND dst <> 0 AND productId <> 0),
     stock AS (SELECT productId, warehouseId, sum(CASE WHEN type = 'inbound' THEN quantity ELSE -quantity END) AS q
         FROM led WHERE type <> 'transfer' GROUP BY ALL),
     grid AS (SELECT p.productId, list(coalesce(s.q, 0.0) ORDER BY w.k) AS balances
@@ -467,9 +474,10 @@ TRANSFERRED = """WITH RECURSIVE req AS (
                 THEN b - CASE WHEN i = q.src + 1 THEN q.quantity ELSE 0 END + CASE WHEN i = q.dst + 1 THEN q.quantity ELSE 0 END
                 ELSE b END)
         FROM run r JOIN numbered q ON q.productId = r.productId AND q.n = r.n + 1)
-    SELECT id, 'outbound' AS type, productId, src AS warehouseId, quantity FROM run WHERE n > 0 AND accepted
-    UNION ALL SELECT id, 'inbound', productId, dst, quantity FROM run WHERE n > 0 AND accepted
-    UNION ALL SELECT id, 'rejected', productId, src, available FROM run WHERE n > 0 AND NOT accepted"""
+    SELECT concat(id, '-out') AS id, 'outbound' AS type, productId, src AS warehouseId, quantity FROM run WHERE n > 0 AND accepted
+    UNION ALL SELECT concat(id, '-in'), 'inbound', productId, dst, quantity FROM run WHERE n > 0 AND accepted
+    UNION ALL SELECT id, 'rejected', productId, src, available FROM run WHERE n > 0 AND NOT accepted
+    UNION ALL SELECT id, 'rejected', productId, src, NULL FROM req WHERE src = 0 OR dst = 0 OR productId = 0"""
 
 UPSERT = """WITH change AS (SELECT l_partkey * 2 AS id, concat('Version ', l_orderkey) AS name,
         concat('SKU-', l_partkey * 2) AS sku, l_extendedprice AS unitPrice, l_shipdate AS updatedAt FROM lineitem),
@@ -690,11 +698,20 @@ BODIES = {
         AND sku NOT IN (SELECT sku FROM prod) THEN 'accepted' ELSE 'rejected' END AS outcome
         FROM (SELECT p_partkey AS id, concat('SKU-', p_partkey % 5 + p_size * 1000) AS sku FROM part)""",
     "post_outbound": POSTED + " SELECT id, available, accepted FROM posted",
-    "post_outbound_rejected": POSTED + """ SELECT id, available, quantity AS requested FROM posted WHERE NOT accepted""",
+    "post_outbound_rejected": POSTED + """ SELECT id, available, quantity AS requested FROM posted WHERE NOT accepted AND warehouseId <> 0 AND productId <> 0
+        UNION ALL SELECT id, NULL, quantity FROM led WHERE type IN ('outbound', 'transfer') AND (warehouseId = 0 OR productId = 0)""",
+    "post_outbound_blanks": in_order(COMPLETE) + f""" SELECT id, p.quantity, {STAMP.format('b.transactionDate')} AS transactionDate,
+        CASE WHEN p.accepted THEN '' ELSE 'not enough stock' END AS reject_reason FROM posted p JOIN {BLANKS} b USING (id)
+        UNION ALL SELECT id, quantity, {STAMP.format('transactionDate')},
+            CASE WHEN productId = 0 THEN 'productId is missing' WHEN warehouseId = 0 THEN 'warehouseId is missing' ELSE 'quantity is missing' END
+        FROM {BLANKS} WHERE type IN ('outbound', 'transfer') AND (productId = 0 OR warehouseId = 0 OR coalesce(quantity, 0) = 0)""",
     "expand_transfers": TRANSFERRED,
-    "expand_adjustments": f"""SELECT id, CASE WHEN notes = 'A' THEN 'inbound' ELSE 'outbound' END AS type, productId,
-        warehouseId, locationId, quantity, 0.0::DOUBLE AS unitPrice, concat('ADJUSTMENT: ', notes) AS reference, notes,
-        {T_DATE} FROM led t WHERE t.type = 'adjustment'""",
+    "expand_adjustments": f"""SELECT id, productId, warehouseId, locationId, notes, {T_DATE},
+        CASE WHEN lack IS NOT NULL THEN 'rejected' WHEN notes = 'A' THEN 'inbound' ELSE 'outbound' END AS type,
+        CASE WHEN lack IS NOT NULL AND notes <> 'A' THEN -quantity ELSE quantity END AS quantity,
+        CASE WHEN lack IS NULL THEN 0.0::DOUBLE END AS unitPrice, coalesce(lack, concat('ADJUSTMENT: ', notes)) AS reference
+        FROM (SELECT *, CASE WHEN productId = 0 THEN 'productId is missing' WHEN warehouseId = 0 THEN 'warehouseId is missing' END AS lack
+            FROM led WHERE type = 'adjustment') t""",
     "upsert_latest": UPSERT,
     "upsert_area_usage": f"""SELECT w.id, w.name, w.code, w.totalArea, w.rentalPrice, w.type,
         coalesce(t.quantity, w.usedArea) AS usedArea,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,21 @@ def post_outbound_rejected(t: SyntheticTables) -> DataFrame:
     return rejected.select("id", "available", "requested")
 
 
+def post_outbound_blanks(t: SyntheticTables) -> DataFrame:
+    """Requests without quantity, with none at all or without a date, which is then the last day."""
+    stock, requests = _stock_and_requests(t)
+    quantity, date = F.col("quantity"), F.col("transactionDate")
+    requests = requests.withColumns(
+        {
+            "quantity": F.when(quantity > 3, quantity).when(quantity > 2, F.lit(0.0)),
+            "transactionDate": F.when(~F.col("id").endswith("7"), date),
+        }
+    )
+    posted, rejected = posting.post_outbound(requests, stock, now=datetime(2024, 1, 1))
+    accepted = posted.withColumn("reject_reason", F.lit("")).select("id", "quantity", "transactionDate", "reject_reason")
+    return accepted.unionByName(rejected.select("id", "quantity", "transactionDate", "reject_reason"))
+
+
 def expand_transfers(t: SyntheticTables) -> DataFrame:
     requests = t["lineitem"].filter("l_returnflag = 'R' AND l_linestatus = 'F'").selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS id",
@@ -129,7 +145,15 @@ def expand_adjustments(t: SyntheticTables) -> DataFrame:
             "adjustmentDate": F.col("transactionDate"),
         }
     )
-    return posting.expand_adjustments(requests)
+    posted, rejected = posting.expand_adjustments(requests)
+    told = rejected.select(
+        "id",
+        F.lit("rejected").alias("type"),
+        *("productId", "warehouseId", "locationId", "quantity", "notes"),
+        F.col("reject_reason").alias("reference"),
+        F.col("adjustmentDate").alias("transactionDate"),
+    )
+    return posted.unionByName(told, allowMissingColumns=True)
 
 
 def upsert_latest(t: SyntheticTables) -> DataFrame:
@@ -327,6 +351,7 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "reject_duplicates": reject_duplicates,
     "post_outbound": post_outbound,
     "post_outbound_rejected": post_outbound_rejected,
+    "post_outbound_blanks": post_outbound_blanks,
     "expand_transfers": expand_transfers,
     "expand_adjustments": expand_adjustments,
     "upsert_latest": upsert_latest,

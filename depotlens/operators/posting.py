@@ -2,101 +2,118 @@
 
 An outbound or transfer request is accepted when the stock at its turn covers it; rejected
 requests change nothing. Each decision depends on all earlier ones of the same product and
-warehouse, so a running sum cannot make it. Requests are cut into short ordered chunks and
-every chunk is folded from the stock it starts with. Where a key has several chunks, the
-start of a chunk is first guessed (as if all requests before it were accepted) and then
-corrected from the folded chunks before it until no start changes. The first chunk of a key
-starts right, and each round makes at least the next one right, so the result is the one of
-posting row by row, while no task ever holds more than one chunk or one partition.
+warehouse, so a running sum cannot make it. Ranges over key and order cut the requests into
+partitions, and a key's requests in one partition are folded one after the other, batch by batch,
+from the stock they start with. Where a key spans several partitions, the start in each is first guessed
+(as if all requests before it were accepted) and then corrected from the folded ones before it
+until no start changes. The first start is right, and each round makes at least the next one right,
+so the result is the one of posting row by row, after at most as many rounds as the key spans partitions and one more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import datetime
+from decimal import Context
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from depotlens.functions.columns import signed_quantity
-from depotlens.functions.numbers import UNITS, to_units
+from depotlens.functions.columns import is_blank, signed_quantity
+from depotlens.functions.numbers import exact_sum
+from depotlens.operators.batch import validate_batch
 from depotlens.plans.durable import materialize
 from depotlens.plans.lookups import only_keys_of
 
 CHECKED_TYPES = ("outbound", "transfer")
 KEY = ["productId", "warehouseId"]
-CHUNK = [*KEY, "_part", "_piece"]
-ROWS_PER_CHUNK = 1_000
+GROUP = [*KEY, "_part"]
+#: Stock is compared to nine places, as sums of reports are.
+EXACT = T.DecimalType(38, 9)
 
 
-def _accepts(balance: Column, event: Column) -> Column:
-    return ~event["checked"] | (balance >= event["units"])
+def _zero() -> Column:
+    return F.lit(0).cast(EXACT)
 
 
-def _after(balance: Column, event: Column) -> Column:
-    return balance + F.when(_accepts(balance, event), event["delta"]).otherwise(F.lit(0))
-
-
-def _net(events: Column, start: Column) -> Column:
-    """Stock change of a chunk that starts with ``start``."""
-    return F.aggregate(events, start, _after) - start
-
-
-def _chunks(requests: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """One row per chunk: its key, its place, its ordered events."""
+def _events(requests: DataFrame, order_by: Sequence[str], partitions: int | None) -> DataFrame:
+    """Requests with their place in the order and their stock change."""
+    count = [partitions] if partitions else []
     # Ranges over key and order cut a hot key into several partitions, in order.
-    placed = requests.repartitionByRange(*KEY, *order_by).withColumn("_part", F.spark_partition_id())
-    number = F.row_number().over(Window.partitionBy(*KEY, "_part").orderBy(*order_by))
-    units = F.coalesce(to_units(F.col("quantity")), F.lit(0))
-    event = F.struct(
-        *order_by,
+    placed = requests.repartitionByRange(*count, *KEY, *order_by)
+    units = F.coalesce(F.col("quantity").cast(EXACT), _zero())
+    return placed.select(
+        *KEY,
+        F.spark_partition_id().alias("_part"),
+        F.struct(*order_by).alias("_place"),
         F.coalesce(F.col("type").isin(*CHECKED_TYPES), F.lit(False)).alias("checked"),
         units.alias("units"),
-        F.when(F.col("type") == "inbound", units).otherwise(-units).alias("delta"),
+        F.when(F.col("type") == "inbound", units).otherwise(-units).cast(EXACT).alias("delta"),
         F.struct(*requests.columns).alias("request"),
     )
-    return (
-        placed.withColumn("_piece", F.floor((number - 1) / F.lit(rows_per_chunk)))
-        .groupBy(*CHUNK)
-        .agg(F.array_sort(F.collect_list(event)).alias("events"))
-    )
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """Each row with ``available`` and ``accepted``; every group is folded from its ``start``."""
+    placed = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "_place").drop("_place")
+    told = [T.StructField("available", EXACT), T.StructField("accepted", T.BooleanType())]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = Context(prec=60)
+        group, balance = None, None
+        for batch in batches:
+            available, accepted = [], []
+            columns = [batch.column(c).to_pylist() for c in (*GROUP, "start", "checked", "units", "delta")]
+            for *own, start, checked, units, delta in zip(*columns):
+                if own != group:
+                    group, balance = own, start
+                available.append(balance)
+                accepted.append(not checked or balance >= units)
+                if accepted[-1]:
+                    balance = exact.add(balance, delta)
+            verdicts = [pa.array(available, pa.decimal128(38, 9)), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *verdicts], [*batch.schema.names, "available", "accepted"])
+
+    return placed.mapInArrow(fold, T.StructType([*placed.schema.fields, *told]))
 
 
 def opening_stock(ledger: DataFrame, keys: DataFrame) -> DataFrame:
-    """Stock before the batch (in units) per key; only of the wanted keys if they are few."""
+    """Stock before the batch per key; only of the wanted keys if they are few."""
     wanted = only_keys_of(ledger, keys.select(*KEY).distinct(), KEY)
-    return wanted.groupBy(*KEY).agg(F.sum(to_units(signed_quantity())).alias("stock"))
+    return wanted.groupBy(*KEY).agg(exact_sum(signed_quantity()).cast(EXACT).alias("stock"))
 
 
 def _starts(state: DataFrame) -> DataFrame:
-    before = Window.partitionBy(*KEY).orderBy("_part", "_piece").rowsBetween(Window.unboundedPreceding, -1)
-    return state.withColumn("next", F.col("stock") + F.coalesce(F.sum("net").over(before), F.lit(0)))
+    before = Window.partitionBy(*KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return state.withColumn("next", (F.col("stock") + F.coalesce(F.sum("net").over(before), _zero())).cast(EXACT))
 
 
-def _settle(chunks: DataFrame, stock: DataFrame) -> DataFrame:
-    """The stock every chunk starts with.
+def _settle(events: DataFrame, stock: DataFrame) -> DataFrame:
+    """The stock every group starts with.
 
-    Only summaries of the chunks meet by key, never their events.
+    Only summaries of the groups meet by key, never their events.
     """
-    total = F.aggregate("events", F.lit(0).cast("bigint"), lambda net, event: net + event["delta"])
-    summary = chunks.select(*CHUNK, total.alias("net")).join(stock, KEY, "left").fillna(0, subset=["stock"])
+    summary = events.groupBy(*GROUP).agg(F.sum("delta").cast(EXACT).alias("net")).join(stock, KEY, "left")
     siblings = F.count("*").over(Window.partitionBy(*KEY))
-    summary = materialize(summary.withColumn("siblings", siblings), "posting-summary")
-    alone = summary.filter("siblings = 1").select(*CHUNK, F.col("stock").alias("start"))
+    summary = summary.withColumn("stock", F.coalesce("stock", _zero())).withColumn("siblings", siblings)
+    summary = materialize(summary, "posting-summary")
+    alone = summary.filter("siblings = 1").select(*GROUP, F.col("stock").alias("start"))
     state = summary.filter("siblings > 1").drop("siblings")
     if state.isEmpty():
         return alone
     # Nothing is folded yet: no start is known.
-    state = state.withColumn("start", F.lit(None).cast("bigint"))
+    state = state.withColumn("start", F.lit(None).cast(EXACT))
     while True:
         state = materialize(_starts(state), "posting-state")
         wrong = ~F.col("next").eqNullSafe(F.col("start"))
         if state.filter(wrong).isEmpty():
-            return alone.unionByName(state.select(*CHUNK, "start"))
-        again = (
-            chunks.join(state.filter(wrong).select(*CHUNK, "stock", "next"), CHUNK)
-            .withColumn("net", _net(F.col("events"), F.col("next")))
-            .select(*CHUNK, "stock", "net", F.col("next").alias("start"))
-        )
+            return alone.unionByName(state.select(*GROUP, "start"))
+        due = state.filter(wrong).select(*GROUP, "stock", F.col("next").alias("start"))
+        rows = events.drop("request").join(due, GROUP)
+        moved = F.sum(F.when(F.col("accepted"), F.col("delta")).otherwise(_zero())).cast(EXACT)
+        again = _folded(rows).groupBy(*GROUP).agg(F.first("stock").alias("stock"), moved.alias("net"), F.first("start").alias("start"))
         state = state.filter(~wrong).drop("next").unionByName(again)
 
 
@@ -104,116 +121,125 @@ def decide(
     requests: DataFrame,
     ledger: DataFrame,
     order_by: Sequence[str] = ("transactionDate", "id"),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Requests with ``available`` (stock at their turn) and ``accepted``.
 
-    ``order_by`` must order the requests of a key without ties. Types other than outbound
-    and transfer are always accepted and move the stock.
+    ``order_by`` must order the requests of a key without ties, and no request may lack its
+    product or warehouse (``post_outbound`` rejects those). Types other than outbound and transfer are always
+    accepted and move the stock. ``partitions`` is the number of ranges, by default the session's.
     """
-    return _decide(requests, opening_stock(ledger, requests), order_by, rows_per_chunk)
+    return _decide(requests, opening_stock(ledger, requests), order_by, partitions)
 
 
-def _decide(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    chunks = materialize(_chunks(requests, order_by, rows_per_chunk), "posting-chunks")
-    started = chunks.join(_settle(chunks, stock), CHUNK)
-    begin = F.struct(
-        F.col("start").alias("balance"),
-        F.array().cast("array<struct<available:bigint,accepted:boolean>>").alias("seen"),
-    )
+def _decide(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], partitions: int | None) -> DataFrame:
+    events = materialize(_events(requests, order_by, partitions), "posting-events")
+    folded = _folded(events.join(_settle(events, stock), GROUP))
+    return folded.select("request.*", F.col("available").cast("double").alias("available"), "accepted")
 
-    def step(done: Column, event: Column) -> Column:
-        seen = F.struct(done["balance"].alias("available"), _accepts(done["balance"], event).alias("accepted"))
-        return F.struct(
-            _after(done["balance"], event).alias("balance"),
-            F.concat(done["seen"], F.array(seen)).alias("seen"),
-        )
 
-    verdicts = F.aggregate("events", begin, step, lambda done: done["seen"])
-    rows = started.select(F.explode(F.arrays_zip(F.col("events"), verdicts.alias("verdict"))).alias("row"))
-    return rows.select(
-        "row.events.request.*",
-        (F.col("row.verdict.available") / F.lit(float(UNITS))).alias("available"),
-        F.col("row.verdict.accepted").alias("accepted"),
-    )
+def _dated(requests: DataFrame, name: str, now: datetime | None) -> DataFrame:
+    """Blank dates are ``now``."""
+    kind = requests.schema[name].dataType if name in requests.columns else T.TimestampType()
+    given = F.col(name) if name in requests.columns else F.lit(None)
+    return requests.withColumn(name, F.when(is_blank(requests, name), F.lit(now or datetime.now()).cast(kind)).otherwise(given))
+
+
+def _all_rejected(invalid: DataFrame, short: DataFrame) -> DataFrame:
+    """Requests that lack something, and those the stock does not cover."""
+    short = short.drop("accepted").withColumn("reject_reason", F.lit("not enough stock"))
+    return short.unionByName(invalid, allowMissingColumns=True).withColumn("requested", F.col("quantity"))
 
 
 def post_outbound(
     requests: DataFrame,
     ledger: DataFrame,
     order_by: Sequence[str] = ("transactionDate", "id"),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    partitions: int | None = None,
+    now: datetime | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(ledger rows to append, rejected requests with ``available`` and ``requested``)."""
-    decided = decide(requests, ledger, order_by, rows_per_chunk)
-    accepted = decided.filter("accepted").select(*requests.columns)
-    rejected = decided.filter("NOT accepted").withColumn("requested", F.col("quantity")).drop("accepted")
-    return accepted, rejected
+    """(ledger rows to append, rejected requests with ``reject_reason``, ``available`` and ``requested``).
+
+    Requests without type, product, warehouse or quantity (0 counts as none) are rejected before anything
+    is decided, without ``available``. A blank date is ``now``.
+    """
+    valid, invalid = validate_batch(_dated(requests, "transactionDate", now), "transactions")
+    decided = decide(valid, ledger, order_by, partitions)
+    return decided.filter("accepted").select(*valid.columns), _all_rejected(invalid, decided.filter("NOT accepted"))
 
 
 LEG = ["id", "type", "productId", "warehouseId", "locationId", "quantity", "unitPrice", "reference", "notes", "transactionDate"]
 
 
 def transfer_legs(requests: DataFrame) -> DataFrame:
-    """Two ledger rows per transfer request: outbound at the source, inbound at the target."""
+    """Two ledger rows per transfer request: outbound at the source, inbound at the target.
+
+    ``id`` is the request's id with ``-out`` or ``-in``, ``request`` the id itself.
+    """
 
-    def leg(number: int, kind: str, side: str) -> Column:
+    def leg(number: int, kind: str, suffix: str, side: str) -> Column:
         return F.struct(
+            F.concat_ws("-", "id", F.lit(suffix)).alias("id"),
             F.lit(number).alias("leg"),
             F.lit(kind).alias("type"),
             F.col(f"{side}WarehouseId").alias("warehouseId"),
             F.col(f"{side}LocationId").alias("locationId"),
         )
 
-    both = F.explode(F.array(leg(0, "outbound", "from"), leg(1, "inbound", "to"))).alias("side")
-    common = ("id", "productId", "quantity", "unitPrice", "reference", "notes")
-    rows = requests.select(*common, F.col("transferDate").alias("transactionDate"), both)
-    return rows.select(*common, "transactionDate", "side.*")
+    both = F.explode(F.array(leg(0, "outbound", "out", "from"), leg(1, "inbound", "in", "to"))).alias("side")
+    common = ("productId", "quantity", "unitPrice", "reference", "notes")
+    rows = requests.select(F.col("id").alias("request"), *common, F.col("transferDate").alias("transactionDate"), both)
+    return rows.select("request", *common, "transactionDate", "side.*")
 
 
 def expand_transfers(
-    requests: DataFrame, ledger: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK
+    requests: DataFrame, ledger: DataFrame, partitions: int | None = None, now: datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(both legs of every covered transfer, rejected requests with ``available``).
+    """(both legs of every covered transfer, rejected requests as of ``post_outbound``).
 
     A transfer also feeds later ones out of its target, so the first decisions, made as if
     every transfer arrived, may be wrong. Those fed by a transfer whose decision has changed
     are made again until none changes any more; in order of time at least one more decision
-    is right after every round.
+    is right after every round. A blank date is ``now``.
     """
+    valid, invalid = validate_batch(_dated(requests, "transferDate", now), "transfers")
     # Every round reads the legs several times.
-    legs = materialize(transfer_legs(requests), "transfer-legs")
+    legs = materialize(transfer_legs(valid), "transfer-legs")
     leaving, arriving = legs.filter(F.col("type") == "outbound"), legs.filter(F.col("type") == "inbound")
     stock = materialize(opening_stock(ledger, legs), "transfer-stock")
 
     def decisions(posted: DataFrame) -> DataFrame:
-        decided = _decide(posted, stock, ("transactionDate", "id", "leg"), rows_per_chunk)
-        return decided.filter(F.col("type") == "outbound").select("id", "accepted", "available")
+        decided = _decide(posted, stock, ("transactionDate", "request", "leg"), partitions)
+        return decided.filter(F.col("type") == "outbound").select("request", "accepted", "available")
 
     verdicts = materialize(decisions(legs).withColumn("changed", ~F.col("accepted")), "transfer-verdicts")
     while not verdicts.filter("changed").isEmpty():
-        fed = arriving.join(verdicts.filter("changed").select("id"), "id", "left_semi").select(*KEY).distinct()
-        arrived = arriving.join(verdicts.filter("accepted").select("id"), "id", "left_semi")
+        fed = arriving.join(verdicts.filter("changed").select("request"), "request", "left_semi").select(*KEY).distinct()
+        arrived = arriving.join(verdicts.filter("accepted").select("request"), "request", "left_semi")
         again = decisions(leaving.unionByName(arrived).join(fed, KEY, "left_semi")).select(
-            "id", F.col("accepted").alias("_accepted"), F.col("available").alias("_available")
+            "request", F.col("accepted").alias("_accepted"), F.col("available").alias("_available")
         )
         verdicts = materialize(
-            verdicts.join(again, "id", "left").select(
-                "id",
+            verdicts.join(again, "request", "left").select(
+                "request",
                 F.coalesce("_accepted", "accepted").alias("accepted"),
                 F.coalesce("_available", "available").alias("available"),
                 F.coalesce(F.col("_accepted") != F.col("accepted"), F.lit(False)).alias("changed"),
             ),
             "transfer-verdicts",
         )
-    posted = legs.join(verdicts.filter("accepted").select("id"), "id", "left_semi").select(*LEG)
-    rejected = requests.join(verdicts.filter("NOT accepted").select("id", "available"), "id")
-    return posted, rejected.withColumn("requested", F.col("quantity"))
+    posted = legs.join(verdicts.filter("accepted").select("request"), "request", "left_semi").select(*LEG)
+    short = valid.join(verdicts.filter("NOT accepted").select(F.col("request").alias("id"), "available"), "id")
+    return posted, _all_rejected(invalid, short)
 
 
-def expand_adjustments(requests: DataFrame) -> DataFrame:
-    """Ledger rows of signed adjustments: inbound or outbound, without price or stock check."""
-    return requests.select(
+def expand_adjustments(requests: DataFrame, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows of signed adjustments, rejected requests with ``reject_reason``).
+
+    Rows are inbound or outbound, without price or stock check; a blank date is ``now``.
+    """
+    valid, invalid = validate_batch(_dated(requests, "adjustmentDate", now), "adjustments")
+    posted = valid.select(
         "id",
         F.when(F.col("quantity") > 0, "inbound").otherwise("outbound").alias("type"),
         "productId",
@@ -225,3 +251,4 @@ def expand_adjustments(requests: DataFrame) -> DataFrame:
         "notes",
         F.col("adjustmentDate").alias("transactionDate"),
     )
+    return posted, invalid

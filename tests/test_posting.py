@@ -64,20 +64,24 @@ def test_like_a_loop_with_a_hot_key_in_many_chunks(spark, seed, kinds, opening):
     requests = generated(seed, 1000, 0.5, kinds)
     stock = {(p, w): opening for p in range(1, 6) for w in (1, 2)} if opening else {}
     frame = spark.createDataFrame(requests, REQUEST).repartition(3)
-    decided = posting.decide(frame, ledger_of(spark, stock), rows_per_chunk=40)
+    decided = posting.decide(frame, ledger_of(spark, stock), partitions=12)
     assert by(decided, "id", "available", "accepted") == looped(requests, stock)
 
 
-def test_alternating_requests_that_settle_slowly(spark):
+def test_alternating_requests_that_settle_slowly(spark, monkeypatch):
     """Every chunk depends on the exact end of the one before."""
     requests = []
     for i in range(80):
         when = START + timedelta(minutes=i)
         requests.append((2 * i, "outbound", 1, 1, 1.0, when))
         requests.append((2 * i + 1, "outbound", 1, 1, 80.0 - i, when))
+    rounds = []
+    write = posting.materialize
+    monkeypatch.setattr(posting, "materialize", lambda df, label: rounds.append(label) or write(df, label))
     decided = posting.decide(
-        spark.createDataFrame(requests, REQUEST), ledger_of(spark, {(1, 1): 80.0}), rows_per_chunk=16
+        spark.createDataFrame(requests, REQUEST), ledger_of(spark, {(1, 1): 80.0}), partitions=10
     )
+    assert 3 < rounds.count("posting-state") <= 10 + 2
     assert by(decided, "id", "available", "accepted") == looped(requests, {(1, 1): 80.0})
 
 
@@ -103,21 +107,41 @@ def test_transfers_feed_later_transfers(spark):
             balances[r[1], r[2]] = have - r[6]
             balances[r[1], r[3]] = balances.get((r[1], r[3]), 0.0) + r[6]
     legs, rejected = posting.expand_transfers(
-        spark.createDataFrame(requests, TRANSFER), ledger_of(spark, stock), rows_per_chunk=25
+        spark.createDataFrame(requests, TRANSFER), ledger_of(spark, stock), partitions=4
     )
     sent = [r[0] for r in rows(legs, "id")]
-    assert sorted(sent) == sorted([i for i, ok in expected.items() if ok] * 2)
+    assert sorted(sent) == sorted(f"{i}-{side}" for i, ok in expected.items() if ok for side in ("in", "out"))
     assert {r[0] for r in rows(rejected, "id")} == {i for i, ok in expected.items() if not ok}
     assert {r[0] for r in rows(legs, "type")} == {"inbound", "outbound"}
 
 
+def test_blank_requests_are_rejected_and_blank_dates_filled(spark):
+    late = datetime(2030, 1, 1)
+    requests = [
+        (1, "outbound", 1, 1, None, START), (2, "outbound", 1, 1, 0.0, START), (3, "outbound", None, 1, 1.0, START),
+        (4, "outbound", 1, 1, 6.0, None), (5, "outbound", 1, 1, 6.0, START), (6, "outbound", 2, 1, 0.00004, START),
+    ]
+    posted, rejected = posting.post_outbound(
+        spark.createDataFrame(requests, REQUEST), ledger_of(spark, {(1, 1): 10.0}), now=late
+    )
+    assert by(posted, "id", "transactionDate") == {5: START}
+    assert by(rejected, "id", "reject_reason", "available") == {
+        1: ("quantity is missing", None), 2: ("quantity is missing", None), 3: ("productId is missing", None),
+        4: ("not enough stock", 4.0), 6: ("not enough stock", 0.0),
+    }
+    assert by(rejected, "id", "transactionDate")[4] == late
+
+
 def test_adjustments(spark):
     requests = spark.createDataFrame(
-        [(1, 1, 1, None, -4.0, "broken", None, START), (2, 1, 1, 7, 2.0, "found", "n", START)],
+        [(1, 1, 1, None, -4.0, "broken", None, START), (2, 1, 1, 7, 2.0, "found", "n", None), (3, 1, 1, 7, None, "x", "n", START),
+         (4, 1, 1, 7, 1.0, "", "n", START)],
         "id long, productId long, warehouseId long, locationId long, quantity double, reason string, notes string, "
         "adjustmentDate timestamp",
     )
-    assert by(posting.expand_adjustments(requests), "id", "type", "quantity", "unitPrice", "reference") == {
-        1: ("outbound", 4.0, 0.0, "ADJUSTMENT: broken"),
-        2: ("inbound", 2.0, 0.0, "ADJUSTMENT: found"),
+    posted, rejected = posting.expand_adjustments(requests, now=datetime(2030, 1, 1))
+    assert by(posted, "id", "type", "quantity", "unitPrice", "reference", "transactionDate") == {
+        1: ("outbound", 4.0, 0.0, "ADJUSTMENT: broken", START),
+        2: ("inbound", 2.0, 0.0, "ADJUSTMENT: found", datetime(2030, 1, 1)),
     }
+    assert by(rejected, "id", "reject_reason") == {3: "quantity is missing", 4: "reason is missing"}
