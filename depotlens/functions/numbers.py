@@ -16,13 +16,6 @@ LOW_BITS = 20
 FRACTION_LOW_BITS = 15
 #: Beyond this a double has no fraction and steps of hundreds; such amounts are summed as doubles.
 LARGEST = float(1 << 62)
-#: Stock units of the posting operators.
-UNITS = 10_000
-
-
-def to_units(amount: Column) -> Column:
-    """Amount as a whole number of ten-thousandths (bigint; overflow is an ANSI error)."""
-    return F.rint(amount * F.lit(float(UNITS))).cast("bigint")
 
 
 def _bits(values: Column, low_bits: int) -> Column:

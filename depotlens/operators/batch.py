@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.columns import is_blank
-from depotlens.functions.numbers import UNITS, to_units, zero_if_null
+from depotlens.functions.numbers import zero_if_null
 from depotlens.operators.billing import invoice_totals
 from depotlens.plans.lookups import lookup, only_keys_of
 
@@ -165,11 +165,13 @@ def post_invoices(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     unitPrice. The totals are folded inside the document, without a shuffle.
     """
     accepted, rejected = validate_batch(batch, "invoices")
-    amounts = F.transform("items", lambda i: F.coalesce(to_units(i["quantity"] * i["unitPrice"]), F.lit(0)))
-    units = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda total, amount: total + amount)
+    # Nine places, as sums of reports have.
+    zero = F.lit(0).cast("decimal(37,9)")
+    amounts = F.transform("items", lambda i: F.coalesce((i["quantity"] * i["unitPrice"]).cast("decimal(37,9)"), zero))
+    subtotal = F.aggregate(amounts, zero, lambda total, amount: (total + amount).cast("decimal(37,9)"))
     tax = F.col("subtotal") * F.col("taxRate") / F.lit(100.0)
     invoices = (
-        accepted.withColumn("subtotal", units / F.lit(float(UNITS)))
+        accepted.withColumn("subtotal", subtotal.cast("double"))
         .withColumn("taxAmount", tax)
         .withColumn("total", F.col("subtotal") + F.col("taxAmount"))
         .drop("items")

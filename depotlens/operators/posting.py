@@ -30,8 +30,8 @@ from depotlens.plans.lookups import only_keys_of
 CHECKED_TYPES = ("outbound", "transfer")
 KEY = ["productId", "warehouseId"]
 GROUP = [*KEY, "_part"]
-#: Stock is compared to nine places, as sums of reports are.
-EXACT = T.DecimalType(38, 9)
+#: Stock is compared to nine places, as sums of reports are; one digit less than the most, so that adding loses none.
+EXACT = T.DecimalType(37, 9)
 
 
 def _zero() -> Column:
@@ -73,7 +73,7 @@ def _folded(rows: DataFrame) -> DataFrame:
                 accepted.append(not checked or balance >= units)
                 if accepted[-1]:
                     balance = exact.add(balance, delta)
-            verdicts = [pa.array(available, pa.decimal128(38, 9)), pa.array(accepted, pa.bool_())]
+            verdicts = [pa.array(available, pa.decimal128(37, 9)), pa.array(accepted, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *verdicts], [*batch.schema.names, "available", "accepted"])
 
     return placed.mapInArrow(fold, T.StructType([*placed.schema.fields, *told]))
@@ -87,7 +87,8 @@ def opening_stock(ledger: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _starts(state: DataFrame) -> DataFrame:
     before = Window.partitionBy(*KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return state.withColumn("next", (F.col("stock") + F.coalesce(F.sum("net").over(before), _zero())).cast(EXACT))
+    earlier = F.coalesce(F.sum("net").over(before).cast(EXACT), _zero())
+    return state.withColumn("next", (F.col("stock") + earlier).cast(EXACT))
 
 
 def _settle(events: DataFrame, stock: DataFrame) -> DataFrame:

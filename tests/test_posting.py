@@ -115,6 +115,13 @@ def test_transfers_feed_later_transfers(spark):
     assert {r[0] for r in rows(legs, "type")} == {"inbound", "outbound"}
 
 
+def test_nine_places_count_across_partitions(spark):
+    small = 0.000000001
+    requests = [(i, "outbound", 1, 1, small, START + timedelta(minutes=i)) for i in range(10)]
+    decided = posting.decide(spark.createDataFrame(requests, REQUEST), ledger_of(spark, {(1, 1): 5 * small}), partitions=4)
+    assert by(decided, "id", "accepted") == {i: i < 5 for i in range(10)}
+
+
 def test_blank_requests_are_rejected_and_blank_dates_filled(spark):
     late = datetime(2030, 1, 1)
     requests = [
