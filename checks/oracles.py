@@ -135,6 +135,15 @@ CTES = {
             AND k.warehouseId = l.warehouseId), 0) AS DECIMAL(20,4))) AS DOUBLE), 0) AS inventoryValue
         FROM loc l LEFT JOIN prod p ON l.id = p.locationId
         GROUP BY l.id, l.warehouseId, l.code, l.name, l.type, l.area, l.capacity, l.status""",
+    "udoc": """SELECT *, CASE WHEN invoiceNumber = '' THEN 'invoiceNumber is missing'
+            WHEN id NOT IN (SELECT id FROM inv) THEN 'id is not known'
+            WHEN EXISTS (SELECT 1 FROM inv i WHERE i.invoiceNumber = n.invoiceNumber AND i.id <> n.id) THEN 'invoiceNumber exists' END AS reason
+        FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS id,
+            CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN concat('INV-', o_orderkey - 1)
+                ELSE concat('UPD-', o_orderkey) END AS invoiceNumber,
+            o_custkey + 1 AS customerId, CAST(o_orderdate AS DATE) AS invoiceDate,
+            CASE WHEN o_custkey % 2 = 0 THEN 8.0 ELSE 0.0 END::DOUBLE AS taxRate, o_custkey, o_totalprice,
+            CAST(CAST(2 * o_totalprice AS DECIMAL(18,2)) + 30.75 AS DOUBLE) AS subtotal FROM orders) n""",
 }
 
 HOME_JOIN = "LEFT JOIN led t ON p.id = t.productId AND p.warehouseId = t.warehouseId"
@@ -479,11 +488,13 @@ TRANSFERRED = """WITH RECURSIVE req AS (
     UNION ALL SELECT id, 'rejected', productId, src, available FROM run WHERE n > 0 AND NOT accepted
     UNION ALL SELECT id, 'rejected', productId, src, NULL FROM req WHERE src = 0 OR dst = 0 OR productId = 0"""
 
-UPSERT = """WITH change AS (SELECT l_partkey * 2 AS id, concat('Version ', l_orderkey) AS name,
-        concat('SKU-', l_partkey * 2) AS sku, l_extendedprice AS unitPrice, l_shipdate AS updatedAt FROM lineitem),
-    latest AS (SELECT * FROM change QUALIFY row_number() OVER (PARTITION BY id
+UPSERT_CHANGES = """WITH change AS (SELECT l_partkey * 2 AS id,
+        CASE WHEN l_linenumber % 3 > 0 THEN concat('Version ', l_orderkey) ELSE '' END AS name,
+        concat('SKU-', l_partkey * 2) AS sku, l_extendedprice AS unitPrice, l_shipdate AS updatedAt FROM lineitem)"""
+UPSERT = UPSERT_CHANGES + """,
+    latest AS (SELECT * FROM change WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY id
         ORDER BY updatedAt DESC, name DESC, sku DESC, unitPrice DESC) = 1)
-    SELECT coalesce(l.id, p.id) AS id, CASE WHEN l.id IS NULL THEN p.name ELSE l.name END AS name,
+    SELECT coalesce(p.id, l.id) AS id, CASE WHEN l.id IS NULL THEN p.name ELSE l.name END AS name,
         CASE WHEN l.id IS NULL THEN p.sku ELSE l.sku END AS sku,
         CASE WHEN l.id IS NULL THEN p.description END AS description, CASE WHEN l.id IS NULL THEN p.category END AS category,
         CASE WHEN l.id IS NULL THEN p.manufacturer END AS manufacturer, CASE WHEN l.id IS NULL THEN p.uomId END AS uomId,
@@ -492,7 +503,7 @@ UPSERT = """WITH change AS (SELECT l_partkey * 2 AS id, concat('Version ', l_ord
         CASE WHEN l.id IS NULL THEN p.maxStock END AS maxStock,
         CASE WHEN l.id IS NULL THEN p.unitPrice ELSE l.unitPrice END AS unitPrice,
         strftime(CASE WHEN l.id IS NULL THEN TIMESTAMP '1990-01-01' ELSE l.updatedAt END, '%Y-%m-%d %H:%M:%S') AS updatedAt
-    FROM prod p FULL JOIN latest l ON p.id = l.id"""
+    FROM prod p {} JOIN latest l ON p.id = l.id"""
 
 
 def guarded(table: str, *references: str) -> str:
@@ -712,7 +723,22 @@ BODIES = {
         CASE WHEN lack IS NULL THEN 0.0::DOUBLE END AS unitPrice, coalesce(lack, concat('ADJUSTMENT: ', notes)) AS reference
         FROM (SELECT *, CASE WHEN productId = 0 THEN 'productId is missing' WHEN warehouseId = 0 THEN 'warehouseId is missing' END AS lack
             FROM led WHERE type = 'adjustment') t""",
-    "upsert_latest": UPSERT,
+    "upsert_latest": UPSERT.format("LEFT"),
+    "upsert_latest_insert": UPSERT.format("FULL"),
+    "upsert_latest_rejected": UPSERT_CHANGES + """ SELECT id, name, sku, unitPrice,
+        CASE WHEN name = '' THEN 'name is missing' ELSE 'id is not known' END AS reject_reason
+        FROM change WHERE name = '' OR id NOT IN (SELECT id FROM prod)""",
+    "update_invoices": """SELECT i.id, coalesce(d.invoiceNumber, i.invoiceNumber) AS invoiceNumber,
+        coalesce(d.customerId, i.customerId) AS customerId, strftime(coalesce(d.invoiceDate, i.invoiceDate), '%Y-%m-%d') AS invoiceDate,
+        i.status, CASE WHEN d.id IS NULL THEN 5.0 ELSE d.taxRate END::DOUBLE AS taxRate, coalesce(d.subtotal, 0) AS subtotal,
+        coalesce(d.subtotal * d.taxRate / 100, 0) AS taxAmount,
+        CASE WHEN d.id IS NULL THEN i.total ELSE d.subtotal + d.subtotal * d.taxRate / 100 END AS total
+        FROM inv i LEFT JOIN (SELECT * FROM udoc WHERE reason IS NULL) d ON d.id = i.id""",
+    "update_invoices_items": """SELECT invoiceId, productId, lineNo, quantity, unitPrice, total FROM item
+        WHERE invoiceId NOT IN (SELECT id FROM udoc WHERE reason IS NULL)
+        UNION ALL SELECT id, o_custkey, NULL, 2.0, o_totalprice, 2.0 * o_totalprice FROM udoc WHERE reason IS NULL
+        UNION ALL SELECT id, o_custkey + 1, NULL, 3.0, 10.25, 30.75 FROM udoc WHERE reason IS NULL""",
+    "update_invoices_rejected": "SELECT id, invoiceNumber, reason AS reject_reason FROM udoc WHERE reason IS NOT NULL",
     "upsert_area_usage": f"""SELECT w.id, w.name, w.code, w.totalArea, w.rentalPrice, w.type,
         coalesce(t.quantity, w.usedArea) AS usedArea,
         coalesce({STAMP.format('t.transactionDate')}, '1990-01-01 00:00:00') AS updatedAt
@@ -726,6 +752,7 @@ BODIES = {
         SELECT {NEW_INVOICE}, l_partkey AS productId, l_quantity AS quantity, 10.25::DOUBLE AS unitPrice
         FROM lineitem WHERE l_suppkey <> 0
         UNION ALL SELECT {NEW_INVOICE}, l_partkey + 1, 2.0, l_extendedprice FROM lineitem WHERE l_suppkey <> 0)""",
+    "plain_delete_rejected": "SELECT DISTINCT concat(id, '-x') AS id, 'id is not known' AS reject_reason FROM led WHERE type = 'transfer'",
     "plain_delete": f"SELECT {LEDGER_COLUMNS} FROM led t WHERE t.type <> 'adjustment'",
     "replace_children_invoices": f"""SELECT i.id, i.invoiceNumber, i.customerId,
         strftime(i.invoiceDate, '%Y-%m-%d') AS invoiceDate, i.status, 8.0::DOUBLE AS taxRate,
@@ -764,7 +791,10 @@ BODIES = {
     "csv_export": "SELECT concat('\"SKU-', p_partkey, '\",\"', p_name, ' 24\"\"\",\"', p_brand, '\"') AS line FROM part",
     "json_rows": """SELECT concat('{"id":', id, ',"code":"', code, '","name":"', name, '","status":"', status, '"}') AS json
         FROM cust""",
+    "csv_sink": "SELECT concat('SKU-', p_partkey) AS code, concat(p_name, ' 24\"') AS name, p_brand AS brand FROM part",
+    "json_sink": "SELECT id, code, name, status FROM cust",
 }
+BODIES["ledger_by_month"] = BODIES["ledger_summary"] + " WHERE transactionDate >= '1996-01-01' AND transactionDate < '1997-01-01'"
 
 
 def with_ctes(body: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from checks.synthetic import SyntheticTables
 from depotlens.operators import batch, billing, catalog, dashboard, ledger, maintenance, posting, reports, search
+from depotlens.plans.durable import new_path
 from depotlens.sources import files
 
 YEAR = {"start": "1996-01-01", "end": "1996-12-31"}
@@ -156,16 +157,36 @@ def expand_adjustments(t: SyntheticTables) -> DataFrame:
     return posted.unionByName(told, allowMissingColumns=True)
 
 
-def upsert_latest(t: SyntheticTables) -> DataFrame:
+def _upserted(t: SyntheticTables, insert: bool) -> tuple[DataFrame, DataFrame]:
+    """Changes of known and unknown products, some without a name."""
     changes = t["lineitem"].selectExpr(
         "l_partkey * 2 AS id",
-        "concat('Version ', l_orderkey) AS name",
+        "CASE WHEN l_linenumber % 3 > 0 THEN concat('Version ', l_orderkey) ELSE '' END AS name",
         "concat('SKU-', l_partkey * 2) AS sku",
         "l_extendedprice AS unitPrice",
         "l_shipdate AS updatedAt",
     )
     target = t["products"].withColumn("updatedAt", F.lit("1990-01-01").cast("timestamp_ntz"))
-    return batch.upsert_latest(target, changes, "products")
+    return batch.upsert_latest(target, changes, "products", insert)
+
+
+def upsert_latest_rejected(t: SyntheticTables) -> DataFrame:
+    return _upserted(t, False)[1].select("id", "name", "sku", "unitPrice", "reject_reason")
+
+
+def _updated_invoices(t: SyntheticTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents for known and unknown invoices, some without a number, some with that of another one."""
+    documents = t["orders"].selectExpr(
+        "CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS id",
+        "CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN concat('INV-', o_orderkey - 1) ELSE concat('UPD-', o_orderkey) END AS invoiceNumber",
+        "o_custkey + 1 AS customerId",
+        "CAST(o_orderdate AS DATE) AS invoiceDate",
+        "CASE WHEN o_custkey % 2 = 0 THEN 8.0D END AS taxRate",
+        """array(named_struct('productId', o_custkey, 'quantity', 2.0D, 'unitPrice', o_totalprice),
+                 named_struct('productId', o_custkey + 1, 'quantity', 3.0D, 'unitPrice', 10.25D)) AS items""",
+    )
+    invoices = t["invoices"].withColumns({"subtotal": F.lit(0.0), "taxRate": F.lit(5.0), "taxAmount": F.lit(0.0)})
+    return batch.update_invoices(invoices, t["invoice_items"], documents)
 
 
 def _replaced(t: SyntheticTables) -> tuple[DataFrame, DataFrame]:
@@ -203,10 +224,17 @@ def upsert_area_usage(t: SyntheticTables) -> DataFrame:
     )
     accepted, _ = batch.validate_batch(reported, "area_usage")
     target = t["warehouses"].withColumn("updatedAt", F.lit("1990-01-01").cast("timestamp_ntz"))
-    return batch.upsert_latest(target, accepted, "area_usage", insert=False)
+    return batch.upsert_latest(target, accepted, "area_usage")[0]
+
+
+def plain_delete(t: SyntheticTables) -> tuple[DataFrame, DataFrame]:
+    """Adjustments go; ids of requests that were never posted are unknown."""
+    adjustments = t["transactions"].filter("type = 'adjustment'").select("id")
+    never = t["transactions"].filter("type = 'transfer'").select(F.concat("id", F.lit("-x")).alias("id"))
+    return batch.plain_delete(t["transactions"], adjustments.unionByName(never))
 
 
-def _overdue(t: SyntheticTables) -> tuple[DataFrame, DataFrame]:
+def _overdue(t: SyntheticTables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return batch.cascade_delete(t["invoices"], t["invoice_items"], t["invoices"].filter("status = 'overdue'"))
 
 
@@ -239,6 +267,28 @@ def json_rows(t: SyntheticTables) -> DataFrame:
     return files.json_rows(t["customers"].select("id", "code", "name", "status"))
 
 
+def csv_sink(t: SyntheticTables) -> DataFrame:
+    listed = t["part"].selectExpr("concat('SKU-', p_partkey) AS code", "concat(p_name, ' 24\"') AS name", "p_brand AS brand")
+    path = new_path(listed.sparkSession, "csv")
+    files.write_csv(listed, path)
+    return listed.sparkSession.read.schema(listed.schema).csv(path, header=True, escape='"')
+
+
+def json_sink(t: SyntheticTables) -> DataFrame:
+    listed = t["customers"].select("id", "code", "name", "status")
+    path = new_path(listed.sparkSession, "json")
+    files.write_json(listed, path)
+    return listed.sparkSession.read.schema(listed.schema).json(path)
+
+
+def ledger_by_month(t: SyntheticTables) -> DataFrame:
+    """The summary of a year, from a ledger that was written by month."""
+    ledger_rows = t["transactions"]
+    path = new_path(ledger_rows.sparkSession, "ledger")
+    files.append_ledger(ledger_rows, path)
+    return ledger.ledger_summary({"transactions": ledger_rows.sparkSession.read.parquet(path)}, **YEAR)
+
+
 OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     # Reports
     "overview": reports.overview,
@@ -354,11 +404,17 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "post_outbound_blanks": post_outbound_blanks,
     "expand_transfers": expand_transfers,
     "expand_adjustments": expand_adjustments,
-    "upsert_latest": upsert_latest,
+    "upsert_latest": lambda t: _upserted(t, False)[0],
+    "upsert_latest_rejected": upsert_latest_rejected,
+    "upsert_latest_insert": lambda t: _upserted(t, True)[0],
+    "update_invoices": lambda t: _updated_invoices(t)[0],
+    "update_invoices_items": lambda t: _updated_invoices(t)[1],
+    "update_invoices_rejected": lambda t: _updated_invoices(t)[2].select("id", "invoiceNumber", "reject_reason"),
     "upsert_area_usage": upsert_area_usage,
     "post_invoices": lambda t: _posted_invoices(t)[0],
     "post_invoices_items": lambda t: _posted_invoices(t)[1],
-    "plain_delete": lambda t: batch.plain_delete(t["transactions"], t["transactions"].filter("type = 'adjustment'")),
+    "plain_delete": lambda t: plain_delete(t)[0],
+    "plain_delete_rejected": lambda t: plain_delete(t)[1],
     "replace_children_invoices": lambda t: _replaced(t)[0],
     "replace_children_items": lambda t: _replaced(t)[1],
     "guarded_delete_products": lambda t: _deleted(t, "products"),
@@ -373,6 +429,9 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "resolve_products_exact": lambda t: resolve_products(t, "exact"),
     "csv_export": csv_export,
     "json_rows": json_rows,
+    "csv_sink": csv_sink,
+    "json_sink": json_sink,
+    "ledger_by_month": ledger_by_month,
 }
 
 

@@ -59,12 +59,17 @@ RULES = {
 def validate_batch(batch: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
     """(records with defaults filled in, rejected records with the first ``reject_reason``)."""
     rules = RULES[entity]
+    accepted, rejected = _judged(batch, rules)
+    return _completed(accepted, rules.defaults, rules.fixed), rejected
+
+
+def _judged(batch: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     reasons = [F.when(is_blank(batch, c), f"{c} is missing") for c in rules.required]
     reasons += [F.when(~F.col(c).isin(*values), f"{c} is not allowed") for c, values in rules.allowed.items()]
     reasons += [F.when(F.col(c).isNull() | (F.col(c) < 0), f"{c} is not valid") for c in rules.not_negative]
-    judged = batch.withColumn("reject_reason", F.coalesce(*reasons))
+    judged = batch.withColumn("reject_reason", F.coalesce(*reasons, F.lit(None).cast("string")))
     accepted = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    return _completed(accepted, rules.defaults, rules.fixed), judged.filter(F.col("reject_reason").isNotNull())
+    return accepted, judged.filter(F.col("reject_reason").isNotNull())
 
 
 def _completed(df: DataFrame, defaults: Mapping[str, Any], fixed: Mapping[str, Any]) -> DataFrame:
@@ -126,16 +131,38 @@ UPDATED = {
 }
 
 
-def upsert_latest(target: DataFrame, changes: DataFrame, entity: str, insert: bool = True) -> DataFrame:
-    """New version of the target: per id the newest change (by ``updatedAt``) overwrites.
+# What an update must not leave blank.
+REQUIRED_ON_UPDATE = {
+    "products": Rules(("name", "sku")),
+    "warehouses": Rules(("name", "code")),
+    "locations": Rules(("code", "name")),
+    "customers": Rules(("name", "code")),
+    "maintenance_plans": Rules(("title", "plannedDate")),
+    "incidents": Rules(("title", "description")),
+    "maintenance_staff": Rules(("name", "code")),
+    "location_status": RULES["location_status"],
+    "area_usage": RULES["area_usage"],
+}
+
+UNKNOWN_ID = "id is not known"
+
+
+def upsert_latest(
+    target: DataFrame, changes: DataFrame, entity: str, insert: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(new version of the target, rejected changes): per id the newest sound change (by ``updatedAt``) overwrites.
 
     An update overwrites every updatable column, also with NULL; a column that neither side
-    has is skipped, and one that only the changes lack counts as NULL. Unknown ids are
-    appended, or dropped with ``insert=False``. A ledger row without a date gets the time
-    of its update.
+    has is skipped, and one that only the changes lack counts as NULL. Changes that leave a
+    required field blank are rejected with their ``reject_reason``, as are those of unknown
+    ids, which ``insert=True`` appends. A ledger row without a date gets the time of its update.
     """
     listed, defaults = UPDATED[entity]
     columns = [c for c in listed.split() if c in target.columns]
+    changes, rejected = _judged(changes, REQUIRED_ON_UPDATE.get(entity, Rules()))
+    if not insert:
+        unknown = changes.join(target.select("id"), "id", "left_anti")
+        rejected = rejected.unionByName(unknown.withColumn("reject_reason", F.lit(UNKNOWN_ID)))
     complete = changes.withColumns(
         {c: F.lit(None).cast(target.schema[c].dataType) for c in columns if c not in changes.columns}
     )
@@ -153,24 +180,38 @@ def upsert_latest(target: DataFrame, changes: DataFrame, entity: str, insert: bo
     }
     version = joined.withColumns(overwritten).drop("_id", "new")
     if not insert:
-        return version
+        return version, rejected
     added = latest.join(target.select("id"), "id", "left_anti").select("id", "new.*")
-    return version.unionByName(added.select(*[c for c in added.columns if c in target.columns]), allowMissingColumns=True)
+    added = added.select(*[c for c in added.columns if c in target.columns])
+    return version.unionByName(added, allowMissingColumns=True), rejected
 
 
-def post_invoices(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+NUMBER_EXISTS = "invoiceNumber exists"
+
+
+def post_invoices(batch: DataFrame, invoices: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(invoices with totals, their items, rejected ones) of invoice documents.
 
     A document has its items nested, as structs with at least productId, quantity and
-    unitPrice. The totals are folded inside the document, without a shuffle.
+    unitPrice. The totals are folded inside the document, without a shuffle. With the
+    present ``invoices``, documents whose number exists there or in a document of a smaller
+    id are rejected.
     """
     accepted, rejected = validate_batch(batch, "invoices")
+    if invoices is not None:
+        accepted, known = reject_duplicates(accepted, invoices, "invoiceNumber")
+        known = known.withColumn("reject_reason", F.lit(NUMBER_EXISTS))
+        rejected = rejected.unionByName(known, allowMissingColumns=True)
+    return *_totalled(accepted), rejected
+
+
+def _totalled(accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Nine places, as sums of reports have.
     zero = F.lit(0).cast("decimal(37,9)")
     amounts = F.transform("items", lambda i: F.coalesce((i["quantity"] * i["unitPrice"]).cast("decimal(37,9)"), zero))
     subtotal = F.aggregate(amounts, zero, lambda total, amount: (total + amount).cast("decimal(37,9)"))
     tax = F.col("subtotal") * F.col("taxRate") / F.lit(100.0)
-    invoices = (
+    heads = (
         accepted.withColumn("subtotal", subtotal.cast("double"))
         .withColumn("taxAmount", tax)
         .withColumn("total", F.col("subtotal") + F.col("taxAmount"))
@@ -179,19 +220,57 @@ def post_invoices(batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     items = accepted.select(F.col("id").alias("invoiceId"), F.explode("items").alias("item")).select(
         "invoiceId", "item.*", (F.col("item.quantity") * F.col("item.unitPrice")).alias("total")
     )
-    return invoices, items, rejected
+    return heads, items
+
+
+INVOICE_HEADER = "invoiceNumber customerId invoiceDate dueDate subtotal taxRate taxAmount total notes updatedAt"
+
+
+def update_invoices(
+    invoices: DataFrame, items: DataFrame, documents: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(invoices, items, rejected documents): header, totals and all items of the documents' invoices change.
+
+    Documents are those of ``post_invoices``, at most one for an invoice. A blank tax rate is 0, and a header column that a
+    document lacks becomes NULL. Rejected are documents with a blank required field, of an
+    unknown id, and those whose number another invoice, or a document of a smaller id, has.
+    """
+    sound, blank = validate_batch(documents, "invoices")
+    unknown = sound.join(invoices.select("id"), "id", "left_anti").withColumn("reject_reason", F.lit(UNKNOWN_ID))
+    known = sound.join(invoices.select("id"), "id", "left_semi")
+    held = invoices.select(F.col("id").alias("_holder"), F.col("invoiceNumber").alias("_number"))
+    first = known.groupBy(F.col("invoiceNumber").alias("_number")).agg(F.min("id").alias("_holder"))
+    same = F.col("invoiceNumber") == F.col("_number")
+    free = known
+    for holders in (held, first):
+        free = free.join(holders, same & (F.col("id") != F.col("_holder")), "left_anti")
+    taken = known.join(free.select("id"), "id", "left_anti").withColumn("reject_reason", F.lit(NUMBER_EXISTS))
+    rejected = blank.unionByName(unknown, allowMissingColumns=True).unionByName(taken, allowMissingColumns=True)
+
+    heads, new_items = _totalled(free)
+    columns = [c for c in INVOICE_HEADER.split() if c in invoices.columns]
+    new = heads.select(
+        F.col("id").alias("_id"),
+        *[(F.col(c) if c in heads.columns else F.lit(None)).cast(invoices.schema[c].dataType).alias(f"_{c}") for c in columns],
+    )
+    joined = invoices.join(new, F.col("id") == F.col("_id"), "left")
+    version = joined.withColumns({c: F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns})
+    kept = _without(items, free.select("id"), "invoiceId")
+    return version.select(*invoices.columns), kept.unionByName(new_items, allowMissingColumns=True), rejected
 
 
 def replace_children(
     invoices: DataFrame, items: DataFrame, new_items: DataFrame, tax_rate: float | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(invoices with new totals, items): all items of the invoices in ``new_items`` change.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(invoices with new totals, items, rejected items): all items of the invoices in ``new_items`` change.
 
-    Item totals are worked out here; items of invoices that do not exist are dropped. The
+    Item totals are worked out here; items of invoices that do not exist are rejected. The
     tax rate is the one given, else that of the invoice.
     """
     priced = new_items.withColumn("total", F.col("quantity") * F.col("unitPrice"))
-    known = priced.join(invoices.select(F.col("id").alias("invoiceId")), "invoiceId", "left_semi")
+    ids = invoices.select(F.col("id").alias("invoiceId"))
+    known = priced.join(ids, "invoiceId", "left_semi")
+    rejected = new_items.join(ids, "invoiceId", "left_anti").withColumn("reject_reason", F.lit("invoiceId is not known"))
     touched = known.select("invoiceId").distinct()
     kept = items.join(touched, "invoiceId", "left_anti")
     version = kept.unionByName(known, allowMissingColumns=True)
@@ -202,7 +281,7 @@ def replace_children(
     tax = F.col("_subtotal") * rate / F.lit(100.0)
     changed = {"subtotal": F.col("_subtotal"), "taxRate": rate, "taxAmount": tax, "total": F.col("_subtotal") + tax}
     overwritten = {c: F.when(F.col("_id").isNotNull(), v).otherwise(F.col(c)) for c, v in changed.items()}
-    return joined.withColumns(overwritten).drop("_id", "_subtotal"), version
+    return joined.withColumns(overwritten).drop("_id", "_subtotal"), version, rejected
 
 
 # The tables that must not refer to a record that is deleted.
@@ -230,14 +309,22 @@ def guarded_delete(
     return tables[entity].join(asked.filter(free), "id", "left_anti"), asked.filter(~free)
 
 
-def plain_delete(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """New version without the rows of those ids."""
-    return table.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti")
+def _without(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return table.join(ids.select(F.col("id").alias(key)), key, "left_anti")
+
+
+def plain_delete(table: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new version without the rows of those ids, rejected ids: those the table does not have)."""
+    unknown = _without(ids.select("id").distinct(), table, "id").withColumn("reject_reason", F.lit(UNKNOWN_ID))
+    return _without(table, ids, "id"), unknown
 
 
-def cascade_delete(invoices: DataFrame, items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(invoices, items) without the invoices of those ids."""
-    return plain_delete(invoices, ids), plain_delete(items, ids, "invoiceId")
+def cascade_delete(
+    invoices: DataFrame, items: DataFrame, ids: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(invoices, items, rejected ids): the invoices of those ids go, with their items."""
+    kept, unknown = plain_delete(invoices, ids)
+    return kept, _without(items, ids, "invoiceId"), unknown
 
 
 def latest_plan_status(plans: DataFrame, progress: DataFrame) -> DataFrame:

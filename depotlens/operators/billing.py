@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.columns import any_of, like_ascii, where_equal
 from depotlens.functions.dates import in_days
 from depotlens.functions.numbers import exact_avg, exact_sum, zero_if_null
-from depotlens.plans.lookups import lookup, sorted_list
+from depotlens.plans.lookups import lookup, only_keys_of, sorted_list
 from depotlens.plans.parts import nest_children
 from depotlens.plans.stock import Tables
 
@@ -55,10 +55,12 @@ def invoice_list(
     named = lookup(invoices, tables["customers"], "customerId", customerName="name", customerCode="code")
     if keyword:
         named = named.filter(any_of([like_ascii(c, keyword) for c in INVOICE_TEXT]))
-    items = (
-        tables["invoice_items"]
-        .groupBy(F.col("invoiceId").alias("_invoice"))
-        .agg(F.count("*").alias("itemCount"), exact_sum(F.col("total")).alias("calculatedTotal"))
+    lines = tables["invoice_items"]
+    if customer_id is not None or keyword:
+        wanted = named.select(F.col("id").alias("invoiceId"))
+        lines = only_keys_of(lines, wanted, ["invoiceId"], invoices.select("id"))
+    items = lines.groupBy(F.col("invoiceId").alias("_invoice")).agg(
+        F.count("*").alias("itemCount"), exact_sum(F.col("total")).alias("calculatedTotal")
     )
     joined = named.join(items, F.col("id") == F.col("_invoice"), "left").drop("_invoice")
     return sorted_list(joined.fillna(0, subset=["itemCount"]), F.desc("invoiceDate"), "id", ordered=ordered)

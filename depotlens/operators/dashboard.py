@@ -56,7 +56,7 @@ def dashboard_kpis(tables: Tables, as_of: str | None = None) -> DataFrame:
     """One row: products, low stock, slips of the day, free area, sum of catalog prices."""
     documents = tables["documents"]
     today = F.to_date(newest(documents, "createdAt", as_of))
-    slips = documents.filter(F.to_date("createdAt") == today)
+    slips = documents.filter((F.col("createdAt") >= today) & (F.col("createdAt") < F.date_add(today, 1)))
     stock = document_on_hand(tables).agg(
         F.count("*").alias("products"),
         F.count_if(F.col("onHand") <= LOW_STOCK).alias("lowStock"),
@@ -65,7 +65,8 @@ def dashboard_kpis(tables: Tables, as_of: str | None = None) -> DataFrame:
     area = tables["warehouses"].select(zero_if_null(exact_sum(zero_if_null(free_area())))).scalar()
 
     def slip_count(kind: str) -> Column:
-        return slips.filter(F.col("type") == kind).select(F.count("*")).scalar()
+        # Both counts are over the same rows, so that Spark merges them into one scan.
+        return slips.select(F.count_if(F.col("type") == kind)).scalar()
 
     return stock.select(
         "products",

@@ -135,26 +135,32 @@ def transactions_timeline(
     """Activity per day and type, newest day first."""
     ledger = where_equal(tables["transactions"], type=type, warehouseId=warehouse_id)
     ledger = in_days(ledger, "transactionDate", start, end)
-    # Two distinct counts triple their input, so rows of the same product and warehouse are
-    # combined first.
-    cells = ledger.groupBy(
-        F.to_date("transactionDate").alias("date"), "type", "productId", "warehouseId"
-    ).agg(
-        F.count("*").alias("rows"),
-        exact_sum(F.col("quantity")).alias("quantity"),
-        exact_sum(line_value()).alias("value"),
-    )
-    return (
-        cells.groupBy("date", "type")
+    day = F.to_date("transactionDate").alias("date")
+    # Two distinct counts in one aggregation would triple the rows and shuffle them by product
+    # and warehouse, so products and warehouses are counted apart and meet by day and type.
+    by_product = (
+        ledger.groupBy(day, "type", "productId")
+        .agg(
+            F.count("*").alias("rows"),
+            exact_sum(F.col("quantity")).alias("quantity"),
+            exact_sum(line_value()).alias("value"),
+        )
+        .groupBy("date", "type")
         .agg(
             F.sum("rows").alias("transactionCount"),
-            exact_sum(F.col("quantity")).alias("totalQuantity"),
-            exact_sum(F.col("value")).alias("totalValue"),
-            F.count_distinct("productId").alias("uniqueProducts"),
-            F.count_distinct("warehouseId").alias("uniqueWarehouses"),
+            exact_total(F.col("quantity")).alias("totalQuantity"),
+            exact_total(F.col("value")).alias("totalValue"),
+            F.count("productId").alias("uniqueProducts"),
         )
-        .orderBy(F.desc("date"), "type")
     )
+    by_warehouse = (
+        ledger.select(day, "type", "warehouseId")
+        .distinct()
+        .groupBy(F.col("date").alias("_date"), F.col("type").alias("_type"))
+        .agg(F.count("warehouseId").alias("uniqueWarehouses"))
+    )
+    same = F.col("date").eqNullSafe(F.col("_date")) & F.col("type").eqNullSafe(F.col("_type"))
+    return by_product.join(by_warehouse, same).drop("_date", "_type").orderBy(F.desc("date"), "type")
 
 
 def _referenced(
@@ -319,7 +325,7 @@ def top_products(
             F.count("*").alias("n"),
             exact_sum(F.col("quantity")).alias("quantity"),
             exact_sum(line_value()).alias("revenue"),
-            F.sum("unitPrice").alias("prices"),
+            exact_sum(F.col("unitPrice")).alias("prices"),
             F.count("unitPrice").alias("priced"),
         )
     )
@@ -341,7 +347,7 @@ def top_products(
             F.sum("n").alias("transactionCount"),
             exact_total(F.col("quantity")).alias("totalQuantity"),
             exact_total(F.col("revenue")).alias("totalRevenue"),
-            (F.sum("prices") / F.sum("priced")).alias("averagePrice"),
+            (exact_total(F.col("prices")) / F.sum("priced")).alias("averagePrice"),
         )
         .orderBy(F.desc(order), "id", "_warehouse")
         .limit(int(limit))
