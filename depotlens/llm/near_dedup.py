@@ -1,11 +1,11 @@
 """Near-duplicate classes by DartMinHash signatures and banding.
 
-The elements of a text are its shingles of five words, weighted by how often they occur. Each
-element owns a board of hashed darts: points of a Poisson process of unit rate over (weight,
+The elements of a text are its distinct shingles of five words, each of weight 1, since links are
+verified on sets: a text and the same text doubled are alike. Each element owns a board of hashed darts: points of a Poisson process of unit rate over (weight,
 rank), the same for every text. A text keeps the darts inside its elements' weights and below a
 rank that lets it expect about k ln k + 2 k darts; every dart hits one of k coordinates, and the
 lowest rank per coordinate is the signature. Coordinates left empty get a higher rank. Two
-signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
+signatures agree in a coordinate with the probability of the Jaccard similarity of the sets (of the weights, if they differ).
 
 Texts whose signatures agree in a band share a bucket. First one pivot of each bucket meets all
 its members, every pair is verified on the shingles themselves, and the classes of these links are
@@ -65,7 +65,7 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the shingles and their counts.
+    """Sorted distinct hashes of the shingles and their weights, 1 however often they occur.
 
     Words are runs without white space, A-Z in lower case. A text of one to four words is
     one shingle, a text without words has none.
@@ -73,8 +73,8 @@ def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(text.lower() if text else None)
     if 0 < len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], U64), np.ones(1)
-    found, counts = np.unique(window_hashes(hash_words(words), SHINGLE), return_counts=True)
-    return found, counts.astype(np.float64)
+    found = np.unique(window_hashes(hash_words(words), SHINGLE))
+    return found, np.ones(len(found))
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES) -> np.ndarray:
@@ -134,12 +134,12 @@ def band_hashes(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to id, digest of the weighted shingles and bands."""
+    """Rows to id, digest of the set of shingles and bands."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
             found = [shingles(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            digest = [xxhash.xxh3_128_digest(e.tobytes() + w.tobytes()) if len(e) else None for e, w in found]
+            digest = [xxhash.xxh3_128_digest(e.tobytes()) if len(e) else None for e, _ in found]
             bands: list[np.ndarray | None] = [None] * len(found)
             at = [i for i, (e, _) in enumerate(found) if len(e)]
             for i, row in zip(at, band_hashes([found[i] for i in at]) if at else ()):

@@ -301,6 +301,18 @@ def test_near_copies_over_many_blocks(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
 
 
+def test_near_copies_that_repeat_themselves(spark):
+    """Links are those of the sets of shingles, however often a text repeats some of them."""
+    rows = []
+    for i in range(8):
+        words = [f"t{i}w{j}" for j in range(1000)]
+        line = " ".join(words[100:120])
+        for n, copy in enumerate((words, words * 2, words * 3, [*words, *[line] * 1000])):
+            rows.append((10 * i + n, " ".join(copy)))
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute_classes(rows) == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_darts_estimate_weighted_similarity():
     elements = np.arange(1, 301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     random = np.random.default_rng(3)
