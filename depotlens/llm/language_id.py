@@ -177,13 +177,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Train on about ``per_language`` whole texts for every value of ``lang``, the documented bound.
+    """Train on about ``per_language`` different whole texts for every value of ``lang``, the documented bound.
 
     Rows with NULL ``lang`` or text and held-out rows are never learned from. The sample is
-    drawn by a hash of the text, so it does not depend on the order of rows.
+    drawn by a hash of the text, so it depends neither on the order of rows nor on how many copies a text has.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashes = usable.select("lang", F.xxhash64("text", F.lit(11)).alias("hash")).distinct()
+    counts = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)

@@ -380,6 +380,15 @@ def test_languages(documents, docs):
         assert 0 <= r.score <= 1 and ((r.lang_pred == "und") == (r.doc_id in (5, 6, 7)))
 
 
+def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
+    rows = [(i, f"text number {i} of one language" if i % 10 == 0 else "one hot text", "aa") for i in range(4000)]
+    rows += [(i, f"andere texte {i}", "bb") for i in range(4000, 4100)]
+    taken = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: taken.extend(zip(labels, texts)))
+    language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 40)
+    assert Counter(lang for lang, _ in taken) == {"aa": 40, "bb": 40} and len(set(taken)) == 80
+
+
 def test_held_out_rows_and_labels_are_never_inputs(documents):
     model = language_id.fit(documents, 60)
     other = language_id.fit(documents.withColumn("lang", F.when(language_id.held_out(), "xx").otherwise(F.col("lang"))), 60)
