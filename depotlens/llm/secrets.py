@@ -47,8 +47,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 16, hints=("akia",)),
     Rule("hex", r"[0-9a-f]{32,}", 32),
 )
+# A key runs to its END line. If that is missing (another BEGIN or the end of the text comes first), it takes the
+# headers and base64 lines that follow, broken by line ends, real or escaped; possessive, so that Java needs no deep stack.
+PEM_BREAK = r"(?:\s|\\[nrt]|[>#*|\"'+,])"
+PEM_CLOSED = r"(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+PEM_OPEN = (
+    rf"(?:{PEM_BREAK}*+(?:Proc-Type|DEK-Info|Comment)[^\n\\]*+)*+"
+    rf"(?:{PEM_BREAK}*+[A-Za-z0-9+/]{{20,}}+={{0,2}}+)*+"
+    r"(?:(?<=[A-Za-z0-9+/]{20})(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+[A-Za-z0-9+/]++={0,2}+(?=\s*(?:\n|\\[nr]|[\"']|$)))?+"
+)
 ADDED_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, hints=("private key",)),
+    Rule("pem", rf"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:{PEM_CLOSED}|{PEM_OPEN})", 1, version=2, hints=("private key",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, hints=("eyj",)),
 )
 RULES = BASE_RULES + ADDED_RULES
@@ -109,11 +118,15 @@ class BlobLedger:
     def read(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
-    def by_blob(self) -> DataFrame:
-        """One row per blob; there are as many parts as passes that met new rules."""
+    def by_blob(self, rules: Sequence[Rule] = ()) -> DataFrame:
+        """One row per blob, with the spans of ``rules``; there are as many parts as passes that met new rules."""
+        # A pass tells which version of a rule its spans are of.
+        wanted = [F.when(F.array_contains("rules", r.key), F.lit(r.kind)) for r in rules]
+        kinds = F.array_compact(F.array(*wanted)) if wanted else F.array().cast("array<string>")
+        spans = F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))
         return self.read().groupBy("digest").agg(
             F.flatten(F.collect_list("rules")).alias("done"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("spans"),
         )
 
 
@@ -124,7 +137,7 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule
     order of ``rules``. A NULL text is empty and has none. Repeated rows are one blob and all get
     its spans; NULL ids are paths like any other. Other columns are ignored; an empty table gives an empty
     result. Without ``ledger`` a new one is made in the shared folder. A rule of which the
-    ledger has another version is run again under its new key; findings of rules not asked for are left out.
+    ledger has another version is run again under its new key; findings of rules and versions not asked for are left out.
     """
     spark = docs.sparkSession
     ledger = ledger or BlobLedger(spark, new_path(spark, "blob-ledger"))
@@ -144,11 +157,7 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule
     blobs = versions.join(unseen, (F.col("digest") == F.col("_digest")) & F.col("path").eqNullSafe(F.col("carrier")))
     # Rows repeated as a whole share the carrier's id.
     _scan(blobs, rules).dropDuplicates(["digest"]).write.mode("append").parquet(ledger.path)
-    wanted = F.array(*[F.lit(r.kind) for r in rules])
-    found = ledger.by_blob().select(
-        F.col("digest").alias("_digest"),
-        F.filter("spans", lambda s: F.array_contains(wanted, s["kind"])).alias("spans"),
-    )
+    found = ledger.by_blob(rules).select(F.col("digest").alias("_digest"), "spans")
     # Both sides are exchanged by digest, so that Spark can split the paths of a hot blob.
     return versions.select(F.col("path").alias("doc_id"), "digest").join(
         found, F.col("digest") == F.col("_digest")
