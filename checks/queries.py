@@ -54,7 +54,7 @@ def invoice_document(t: SyntheticTables) -> DataFrame:
         ),
     )
     return document.select(
-        "id", "invoiceNumber", "customerName", "customerCode", "part", F.size("items").alias("itemCount"),
+        "id", "invoiceNumber", "customerName", "customerCode", "part", F.col("itemCount").cast("int").alias("itemCount"),
         F.array_join(line, "|").alias("items"),
     )
 

@@ -186,13 +186,13 @@ class SyntheticTables(Mapping[str, DataFrame]):
         return heads.join(lines, F.col("documentId") == F.col("l_orderkey")).drop("l_orderkey")
 
     def nested_documents(self) -> DataFrame:
-        """Stock slips with nested lines; a slip with very many lines comes in several rows."""
+        """Stock slips with nested lines, in parts of 10,000."""
         lines = self.raw("lineitem").selectExpr(
             "l_orderkey", "l_partkey AS productId", "l_quantity AS qty", "l_suppkey", "l_linenumber"
         )
         spread = ["productId", "qty", "l_suppkey", "l_linenumber"]
         line = F.struct("productId", "qty")
-        return nest_children(self.documents(), lines, "l_orderkey", line, "lines", spread, 10_000).drop("part")
+        return nest_children(self.documents(), lines, "l_orderkey", line, "lines", spread, 10_000)
 
     def maintenance_plans(self) -> DataFrame:
         return self.raw("events").filter("event_type IN ('view', 'click')").selectExpr(

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotlens.functions.columns import is_blank
@@ -340,10 +340,24 @@ def latest_plan_status(plans: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 def documents_to_ledger(documents: DataFrame, products: DataFrame) -> DataFrame:
-    """Ledger rows of stock slips: one per line, at catalog price."""
-    lines = documents.select(
-        "id", "type", "code", "warehouseId", "createdAt", F.posexplode("lines").alias("lineNo", "line")
-    )
+    """Ledger rows of stock slips: one per line, at catalog price.
+
+    Lines are numbered from 0 over the whole slip. Slips in parts (``part``, ``partCount``) go on where the parts before
+    end; only the sizes of the parts of long slips meet for that.
+    """
+    head = ("id", "type", "code", "warehouseId", "createdAt")
+    first = F.lit(0).cast("bigint")
+    if "part" in documents.columns:
+        before = Window.partitionBy("_slip").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = documents.filter("partCount > 1").select(
+            F.col("id").alias("_slip"), F.col("part").alias("_part"), F.size("lines").cast("bigint").alias("_size")
+        )
+        starts = sizes.select("_slip", "_part", F.sum("_size").over(before).alias("_first"))
+        met = (F.col("id") == F.col("_slip")) & (F.col("part") == F.col("_part"))
+        documents = documents.join(starts, met, "left")
+        first = F.coalesce("_first", first)
+    lines = documents.select(*head, first.alias("_first"), F.posexplode("lines").alias("_at", "line"))
+    lines = lines.withColumn("lineNo", F.col("_first") + F.col("_at"))
     kind = F.when(F.col("type") == "IN", "inbound").otherwise("outbound")
     rows = lines.select(
         F.concat_ws("-", "id", "lineNo").alias("id"),

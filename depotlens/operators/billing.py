@@ -72,8 +72,8 @@ ITEMS_PER_DOCUMENT = 10_000
 def invoice_document(tables: Tables, id: int | None = None, part_limit: int = ITEMS_PER_DOCUMENT) -> DataFrame:
     """Invoice header with its items nested, each with product name and SKU.
 
-    An invoice of up to ``part_limit`` items is one row (``part`` 0); a larger one takes
-    several rows that together hold all items. Invoices without items have an empty array.
+    Always with ``part``, ``partCount`` and ``itemCount`` (of the whole invoice). ``part_limit`` is the page size: part k
+    holds the items from k * ``part_limit`` on. Invoices without items are one part with an empty array.
     """
     items = where_equal(tables["invoice_items"], invoiceId=id)
     columns = [c for c in items.columns if c != "invoiceId"]

@@ -14,6 +14,7 @@ from depotlens.functions.columns import or_default
 from depotlens.functions.dates import day_spine, newest
 from depotlens.functions.numbers import exact_sum, exact_total, round_half_up, zero_if_null
 from depotlens.plans.lookups import lookup
+from depotlens.plans.parts import heads
 from depotlens.plans.stock import Tables
 
 LOW_STOCK = 5.0
@@ -54,7 +55,7 @@ def free_area() -> Column:
 
 def dashboard_kpis(tables: Tables, as_of: str | None = None) -> DataFrame:
     """One row: products, low stock, slips of the day, free area, sum of catalog prices."""
-    documents = tables["documents"]
+    documents = heads(tables["documents"])
     today = F.to_date(newest(documents, "createdAt", as_of))
     slips = documents.filter((F.col("createdAt") >= today) & (F.col("createdAt") < F.date_add(today, 1)))
     stock = document_on_hand(tables).agg(
@@ -80,7 +81,7 @@ def dashboard_kpis(tables: Tables, as_of: str | None = None) -> DataFrame:
 
 def in_out_last_days(tables: Tables, days: int = 7, as_of: str | None = None) -> DataFrame:
     """Number of IN and OUT slips for each of the last days, zero-filled."""
-    documents = tables["documents"]
+    documents = heads(tables["documents"])
     spine = day_spine(documents, "createdAt", days, as_of)
     day = F.to_date(newest(documents, "createdAt", as_of))
     per_day = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotlens.functions.columns import any_of, contains_folded, or_default, where_equal
+from depotlens.plans.parts import heads
 from depotlens.plans.stock import Tables
 
 # The labels shown for kinds and statuses.
@@ -70,6 +71,8 @@ def _invoices(df: DataFrame) -> DataFrame:
 
 def _with_line_count(tables: Tables, documents: DataFrame) -> DataFrame:
     """Slips with their number of lines, counted from whichever form the lines come in."""
+    if "itemCount" in documents.columns:
+        return heads(documents).withColumn("lineCount", F.col("itemCount"))
     if "lines" in documents.columns:
         return documents.withColumn("lineCount", F.coalesce(F.size("lines"), F.lit(0)))
     counts = (

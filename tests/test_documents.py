@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from depotlens import schemas
 from depotlens.operators import batch, dashboard, search
+from depotlens.plans.parts import nest_children
 from depotlens.sources import files
 
 SLIPS = [
@@ -107,6 +108,31 @@ def test_ledger_rows(tables):
     }
 
 
+def test_long_slips_in_parts(spark, tables):
+    """A slip of 25,000 lines is one slip: its lines are numbered through and it is counted once."""
+    slips = spark.createDataFrame(
+        [("a", "IN", "PN-9", "w1", datetime(2024, 1, 31)), ("b", "IN", "PN-10", "w1", datetime(2024, 1, 31)), ("c", "OUT", "PX-9", "w1", datetime(2024, 1, 31))],
+        "id string, type string, code string, warehouseId string, createdAt timestamp",
+    )
+    lines = spark.range(25_003).selectExpr(
+        "CASE WHEN id < 25000 THEN 'a' ELSE 'b' END AS slip", "concat('p', 1 + id % 3) AS productId", "CAST(id % 50 AS double) AS qty", "id AS n"
+    )
+    nested = nest_children(slips, lines, "slip", F.struct("productId", "qty"), "lines", ["n"], 10_000).cache()
+    shape = sorted(rows(nested, "id", "part", "partCount", "itemCount", F.size("lines")))
+    assert shape == [("a", i, 3, 25_000, n) for i, n in enumerate((10_000, 10_000, 5_000))] + [("b", 0, 1, 3, 3), ("c", 0, 1, 0, 0)]
+    ledger = batch.documents_to_ledger(nested, tables["products"]).cache()
+    found = rows(ledger, "id", "productId", "quantity")
+    assert sorted(r[0] for r in found) == sorted([f"a-{i}" for i in range(25_000)] + [f"b-{i}" for i in range(3)])
+    # Numbers follow the order of the lines over the whole slip.
+    numbered = sorted((int(i[2:]), p, q) for i, p, q in found if i[0] == "a")
+    assert [r[1:] for r in numbered] == sorted((p, q) for _, p, q in numbered)
+    given = {**tables, "documents": nested}
+    assert rows(dashboard.in_out_last_days(given))[-1][1:] == (2, 1)
+    assert dashboard.dashboard_kpis(given).first()[2:4] == (2, 1)
+    counted = search._with_line_count(given, nested)
+    assert sorted(rows(counted, "code", "lineCount")) == [("PN-10", 3), ("PN-9", 25_000), ("PX-9", 0)]
+
+
 @pytest.fixture(scope="module")
 def searchable(spark, tables):
     contracts = spark.createDataFrame(
