@@ -26,13 +26,17 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: NULL texts and those without a letter.
+    """Rejects documents without a language: NULL texts, those without a letter, and those the reject class takes.
 
-    A low score alone rejects nothing, since clean texts that are short or mix words of two
-    languages have one too. Rows that share an id stay if one of them is accepted.
+    That class is learned from text without a language, and its limit from labelled rows: a low score alone rejects
+    nothing, since clean texts that are short or mix words of two languages have one too. Where nothing could be learned, texts
+    with a letter stay. Rows that share an id stay if one of them is accepted.
     """
-    predicted = language_id.predict(docs, language_id.fit(docs))
-    accepted = predicted.filter(F.col("lang_pred") != language_id.UNKNOWN)
+    model = language_id.fit_with_reject(docs)
+    if not model.languages:
+        accepted = docs.filter(F.col("text").rlike(r"\p{L}"))
+    else:
+        accepted = language_id.predict(docs, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
     return _only(docs, accepted.select("doc_id").distinct())
 
 

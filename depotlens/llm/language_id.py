@@ -8,6 +8,7 @@ bytes, all windows of a text are classified in blocks, and their probabilities a
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,9 @@ BLOCK = 128
 #: Places of the widest filter in a window; narrower filters use the same ones.
 POSITIONS = WINDOW - max(WIDTHS) + 1
 UNKNOWN = "und"
+#: Shorter texts are not judged by the reject class, and fewer labelled texts than this do not calibrate it.
+LEAST_BYTES = 64
+LEAST_CALIBRATION = 20
 
 OUTPUT = "doc_id bigint, lang_pred string, score double"
 
@@ -42,6 +46,8 @@ class Model:
     bias: np.ndarray  # of all filters
     weights: np.ndarray  # (filters, languages)
     offset: np.ndarray
+    #: A text whose probability of the reject class (``und``, if learned) is above this has no language.
+    limit: float = 1.0
 
 
 def _views(x: np.ndarray, width: int) -> np.ndarray:
@@ -176,8 +182,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Train on about ``per_language`` different whole texts for every value of ``lang``, the documented bound.
+def draw(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
+    """Texts and labels: about ``per_language`` different whole texts for every value of ``lang``, the documented bound.
 
     Rows with NULL ``lang`` or text and held-out rows are never learned from. The sample is
     drawn by a hash of the text, so it depends neither on the order of rows nor on how many copies a text has.
@@ -197,7 +203,61 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
             taken[row["lang"]] += 1
             texts.append(row["text"])
             labels.append(row["lang"])
-    return train(texts, labels)
+    return texts, labels
+
+
+def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """Train on the texts that ``draw`` takes."""
+    return train(*draw(docs, per_language))
+
+
+def without_language(texts: list[str], seed: int = 11) -> list[str]:
+    """Texts about as long, without a language: base64, hexadecimal, tables of numbers, line noise, ids, shuffled letters."""
+    random = np.random.default_rng(seed)
+    found = []
+    for i, text in enumerate(texts):
+        size = int(min(max(len(text), WINDOW), WINDOW * WINDOWS_PER_TEXT))
+        kind = i % 6
+        if kind == 0:
+            made = base64.encodebytes(random.bytes(size)).decode()
+        elif kind == 1:
+            made = random.bytes(size).hex()
+        elif kind == 2:
+            mark = str(random.choice(["\t", ",", ";", " ", " | "]))
+            rows = (mark.join(f"{x:.{random.integers(0, 5)}f}" for x in random.normal(0, 10 ** random.integers(1, 6), 6)) for _ in range(size // 24 + 1))
+            made = str(random.choice(list("xyzABCk"))) + mark + "\n".join(rows)
+        elif kind == 3:
+            made = "".join(map(chr, random.integers(32, 127, size)))
+        elif kind == 4:
+            letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+            made = " ".join("".join(random.choice(letters, random.integers(4, 16))) for _ in range(size // 10 + 1))
+        else:
+            made = "".join(random.permutation(list(text)))
+        found.append(made[:size])
+    return found
+
+
+def fit_with_reject(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """Like ``fit`` with one class more, ``und``: a text that has no language.
+
+    Its limit is calibrated on a quarter of the labelled texts, which are not learned from then: as they are, cut
+    short, mixed in pairs and in capitals, none of them is rejected, and half of what is left to certainty is kept
+    as a margin. With too few labelled texts to calibrate nothing is rejected.
+    """
+    texts, labels = draw(docs, per_language)
+    kept = [i for i in range(len(texts)) if i % 4 != 3]
+    tried = [texts[i].encode() for i in range(len(texts)) if i % 4 == 3]
+    if len(tried) < LEAST_CALIBRATION:
+        return train(texts, labels)
+    noise = without_language([texts[i] for i in kept])[: max(6, len(kept) // len(set(labels)))]
+    model = train([texts[i] for i in kept] + noise, [labels[i] for i in kept] + [UNKNOWN] * len(noise))
+    classifier, at = Classifier(model), model.languages.index(UNKNOWN)
+    mixed = [a[:400] + b"\n" + b[:400] for a, b in zip(tried, tried[len(tried) // 2 :])]
+    forms = tried + [t[:n] for t in tried for n in (LEAST_BYTES, 2 * LEAST_BYTES, WINDOW)] + mixed + [t.upper() for t in tried]
+    forms = [t for t in forms if len(t) >= LEAST_BYTES]
+    highest = max((float(classifier.classify([t])[0, at]) for t in forms), default=1.0)
+    model.limit = (1.0 + highest) / 2
+    return model
 
 
 def _predictor(model: Model):
@@ -214,6 +274,11 @@ def _predictor(model: Model):
                 score = [0.0] * part.num_rows
                 if at:
                     p = classifier.classify([texts[i] for i in at])
+                    if UNKNOWN in names:
+                        none = names.index(UNKNOWN)
+                        judged = np.array([len(texts[i]) >= LEAST_BYTES for i in at])
+                        p[:, none] = np.where(judged & (p[:, none] > model.limit), p[:, none], -1.0)
+                        p[p[:, none] > 0] *= np.arange(len(names)) == none
                     for i, best, value in zip(at, p.argmax(1), p.max(1)):
                         lang[i], score[i] = names[best], min(1.0, float(value))
                 yield pa.record_batch(
@@ -227,7 +292,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` (0 to 1) from the whole text of every row.
 
     Only ``text`` decides. A NULL text or one without a letter is ``und`` with score 0, and so
-    is every text if the model was trained on nothing. Repeated rows get equal rows, NULL
+    is every text if the model was trained on nothing. A model with a reject class gives ``und`` with the
+    probability of that class, over all windows, if it is above the model's limit. Repeated rows get equal rows, NULL
     ids stay NULL, other columns are ignored; an empty table gives an empty result.
     """
     reachable(docs.sparkSession)

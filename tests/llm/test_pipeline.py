@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
 
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -38,6 +41,23 @@ def test_clean_documents_stay(stages):
     assert set(ids(stages[1])) == lettered
 
 
+def test_text_without_a_language_goes(spark, stages):
+    """The network rejects noise, keeps all clean texts, and takes nothing away where it has learned nothing."""
+    random = np.random.default_rng(23)
+    noise = [
+        "x\n" + "\n".join(",".join(map(str, random.integers(0, 10**6, 8))) for _ in range(60)),
+        base64.encodebytes(random.bytes(2000)).decode(),
+        random.bytes(1500).hex(),
+        "".join(map(chr, random.integers(33, 127, 2500))),
+    ]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "n", len(t)) for i, t in enumerate(noise)], stages[0].schema)
+    both = stages[0].unionByName(rows)
+    assert ids(pipeline.identify_language(spark, both, SF_DIR)) == ids(stages[1])
+    unlabelled = both.withColumn("lang", F.lit(None).cast("string"))
+    lettered = sorted(r.doc_id for r in both.collect() if r.text and re.search(r"[^\W\d_]", r.text))
+    assert ids(pipeline.identify_language(spark, unlabelled, SF_DIR)) == lettered
+
+
 def test_exact_copies_go(stages):
     last = {}
     for r in stages[1].collect():
