@@ -2,20 +2,18 @@
 
 Every passage (line or sentence) of a whole text that names a licence is compared with the
 templates by the cosine of sparse TF-IDF vectors; the best match of a file is its own licence.
-The terms of the templates are weighted by how many of all documents hold them, any other term
-counts as one held by a single document. Files without a licence inherit from the licence file of the nearest ancestor
+All terms that occur in passages or templates are weighted by how many of all documents hold them. Files without a licence inherit from the licence file of the nearest ancestor
 directory: directories, not files, are expanded to their ancestors and joined by path. Built from DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from math import log
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotlens.llm.workers import text_or_empty
 from depotlens.plans.durable import materialize
+from depotlens.plans.lookups import fits_broadcast
 
 MINIMUM = 0.6
 
@@ -48,47 +46,41 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, licence string, text string")
 
 
-def _vocabulary(spark: SparkSession) -> list[str]:
-    return sorted({r[0] for r in _templates(spark).select(F.explode(terms(F.col("text")))).collect()})
-
-
 def passages(text: Column) -> Column:
     return F.filter(F.split(text, r"\n|(?<=[.!?])\s+"), lambda p: p.rlike(ANCHORS))
 
 
-def term_weights(docs: DataFrame) -> tuple[DataFrame, float]:
-    """(term, weight) of the templates' terms, and the weight of every other term.
-
-    The weight is ln((1 + n) / (1 + df)) + 1 over all n documents.
-    """
-    spark = docs.sparkSession
-    words = _vocabulary(spark)
+def term_weights(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, weight) of every term of ``texts``: ln((1 + n) / (1 + df)) + 1 over all n documents."""
+    wanted = materialize(texts.select(F.explode(terms(F.col("text"))).alias("term")).distinct(), "wanted-terms")
     # One scan: a marker row per document counts them, the rest counts its terms.
-    held = F.array_intersect(F.array_distinct(terms(text_or_empty())), F.array(*[F.lit(w) for w in words]))
-    counts = docs.select(F.explode(F.concat(held, F.array(F.lit(" ")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    counts = materialize(counts, "term-counts")  # as many rows as the templates have terms
+    held = F.concat(F.array_distinct(terms(text_or_empty())), F.array(F.lit(" ")))
+    marked = wanted.union(docs.sparkSession.createDataFrame([(" ",)], "term string"))
+    found = docs.select(F.explode(held).alias("term"))
+    if fits_broadcast(wanted):
+        found = found.join(F.broadcast(marked), "term", "left_semi")
+        counts = found.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        counts = found.groupBy("term").agg(F.count("*").alias("df")).join(marked, "term", "left_semi")
+    counts = materialize(counts, "term-counts")
     n = (counts.filter("term = ' '").agg(F.max("df")).first()[0]) or 0
-    known = spark.createDataFrame([(w,) for w in words], "term string").join(counts, "term", "left")
     weight = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0
-    return known.select("term", weight.alias("weight")), log((1 + n) / 2) + 1 if n else 1.0
+    return wanted.join(counts, "term", "left").select("term", weight.alias("weight"))
 
 
 def own_licences(files: DataFrame, minimum: float = MINIMUM) -> DataFrame:
     """``path``, ``licence``, ``score`` of files whose text names a licence (``path``, ``text``)."""
     spark = files.sparkSession
-    weights, other = term_weights(files)
-    weights = F.broadcast(materialize(weights, "term-weights"))  # bounded by the templates' terms
     told = files.select("path", F.explode(F.array_distinct(passages(text_or_empty()))).alias("passage"))
     told = told.select("path", F.md5("passage").alias("key"), "passage")
     # A wording that many files share is compared once.
     wordings = materialize(told.groupBy("key").agg(F.max("passage").alias("text")), "wordings")
+    weights = materialize(term_weights(files, wordings.select("text").union(_templates(spark).select("text"))), "term-weights")
+    weights = F.broadcast(weights) if fits_broadcast(weights) else weights
 
     def vectors(rows: DataFrame, key: str) -> DataFrame:
         counted = rows.select(key, F.explode(terms(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-        valued = counted.join(weights, "term", "left").select(
-            key, "term", ((F.lit(1.0) + F.log("tf")) * F.coalesce("weight", F.lit(other))).alias("value")
-        )
-        return valued
+        return counted.join(weights, "term").select(key, "term", ((F.lit(1.0) + F.log("tf")) * F.col("weight")).alias("value"))
 
     left, right = vectors(wordings, "key"), vectors(_templates(spark), "template")
     left_norm = left.groupBy("key").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

@@ -1,21 +1,3 @@
-"""Every text operator against a brute-force version, on odd rows and on whole small tables."""
-
-from __future__ import annotations
-
-import hashlib
-import re
-import struct
-import zlib
-from collections import Counter, defaultdict
-
-import numpy as np
-import public_tokenizers
-import pytest
-from pyspark.sql import functions as F
-
-from depotlens.llm import exact_dedup, fingerprints, language_id, licenses, near_dedup, packing, pii, secrets, sentencepiece_codec, substring_dedup
-from depotlens.plans.durable import new_path
-
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -293,6 +275,14 @@ def test_licences(spark):
     )
 
 
+def test_common_words_beside_a_header_weigh_little(spark, size):
+    """Weights are document frequencies of all terms, whatever the number of documents."""
+    rows = [(f"d{i}/x{i}", f"in this project file w{i} v{i % 97} is as it has been") for i in range(size)]
+    rows += [("h/1", "this file is Released under the MIT License."), ("h/2", "in this project file: Licensed under CC BY 4.0.")]
+    found = licenses.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert {r.path: r.licence for r in found} == {"h/1": "MIT", "h/2": "CC-BY-4.0"}
+
+
 def brute_classes(rows):
     sets = {}
     for doc_id, text in rows:
