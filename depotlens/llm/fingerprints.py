@@ -5,7 +5,8 @@ holds how many digests it has and the XOR of the digests and of their check hash
 two sketches cancels what the versions share. Peeling then recovers the rest: a cell with one
 digest (its check hash fits) gives that digest away, which is taken out of its other cells, and
 so on. If cells remain, larger sketches are compared: the digests left are dealt by hash to
-groups with a sketch each, as many as they need, with other places for each retry. Built from DataFrame functions only.
+groups with a sketch each, as many as they need, with other places for each retry; the few that are left after the
+last one are compared as they are. Built from DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -156,21 +157,23 @@ def with_difference(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str,
     """Add ``name``: struct(plus, minus, rest_a, rest_b), how the digests of ``a`` and ``b`` differ.
 
     The stored sketches are tried first, then larger ones: groups of digests with a sketch
-    each and other places, as many as are left over. ``rest`` holds digests that no attempt could tell.
+    each and other places, as many as are left over. What no attempt could tell is compared exactly, so ``rest`` is empty.
     """
     first = _bind(_peel(_minus(F.col(sketch_a), F.col(sketch_b))), lambda peeled: _settled(peeled, F.col(a), F.col(b)))
     df = df.withColumn(name, first)
     for attempt in range(1, RETRIES + 1):
         left = F.size(F.col(name)["rest_a"]) + F.size(F.col(name)["rest_b"]) > 0
         df = df.withColumn(name, F.when(left, _retry(F.col(name), attempt)).otherwise(F.col(name)))
-    return df
+    state, none = F.col(name), F.array().cast("array<bigint>")
+    only_a = F.size(F.array_except(state["rest_a"], state["rest_b"]))
+    only_b = F.size(F.array_except(state["rest_b"], state["rest_a"]))
+    left = F.size(state["rest_a"]) + F.size(state["rest_b"]) > 0
+    exact = _result(state["plus"] + only_a, state["minus"] + only_b, none, none)
+    return df.withColumn(name, F.when(left, exact).otherwise(state))
 
 
 def likeness(size_a: Column, size_b: Column, difference: Column) -> Column:
-    """Jaccard similarity of the sets of digests, from their sizes and what differs.
-
-    Digests that no attempt could tell apart count as different.
-    """
+    """Jaccard similarity of the sets of digests, from their sizes and what differs."""
     only_a = difference["plus"] + F.size(difference["rest_a"])
     only_b = difference["minus"] + F.size(difference["rest_b"])
     shared = F.greatest(F.lit(0), F.least(size_a - only_a, size_b - only_b))
@@ -222,8 +225,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text of a document has its last floor(n_chars / 4) code points replaced by the
     first as many (or all) of the next document's, in ascending order of ``doc_id``; the first follows
     the last. Returns per row of ``docs``: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
-    ``edited_fingerprint``, ``near_edited``, ``near_next`` and ``edited_open``, ``next_open``: paragraphs that no
-    retry could peel (hardly ever more than 0); they count as different.
+    ``edited_fingerprint``, ``near_edited``, ``near_next`` and ``edited_open``, ``next_open``: paragraphs that
+    are still open at the end, always 0.
 
     A NULL text is empty: one empty paragraph. NULL ids come first; rows that share an id are ordered by a
     hash of the text; repeated rows are one document and get equal results. A lone document

@@ -386,6 +386,17 @@ def test_fingerprints(documents):
         assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
 
 
+def test_what_no_retry_peels_is_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RETRIES", 0)
+    one, two = list(range(1000, 3000)), list(range(2000, 4000))
+    rows = [(1, one, two), (2, one, one[:1900]), (3, two, two)]
+    frame = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    frame = frame.withColumns({"sa": fingerprints.sketch_of(F.col("a")), "sb": fingerprints.sketch_of(F.col("b"))})
+    told = fingerprints.with_difference(frame, "a", "b", "sa", "sb", "d")
+    found = {r.i: (r.d.plus, r.d.minus, r.d.rest_a, r.d.rest_b, r.j) for r in told.withColumn("j", fingerprints.likeness(F.size("a"), F.size("b"), F.col("d"))).collect()}
+    assert found == {1: (1000, 1000, [], [], 1 / 3), 2: (100, 0, [], [], 0.95), 3: (0, 0, [], [], 1.0)}
+
+
 def test_fingerprints_of_odd_rows(docs):
     found = fingerprints.fingerprint_edits(docs.filter("doc_id IS NULL OR doc_id <> 9"))
     rows = {r.doc_id: r for r in found.collect()}
