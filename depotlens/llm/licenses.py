@@ -1,7 +1,7 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every passage (line or sentence) of a whole text that names a licence is compared with the
-templates by the cosine of sparse TF-IDF vectors; the best match of a file is its own licence.
+Every passage of a whole text that names a licence (a paragraph, its wrapped lines joined, a sentence or a line, in
+licence files also the whole text) is compared with the templates, short wordings and full headers, by the cosine of sparse TF-IDF vectors; the best match of a file is its own licence.
 All terms that occur in passages or templates are weighted by how many of all documents hold them. Files without a licence inherit from the licence file of the nearest ancestor
 directory: directories, not files, are expanded to their ancestors and joined by path. Built from DataFrame functions only.
 """
@@ -33,6 +33,73 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released to the public domain under CC0 1.0."),
 )
+_GNU = (
+    "{this} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as "
+    "published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+_GNU_OLD = (
+    "{this} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as "
+    "published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+_PERMISSION = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:"
+)
+# The full headers and texts as the licences give them.
+FULL_TEMPLATES = (
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\n"
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+    ),
+    (
+        "MIT",
+        _PERMISSION + "\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+        "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("GPL-2.0", _GNU_OLD.format(this="This program", kind="", version="2")),
+    ("GPL-3.0", _GNU.format(this="This program", kind="", version="3")),
+    ("LGPL-3.0", _GNU.format(this="This library", kind="Lesser ", version="3")),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder "
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        'permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+        "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+)
+#: Heads of licence texts and single paragraphs of the full ones.
+HEADS = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MIT", _PERMISSION),
+)
+ALL_TEMPLATES = TEMPLATES + FULL_TEMPLATES + HEADS
+#: Marks of comments at the start of a line.
+COMMENT = r"(?m)^[\x20\t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[\x20\t]*"
 #: A passage without any of these is not about a licence.
 ANCHORS = r"(?i)licen[cs]e|permission|redistribution|public domain|cc0|cc by"
 
@@ -43,11 +110,19 @@ def terms(text: Column) -> Column:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, licence string, text string")
+    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(ALL_TEMPLATES)], "template int, licence string, text string")
 
 
-def passages(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n|(?<=[.!?])\s+"), lambda p: p.rlike(ANCHORS))
+def passages(text: Column, whole: Column) -> Column:
+    """Lines, paragraphs and their sentences that name a licence, and the ``whole`` text of a licence file."""
+    sentence = r"(?<=[.!?])\s+"
+    plain = F.regexp_replace(text, COMMENT, "")
+    blocks = F.transform(F.split(plain, r"\r?\n(?:[\x20\t]*\r?\n)+"), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))
+    named = F.filter(blocks, lambda b: b.rlike(ANCHORS))
+    sentences = F.flatten(F.transform(named, lambda b: F.split(b, sentence)))
+    lines = F.split(text, rf"\n|{sentence}")
+    found = F.concat(lines, named, sentences, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
+    return F.when(text.rlike(ANCHORS), F.filter(found, lambda p: p.rlike(ANCHORS)))
 
 
 def term_weights(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -69,9 +144,10 @@ def term_weights(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def own_licences(files: DataFrame, minimum: float = MINIMUM) -> DataFrame:
-    """``path``, ``licence``, ``score`` of files whose text names a licence (``path``, ``text``)."""
+    """``path``, ``licence``, ``score`` of files whose text names a licence (``path``, ``text``; ``is_licence_file`` if known)."""
     spark = files.sparkSession
-    told = files.select("path", F.explode(F.array_distinct(passages(text_or_empty()))).alias("passage"))
+    whole = F.coalesce("is_licence_file", F.lit(False)) if "is_licence_file" in files.columns else F.lit(False)
+    told = files.select("path", F.explode(F.array_distinct(passages(text_or_empty(), whole))).alias("passage"))
     told = told.select("path", F.md5("passage").alias("key"), "passage")
     # A wording that many files share is compared once.
     wordings = materialize(told.groupBy("key").agg(F.max("passage").alias("text")), "wordings")
@@ -124,7 +200,7 @@ def licences(files: DataFrame, minimum: float = MINIMUM) -> DataFrame:
     directory and inherits nothing. Repeated rows get equal rows; an empty table gives an empty result.
     """
     rows = files.select("path", directory(F.col("path")).alias("folder"), F.coalesce("is_licence_file", F.lit(False)).alias("file"))
-    own = materialize(own_licences(files.select("path", "text"), minimum), "own-licences")
+    own = materialize(own_licences(files.select("path", "text", "is_licence_file"), minimum), "own-licences")
     found = rows.join(own.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path")
     sources = found.filter("file AND licence IS NOT NULL").groupBy("folder").agg(F.max(F.struct("score", "licence")).alias("rule"))
     folders = rows.filter("folder IS NOT NULL").select("folder").distinct()

@@ -1,3 +1,22 @@
+"""Every text operator against a brute-force version, on odd rows and on whole small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import struct
+import textwrap
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from depotlens.llm import exact_dedup, fingerprints, language_id, licenses, near_dedup, packing, pii, secrets, sentencepiece_codec, substring_dedup
+from depotlens.plans.durable import new_path
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -275,6 +294,7 @@ def test_licences(spark):
     )
 
 
+@pytest.mark.parametrize("size", [300, 3000])
 def test_common_words_beside_a_header_weigh_little(spark, size):
     """Weights are document frequencies of all terms, whatever the number of documents."""
     rows = [(f"d{i}/x{i}", f"in this project file w{i} v{i % 97} is as it has been") for i in range(size)]
@@ -283,6 +303,22 @@ def test_common_words_beside_a_header_weigh_little(spark, size):
     assert {r.path: r.licence for r in found} == {"h/1": "MIT", "h/2": "CC-BY-4.0"}
 
 
+def test_wrapped_headers_and_licence_files(spark):
+    """Headers are compared as paragraphs, whatever their line breaks and comment marks, licence files as a whole too."""
+    full = dict(licenses.FULL_TEMPLATES)
+    rows = [(f"n{i}/f", f"some words w{i} of file {i} this is it", False) for i in range(200)]
+    for name, text in licenses.FULL_TEMPLATES:
+        for mark in ("# ", " * ", "// "):
+            lines = [mark + line if line else mark.rstrip() for p in text.split("\n") for line in (textwrap.wrap(p, 38) or [""])]
+            rows.append((f"{name}{mark.strip().replace('/', '-')}{len(rows)}/{name}|x.c", "/*\n" + "\n".join(lines) + "\n*/\n\nint x = 1;\n", False))
+    mit = "MIT License\n\nCopyright (c) 2020 Jo Doe\n\n" + "\n".join(textwrap.wrap(full["MIT"], 30))
+    rows.append(("m/MIT|LICENSE", mit, True))
+    found = licenses.own_licences(spark.createDataFrame(rows, "path string, text string, is_licence_file boolean")).collect()
+    assert len(found) == len(rows) - 200
+    for r in found:
+        assert r.licence == r.path.rsplit("/", 1)[1].split("|")[0], r
+
+
 def brute_classes(rows):
     sets = {}
     for doc_id, text in rows:
