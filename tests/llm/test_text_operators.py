@@ -297,8 +297,8 @@ def test_licences(spark):
 @pytest.mark.parametrize("size", [300, 3000])
 def test_common_words_beside_a_header_weigh_little(spark, size):
     """Weights are document frequencies of all terms, whatever the number of documents."""
-    rows = [(f"d{i}/x{i}", f"in this project file w{i} v{i % 97} is as it has been") for i in range(size)]
-    rows += [("h/1", "this file is Released under the MIT License."), ("h/2", "in this project file: Licensed under CC BY 4.0.")]
+    rows = [(f"d{i}/x{i}", f"in this project file w{i} v{i % 97} it has been now also all that we here project under the") for i in range(size)]
+    rows += [("h/1", "it has been now also all that we here project Released under the MIT License."), ("h/2", "it has been now also all that we here project Licensed under CC BY 4.0.")]
     found = licenses.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()
     assert {r.path: r.licence for r in found} == {"h/1": "MIT", "h/2": "CC-BY-4.0"}
 
