@@ -37,16 +37,3 @@ def seed(spark):
     from seed import seed_tables
 
     return {name: table.cache() for name, table in seed_tables(spark).items()}
-
-
-def rows(df, *columns):
-    """Rows as tuples, in the order of the frame."""
-    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
-
-
-def by(df, key, *columns):
-    """{key: value or tuple of values}"""
-    found = {}
-    for row in df.select(key, *columns).collect():
-        found[row[0]] = row[1] if len(columns) == 1 else tuple(row)[1:]
-    return found

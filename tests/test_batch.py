@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from conftest import by, rows
+from helpers import by, rows
 from pyspark.sql import functions as F
 
 from depotlens.operators import batch

@@ -6,7 +6,7 @@ import json
 from datetime import datetime
 
 import pytest
-from conftest import by, rows
+from helpers import by, rows
 from pyspark.sql import functions as F
 
 from depotlens import schemas

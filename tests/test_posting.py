@@ -6,7 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import by, rows
+from helpers import by, rows
 
 from depotlens.operators import posting
 
