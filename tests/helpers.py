@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def rows(df, *columns):
     """Rows as tuples, in the order of the frame."""

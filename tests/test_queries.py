@@ -6,7 +6,7 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
-from conftest import SF_DIR
+from helpers import SF_DIR
 
 import __spark_entry__ as contract
 from checks.compare import connect, difference
