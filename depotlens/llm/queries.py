@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import exact_dedup, fingerprints, language_id, licenses, near_dedup, packing, pii, secrets, sentencepiece_codec, substring_dedup
+from depotlens.llm import (
+    exact_dedup, fingerprints, language_id, licenses, merkle, near_dedup, packing, phrases, pii, secrets, sentencepiece_codec,
+    simhash, substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +93,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.withColumn("held_out", language_id.held_out())
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified_manifest(documents(spark, folder)).drop("position")
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, folder))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +114,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         op1_substring_dedup, op2_packing, op3_secret_scan, op4_pii, op5_sentencepiece, op6_license_scan,
-        op7_near_dedup, op8_exact_dedup, op9_fingerprints, op10_language_id, pipeline,
+        op7_near_dedup, op8_exact_dedup, op9_fingerprints, op10_language_id, op11_phrases, op12_merkle_manifest, op13_simhash, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -132,5 +147,104 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) lengths(k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), candidates AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT c.*, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, c.k), ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS phrase, a AS longer
+  FROM candidates WHERE k = 3
+), kept AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (
+    SELECT 1 FROM inside i WHERE s.k = 2 AND i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.longer >= 50 * s.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    parts = [f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: CRC-32 (reflected, polynomial 0xEDB88320) of the decimal digits of the id: each byte is mixed in, then eight bits are shifted out.
+_CRC32_SQL = """
+xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295)
+"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels of the trees over ``leaves`` (tree, i, h, n)."""
+    return f"""
+{name} AS (
+  SELECT 0::BIGINT AS level, tree, i, h, n FROM ({leaves})
+  UNION ALL
+  SELECT level + 1, tree, i // 16, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 15) // 16) FROM {name} WHERE n > 1 GROUP BY level, tree, i // 16
+)"""
+
+
+def _fold_sql(name: str, tree: str, start: str) -> str:
+    """Level by level, the node that ``start`` (id, tree, i, h) leads to, and the siblings met."""
+    return f"""
+{name} AS (
+  SELECT 0::BIGINT AS level, id, tree, i, h, '' AS met FROM ({start})
+  UNION ALL
+  SELECT f.level + 1, f.id, f.tree, f.i // 16, sha256(string_agg(CASE WHEN t.i = f.i THEN f.h ELSE t.h END, '' ORDER BY t.i)),
+    any_value(f.met) || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i <> f.i), '')
+  FROM {name} f JOIN {tree} t ON t.tree IS NOT DISTINCT FROM f.tree AND t.level = f.level AND t.n > 1 AND t.i // 16 = f.i // 16
+  GROUP BY f.level, f.id, f.tree, f.i
+), {name}_end AS (
+  SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1
+)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT *, CASE WHEN {_CRC32_SQL} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS said
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("said")} AS claimed FROM rows
+), placed AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves
+), {_tree_sql("trees", "SELECT source AS tree, i, leaf AS h, n FROM placed")},
+subroots AS (
+  SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM trees WHERE n = 1
+), {_tree_sql("top", "SELECT 0 AS tree, i, subroot AS h, n FROM subroots")},
+{_fold_sql("inner_path", "trees", "SELECT id, source AS tree, i, claimed AS h FROM placed")},
+{_fold_sql("outer_path", "top", "SELECT e.id, 0 AS tree, s.i, e.h FROM inner_path_end e JOIN subroots s ON s.source IS NOT DISTINCT FROM e.tree")}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(a.met || b.met) AS proof_sha256, b.h AS folded_root, b.h = t.h AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+JOIN inner_path_end a ON a.id = p.id JOIN outer_path_end b ON b.id = p.id JOIN top t ON t.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+    return {
+        "op1_substring_dedup": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op11_phrases": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
+    }
