@@ -51,12 +51,13 @@ def difference(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str,
 
 def main() -> None:
     folder, chosen = sys.argv[1], sys.argv[2:]
+    scratch = tempfile.mkdtemp(prefix="run-")  # one process on one machine
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-"))
+        .config("spark.checkpoint.dir", scratch)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

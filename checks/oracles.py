@@ -634,11 +634,11 @@ BODIES = {
     "staff_workload": """SELECT s.id, s.name, s.code, s.specialty, s.status, count(m.id) AS assignedPlans,
         count(i.id) AS assignedIncidents FROM staff s LEFT JOIN plan m ON s.name = m.responsibleStaff
         LEFT JOIN inc i ON s.name = i.resolvedBy GROUP BY s.id, s.name, s.code, s.specialty, s.status""",
-    # "CƠ" folds to "cƠ": only A-Z are folded, so it does not find "Cơ".
+    # Only A-Z are folded: "TH" finds "thống", and would not if it were "THỐNG".
     "staff_workload_exact": """SELECT s.id, s.name, s.code, s.specialty, s.status,
         (SELECT count(*) FROM plan m WHERE s.name = m.responsibleStaff) AS assignedPlans,
         (SELECT count(*) FROM inc i WHERE s.name = i.resolvedBy) AS assignedIncidents
-        FROM staff s WHERE s.specialty LIKE '%CƠ%' OR s.specialty LIKE '%cƠ%'""",
+        FROM staff s WHERE s.specialty LIKE '%th%'""",
     "maintenance_stats": plan_stats(),
     "maintenance_stats_range": plan_stats("WHERE plannedDate BETWEEN DATE '2024-01-05' AND DATE '2024-01-11'"),
     "dashboard_kpis": f"""SELECT count(*) AS products, count(CASE WHEN onHand <= 5 THEN 1 END) AS lowStock,
@@ -796,6 +796,26 @@ BODIES = {
 }
 BODIES["ledger_by_month"] = BODIES["ledger_summary"] + " WHERE transactionDate >= '1996-01-01' AND transactionDate < '1997-01-01'"
 
+BODIES |= {
+    "on_hand_changes": BODIES["on_hand"],
+    "on_hand_snapshot": BODIES["on_hand"],
+    "inventory_by_product_snapshot": BODIES["inventory_by_product"],
+    "inventory_by_warehouse_snapshot": BODIES["inventory_by_warehouse"],
+    "low_stock_alert_snapshot": BODIES["low_stock_alert_all"],
+    "repeated_append": BODIES["ledger_summary"],
+    "broken_documents": """SELECT CAST(CASE WHEN o_orderkey % 10 > 2 THEN o_orderkey END AS VARCHAR) AS id,
+        CAST(CASE WHEN o_orderkey % 10 > 2 THEN o_custkey END AS VARCHAR) AS warehouseId,
+        CAST(CASE WHEN o_orderkey % 10 > 2 THEN o_orderkey % 7 END AS DOUBLE) AS qty,
+        CASE o_orderkey % 10 WHEN 0 THEN left(concat('{"id":"', o_orderkey, '","type":"IN","warehouseId":"', o_custkey), 30)
+            WHEN 1 THEN concat('{"id":"', o_orderkey, '","type":"IN","warehouseId":"', o_custkey,
+                '","lines":[{"productId":"p","qty":"many"}]}')
+            WHEN 2 THEN concat('no document ', o_orderkey) ELSE '' END AS line FROM orders""",
+    "ledger_by_id": LEDGER_LIST + " WHERE t.id = (SELECT max(id) FROM led)",
+    "invoice_by_id": BODIES["invoice_document"].replace("GROUP BY i.id", "WHERE i.id = (SELECT max(id) FROM inv) GROUP BY i.id"),
+    "product_by_id": PRODUCT_LIST + " WHERE p.id = (SELECT max(id) FROM prod)",
+    "stored_tables": PRODUCT_LIST,
+}
+
 
 def with_ctes(body: str) -> str:
     """Put the views a query needs, and those they need, in front of it."""

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from checks.synthetic import SyntheticTables
 from depotlens.operators import batch, billing, catalog, dashboard, ledger, maintenance, posting, reports, search
+from depotlens.plans import snapshot
 from depotlens.plans.durable import new_path
 from depotlens.sources import files
 
@@ -44,9 +45,9 @@ def _top_products(t: SyntheticTables, **params: object) -> DataFrame:
     return reports.top_products(t, **params).withColumn("averagePrice", F.round("averagePrice", 6))
 
 
-def invoice_document(t: SyntheticTables) -> DataFrame:
+def invoice_document(t: SyntheticTables, operator: Callable[..., DataFrame] = billing.invoice_document) -> DataFrame:
     """The nested items as text, since engines print nested values differently."""
-    document = billing.invoice_document(t)
+    document = operator(t)
     line = F.transform(
         "items",
         lambda i: F.concat_ws(
@@ -289,6 +290,86 @@ def ledger_by_month(t: SyntheticTables) -> DataFrame:
     return ledger.ledger_summary({"transactions": ledger_rows.sparkSession.read.parquet(path)}, **YEAR)
 
 
+def _history(t: SyntheticTables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(an earlier version of the ledger, lines that came, lines that went); late, corrected and deleted lines, all before 1993."""
+    now, quantity = t["transactions"], F.col("quantity")
+    early = F.col("transactionDate") < "1993-01-01"
+    corrected = now.filter(early & (quantity == 11))
+    as_it_was = corrected.withColumns({"quantity": F.lit(12.5), "type": F.lit("inbound")})
+    deleted = now.filter(early & (quantity == 13)).withColumns({"id": F.concat("id", F.lit("-x")), "productId": F.col("productId") + 1})
+    kept = now.filter(~(early & quantity.isin(7.0, 11.0)))
+    before = kept.unionByName(as_it_was).unionByName(deleted)
+    return before, now.filter(early & (quantity == 7)).unionByName(corrected), as_it_was.unionByName(deleted)
+
+
+def on_hand_changes(t: SyntheticTables) -> DataFrame:
+    """Stored partial sums of the earlier ledger, and the changes since."""
+    before, came, went = _history(t)
+    path = new_path(before.sparkSession, "stock")
+    snapshot.build(before, path)
+    return snapshot.totals(snapshot.with_changes(snapshot.read(before.sparkSession, path), came, went), ("onHand",))
+
+
+def refreshed_snapshot(t: SyntheticTables) -> DataFrame:
+    """Stored partial sums after the months that changed were replaced in the stored ledger and summed anew."""
+    before, came, went = _history(t)
+    spark = before.sparkSession
+    stored, path = new_path(spark, "ledger"), new_path(spark, "stock")
+    files.append_ledger(before, stored)
+    snapshot.build(spark.read.parquet(stored), path)
+    months = snapshot.changed_months(came, went)
+    files.replace_months(t["transactions"], stored, months)
+    snapshot.refresh(spark.read.parquet(stored), path, months)
+    return snapshot.read(spark, path)
+
+
+def _on_snapshot(operator: Callable[..., DataFrame], **params: object) -> Callable[[SyntheticTables], DataFrame]:
+    return lambda t: operator(ChainMap({"stock_snapshot": refreshed_snapshot(t)}, t), **params)
+
+
+def repeated_append(t: SyntheticTables) -> DataFrame:
+    """Two batches, the first one appended twice, and once more with other rows in between."""
+    rows = t["transactions"]
+    path = new_path(rows.sparkSession, "ledger")
+    first, second = rows.filter("quantity <= 20"), rows.filter("quantity > 20")
+    for name, lines in (("one", second), ("two/of 2", second), ("one", first), ("one", first)):
+        files.append_ledger(lines, path, batch=name)
+    return ledger.ledger_summary({"transactions": rows.sparkSession.read.parquet(path)})
+
+
+def broken_documents(t: SyntheticTables) -> DataFrame:
+    """Slips as JSON lines: every tenth is cut off, every tenth has a text for a number, every tenth is no JSON at all."""
+    whole = """concat('{"id":"', o_orderkey, '","type":"IN","warehouseId":"', o_custkey, '","lines":[{"productId":"p","qty":', {0}, '}]}')"""
+    line = f"""CASE o_orderkey % 10 WHEN 0 THEN left({whole.replace("{0}", "1")}, 30) WHEN 1 THEN {whole.replace("{0}", "'\"many\"'")}
+               WHEN 2 THEN concat('no document ', o_orderkey) ELSE {whole.replace("{0}", "o_orderkey % 7")} END AS value"""
+    lines = t["orders"].selectExpr(line)
+    path = new_path(lines.sparkSession, "slips")
+    lines.write.text(path)
+    sound, rejected = files.sound_documents(lines.sparkSession, path)
+    told = sound.select("id", "warehouseId", F.col("lines")[0]["qty"].alias("qty"), F.lit("").alias("line"))
+    return told.unionByName(rejected.select("line"), allowMissingColumns=True)
+
+
+def _by_id(t: SyntheticTables, name: str, operator: Callable[..., DataFrame]) -> DataFrame:
+    """The row of the largest id, looked up in a table that was written for it."""
+    rows = t[name]
+    path = new_path(rows.sparkSession, name)
+    files.write_by_id(rows, path)
+    largest = rows.agg(F.max("id")).first()[0]
+    return operator(ChainMap({name: rows.sparkSession.read.schema(rows.schema).parquet(path)}, t), id=largest)
+
+
+def stored_tables(t: SyntheticTables) -> DataFrame:
+    """The product list, from tables that were written and read by their declared schemas."""
+    names = ["products", "warehouses", "locations", "uoms"]
+    spark = t["products"].sparkSession
+    folder = new_path(spark, "tables")
+    for name in names:
+        t[name].write.parquet(f"{folder}/{name}")
+    listed = catalog.product_list(files.read_tables(spark, folder, names))
+    return listed.select(*t["products"].columns, "uomName", "warehouseName", "locationName")
+
+
 OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     # Reports
     "overview": reports.overview,
@@ -364,7 +445,7 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "maintenance_progress": maintenance.maintenance_progress,
     "incidents": maintenance.incidents,
     "staff_workload": maintenance.staff_workload,
-    "staff_workload_exact": lambda t: maintenance.staff_workload(t, specialty="CƠ", mode="exact"),
+    "staff_workload_exact": lambda t: maintenance.staff_workload(t, specialty="TH", mode="exact"),
     "maintenance_stats": maintenance.maintenance_stats,
     "maintenance_stats_range": lambda t: maintenance.maintenance_stats(t, "2024-01-05", "2024-01-11"),
     # Dashboard
@@ -432,6 +513,18 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "csv_sink": csv_sink,
     "json_sink": json_sink,
     "ledger_by_month": ledger_by_month,
+    # Stored state, repeated writes, look-ups
+    "on_hand_changes": on_hand_changes,
+    "on_hand_snapshot": _on_snapshot(ledger.on_hand),
+    "inventory_by_product_snapshot": _on_snapshot(reports.inventory_by_product),
+    "inventory_by_warehouse_snapshot": _on_snapshot(reports.inventory_by_warehouse),
+    "low_stock_alert_snapshot": _on_snapshot(reports.low_stock_alert, limit=None),
+    "repeated_append": repeated_append,
+    "broken_documents": broken_documents,
+    "ledger_by_id": lambda t: _by_id(t, "transactions", ledger.ledger_list),
+    "invoice_by_id": lambda t: invoice_document(t, lambda tables: _by_id(t, "invoices", billing.invoice_document)),
+    "product_by_id": lambda t: _by_id(t, "products", catalog.product_list),
+    "stored_tables": stored_tables,
 }
 
 

@@ -2,41 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Double sums differ in the last digits with partition order, so a retried task could change a
-# report. These sums cannot: whole part and fraction (in thousand-millionths, about what a double
-# holds beside amounts of some millions) are added up apart, each as high and low bits in bigints, which a
-# hot key cannot overflow. Decimals only put the four sums together.
+# report. These sums cannot: an amount is cut into whole numbers (nine places, about what a double
+# holds beside amounts of some millions) that are summed as bigints, which a hot key cannot overflow.
+# Decimals only put the three sums together. As the parts are plain sums, they also
+# add up across stored partial results, and those of removed rows can be taken off again.
 PLACES = 9
-LOW_BITS = 20
-FRACTION_LOW_BITS = 15
+UNIT = 10**PLACES
+HIGH_BITS = 20
+LOW_BITS = 25
 #: Beyond this a double has no fraction and steps of hundreds; such amounts are summed as doubles.
 LARGEST = float(1 << 62)
 
+PARTS = ("high", "middle", "low", "large")
+PARTS_TYPE = "struct<high:bigint,middle:bigint,low:bigint,large:double>"
 
-def _bits(values: Column, low_bits: int) -> Column:
-    """Sum of bigints as decimal(28,0)."""
-    low = F.sum(values.bitwiseAND(F.lit((1 << low_bits) - 1).cast("bigint"))).cast("decimal(19,0)")
-    high = F.sum(F.shiftright(values, low_bits)).cast("decimal(19,0)")
-    return high * F.lit(Decimal(1 << low_bits)).cast("decimal(7,0)") + low
 
+def parts_of(amount: Column) -> dict[str, Column]:
+    """The numbers to be summed for an amount.
 
-def exact_sum(amount: Column) -> Column:
-    """SUM over ledger-line amounts; NULL when there is nothing to add."""
+    ``high`` counts 2**HIGH_BITS; the rest, in thousand-millionths, is ``middle`` * 2**LOW_BITS + ``low``.
+    """
     amount = amount.cast("double")
     usual = F.when(F.abs(amount) < LARGEST, amount)
     whole = F.floor(usual)
-    fraction = F.rint((usual - whole) * F.lit(float(10**PLACES))).cast("bigint")
-    parts = _bits(whole, LOW_BITS) + _bits(fraction, FRACTION_LOW_BITS).cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-PLACES))
-    large = F.sum(F.when(F.abs(amount) >= LARGEST, amount))
-    total = parts.cast("double")
+    fraction = F.rint((usual - whole) * F.lit(float(UNIT))).cast("bigint")
+    rest = whole.bitwiseAND(F.lit((1 << HIGH_BITS) - 1).cast("bigint")) * F.lit(UNIT) + fraction
+    return {
+        "high": F.shiftright(whole, HIGH_BITS),
+        "middle": F.shiftright(rest, LOW_BITS),
+        "low": rest.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint")),
+        "large": F.when(F.abs(amount) >= LARGEST, amount),
+    }
+
+
+def total_of(sums: Mapping[str, Column]) -> Column:
+    """The amount that summed parts stand for; NULL if nothing was summed."""
+    high, middle, low = (sums[part].cast("decimal(19,0)") for part in PARTS[:3])
+    whole = high * F.lit(Decimal(1 << HIGH_BITS)).cast("decimal(7,0)")
+    rest = (middle * F.lit(Decimal(1 << LOW_BITS)).cast("decimal(8,0)") + low).cast("decimal(28,0)")
+    total = (whole + (rest * F.lit(Decimal(1).scaleb(-PLACES))).cast("decimal(30,9)")).cast("double")
+    large = sums["large"]
     return F.when(large.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + large)
 
 
+def exact_sum(amount: Column) -> Column:
+    """SUM over ledger-line amounts; NULL when there is nothing to add."""
+    return total_of({part: F.sum(value) for part, value in parts_of(amount).items()})
+
+
 def exact_total(amount: Column) -> Column:
     """SUM over already aggregated amounts, which may be far larger than one line."""
     amount = amount.cast("double")

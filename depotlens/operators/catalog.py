@@ -13,7 +13,7 @@ from depotlens.functions.numbers import exact_multiple, exact_sum, exact_total,
 from depotlens.operators.reports import warehouse_activity
 from depotlens.plans.fanout import repeats, with_child_count
 from depotlens.plans.lookups import lookup, only_keys_of
-from depotlens.plans.stock import Tables, on_hand_by_key, with_home_stock
+from depotlens.plans.stock import Tables, on_hand_by_key, stock_source, with_home_stock
 
 
 def product_list(tables: Tables, id: int | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def product_stock(tables: Tables, id: int | None = None) -> DataFrame:
         "id", "name", "sku", F.col("warehouseId").alias("_home"), F.col("locationId").alias("_place")
     )
     columns = ("totalIn", "totalOut", "onHand")
-    stock = with_home_stock(products, tables["transactions"], columns, "_home")
+    stock = with_home_stock(products, stock_source(tables), columns, "_home")
     stock = lookup(stock, tables["warehouses"], "_home", warehouseId="id", warehouseName="name")
     stock = lookup(stock, tables["locations"], "_place", locationId="id", locationName="name")
     known = F.col("warehouseId").isNotNull()
@@ -59,7 +59,7 @@ def product_stock(tables: Tables, id: int | None = None) -> DataFrame:
 def warehouse_products(tables: Tables, warehouse_id: int | None = None) -> DataFrame:
     """All product columns with unit, location, movements, stock and stock status."""
     products = where_equal(tables["products"].filter(F.col("warehouseId").isNotNull()), warehouseId=warehouse_id)
-    stock = with_home_stock(products, tables["transactions"], ("totalIn", "totalOut", "onHand"))
+    stock = with_home_stock(products, stock_source(tables), ("totalIn", "totalOut", "onHand"))
     named = lookup(stock, tables["uoms"], "uomId", uomName="name")
     named = lookup(named, tables["locations"], "locationId", locationName="name")
     status = stock_status(F.col("onHand"), F.col("minStock"), F.col("maxStock"))
@@ -88,7 +88,7 @@ def warehouse_stock(tables: Tables, warehouse_id: int | None = None) -> DataFram
 def location_products(tables: Tables, id: int | None = None) -> DataFrame:
     """Products kept at a location with their movements and stock."""
     products = where_equal(tables["products"].filter(F.col("locationId").isNotNull()), locationId=id)
-    stock = with_home_stock(products, tables["transactions"], ("totalIn", "totalOut", "onHand"))
+    stock = with_home_stock(products, stock_source(tables), ("totalIn", "totalOut", "onHand"))
     return lookup(stock, tables["uoms"], "uomId", uomName="name").orderBy("name", "id")
 
 
@@ -121,7 +121,7 @@ def warehouse_list(tables: Tables, id: int | None = None, mode: str = "reference
         return with_child_count(counted, tables["products"], "warehouseId", "totalProducts")
     priced = tables["products"].filter(F.col("warehouseId").isNotNull())
     priced = priced.select(F.col("id").alias("_id"), "warehouseId", "unitPrice")
-    value = _catalog_value(priced, tables["transactions"], "warehouseId", "warehouseId")
+    value = _catalog_value(priced, stock_source(tables), "warehouseId", "warehouseId")
     value = value.withColumnsRenamed({"productCount": "totalProducts", "inventoryValue": "totalInventoryValue"})
     joined = counted.join(value, F.col("id") == F.col("_group"), "left").drop("_group")
     joined = joined.fillna(0, subset=["totalProducts", "totalInventoryValue"])
@@ -156,7 +156,7 @@ def _valued_locations(tables: Tables, locations: DataFrame) -> DataFrame:
     products = tables["products"].select(F.col("id").alias("_id"), "locationId", "unitPrice")
     # A product is at one location at most, so no more rows come out than products.
     priced = products.join(places, F.col("locationId") == F.col("_place"))
-    value = _catalog_value(priced, tables["transactions"], "_place", "_at", products)
+    value = _catalog_value(priced, stock_source(tables), "_place", "_at", products)
     joined = locations.join(value, F.col("id") == F.col("_group"), "left").drop("_group")
     return joined.fillna(0, subset=["productCount", "inventoryValue"])
 

@@ -11,7 +11,7 @@ from depotlens.functions.columns import line_value, of_type, where_equal
 from depotlens.functions.dates import in_days, last_days
 from depotlens.functions.numbers import exact_sum
 from depotlens.plans.lookups import lookup, sorted_list
-from depotlens.plans.stock import Tables, on_hand_by_key
+from depotlens.plans.stock import Tables, on_hand_by_key, stock_source
 
 
 def ledger_list(
@@ -84,5 +84,5 @@ def ledger_daily(
 
 def on_hand(tables: Tables, product_id: int | None = None, warehouse_id: int | None = None) -> DataFrame:
     """Signed stock per product and warehouse."""
-    ledger = where_equal(tables["transactions"], productId=product_id, warehouseId=warehouse_id)
-    return on_hand_by_key(ledger)
+    rows = where_equal(stock_source(tables), productId=product_id, warehouseId=warehouse_id)
+    return on_hand_by_key(rows)

@@ -2,120 +2,261 @@
 
 An outbound or transfer request is accepted when the stock at its turn covers it; rejected
 requests change nothing. Each decision depends on all earlier ones of the same product and
-warehouse, so a running sum cannot make it. Ranges over key and order cut the requests into
-partitions, and a key's requests in one partition are folded one after the other, batch by batch,
-from the stock they start with. Where a key spans several partitions, the start in each is first guessed
-(as if all requests before it were accepted) and then corrected from the folded ones before it
-until no start changes. The first start is right, and each round makes at least the next one right,
-so the result is the one of posting row by row, after at most as many rounds as the key spans partitions and one more.
+warehouse (of all its warehouses, for transfers, which feed one another), so a running sum cannot make it. Requests are
+folded in order, key by key, one batch in memory.
+
+A key of more than ``HOT`` requests is cut into chunks by ranges of its order. A chunk knows by running sums the stock from
+which on all its requests are accepted, and the stock below which all are rejected. One walk over these bounds, which never sees a
+request, tells most chunks to be the one or the other; only requests of the others are folded one after the other, between
+them the settled chunks count as one step each. Then every chunk's start is known, and all chunks are folded side by side.
+That is a fixed number of passes, whatever hangs on what.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from datetime import datetime
-from decimal import Context
+from decimal import Context, Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotlens.functions.columns import is_blank, signed_quantity
-from depotlens.functions.numbers import exact_sum
+from depotlens.functions.columns import is_blank
 from depotlens.operators.batch import validate_batch
 from depotlens.plans.durable import materialize
 from depotlens.plans.lookups import only_keys_of
+from depotlens.plans.stock import movements
 
 CHECKED_TYPES = ("outbound", "transfer")
 KEY = ["productId", "warehouseId"]
-GROUP = [*KEY, "_part"]
 #: Stock is compared to nine places, as sums of reports are; one digit less than the most, so that adding loses none.
-EXACT = T.DecimalType(37, 9)
+PLACES = 9
+EXACT = T.DecimalType(37, PLACES)
+#: Requests of a key that one task folds; more are cut into chunks.
+HOT = 1_000_000
+#: Rows of the folded stream, in this order within a chunk.
+START, STEP, REQUEST = 0, 1, 2
 
 
 def _zero() -> Column:
     return F.lit(0).cast(EXACT)
 
 
-def _events(requests: DataFrame, order_by: Sequence[str], partitions: int | None) -> DataFrame:
-    """Requests with their place in the order and their stock change."""
-    count = [partitions] if partitions else []
-    # Ranges over key and order cut a hot key into several partitions, in order.
-    placed = requests.repartitionByRange(*count, *KEY, *order_by)
-    units = F.coalesce(F.col("quantity").cast(EXACT), _zero())
-    return placed.select(
-        *KEY,
-        F.spark_partition_id().alias("_part"),
-        F.struct(*order_by).alias("_place"),
-        F.coalesce(F.col("type").isin(*CHECKED_TYPES), F.lit(False)).alias("checked"),
-        units.alias("units"),
-        F.when(F.col("type") == "inbound", units).otherwise(-units).cast(EXACT).alias("delta"),
-        F.struct(*requests.columns).alias("request"),
-    )
+def _units(column: str) -> Column:
+    return F.coalesce(F.col(column).cast(EXACT), _zero())
+
+
+def _integers(values: pa.Array) -> list[int]:
+    """Decimals as whole numbers of their last place."""
+    words = np.frombuffer(values.buffers()[1], np.int64).reshape(-1, 2)[values.offset : values.offset + len(values)]
+    low, high = words[:, 0], words[:, 1]
+    if not np.any(high ^ (low >> 63)):
+        return low.tolist()
+    return [(h << 64) | (x & (1 << 64) - 1) for x, h in zip(low.tolist(), high.tolist())]
+
+
+def _decimals(values: list[int]) -> pa.Array:
+    exact = Context(prec=60)
+    return pa.array([Decimal(v).scaleb(-PLACES, exact) for v in values], pa.decimal128(37, PLACES))
+
+
+def _stream(keys: Sequence[str]):
+    """Rows of a sorted stream with the stock they find: (group, row, account, target, checked, units, delta, kind, balances)."""
+
+    def walk(batch: pa.RecordBatch, state: list) -> Iterator[tuple[int, int, int, bool]]:
+        columns = [batch.column(c).to_pylist() for c in (*keys, "_kind", "_account", "_target", "checked")]
+        units, deltas = _integers(batch.column("units")), _integers(batch.column("delta"))
+        group, balances = state
+        n = len(keys)
+        for at, values in enumerate(zip(*columns, units, deltas)):
+            own = values[:n]
+            if own != group:
+                group, balances = own, {}
+            kind, account, target, checked, needed, delta = values[n:]
+            have = balances.get(account, 0)
+            accepted = kind != REQUEST or not checked or have >= needed
+            yield at, kind, have, accepted
+            if accepted:
+                balances[account] = have + delta
+                if target is not None:
+                    balances[target] = balances.get(target, 0) + needed
+        state[:] = group, balances
+
+    return walk
+
+
+EVENT = ("_kind", "_account", "_target", "checked", "units", "delta")
 
 
-def _folded(rows: DataFrame) -> DataFrame:
-    """Each row with ``available`` and ``accepted``; every group is folded from its ``start``."""
-    placed = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "_place").drop("_place")
-    told = [T.StructField("available", EXACT), T.StructField("accepted", T.BooleanType())]
+def _folded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The requests of a stream of starts and requests, with ``available`` and ``accepted``."""
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "_kind", "_place").drop("_place")
+    schema = T.StructType([*rows.schema["request"].dataType.fields, T.StructField("available", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact = Context(prec=60)
-        group, balance = None, None
+        walk, state = _stream(keys), [None, {}]
         for batch in batches:
-            available, accepted = [], []
-            columns = [batch.column(c).to_pylist() for c in (*GROUP, "start", "checked", "units", "delta")]
-            for *own, start, checked, units, delta in zip(*columns):
-                if own != group:
-                    group, balance = own, start
-                available.append(balance)
-                accepted.append(not checked or balance >= units)
-                if accepted[-1]:
-                    balance = exact.add(balance, delta)
-            verdicts = [pa.array(available, pa.decimal128(37, 9)), pa.array(accepted, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *verdicts], [*batch.schema.names, "available", "accepted"])
+            found = [(at, have, accepted) for at, kind, have, accepted in walk(batch, state) if kind == REQUEST]
+            at, have, accepted = zip(*found) if found else ((), (), ())
+            requests = batch.column("request").take(pa.array(at, pa.int64()))
+            verdicts = [pa.array([x / 10**PLACES for x in have], pa.float64()), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*requests.flatten(), *verdicts], schema.names)
 
-    return placed.mapInArrow(fold, T.StructType([*placed.schema.fields, *told]))
+    return placed.mapInArrow(fold, schema)
+
+
+def _start_rows(stock: DataFrame, keys: Sequence[str], request: T.DataType, place: T.DataType) -> DataFrame:
+    """Rows that set the stock of an account (``stock``) before the first request of a key."""
+    return stock.select(
+        *keys, F.lit(START).alias("_kind"), F.lit(None).cast(place).alias("_place"), F.col("_account"), F.lit(None).cast("bigint").alias("_target"),
+        F.lit(False).alias("checked"), _zero().alias("units"), F.col("stock").alias("delta"), F.lit(None).cast(request).alias("request"),
+    )
 
 
 def opening_stock(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     """Stock before the batch per key; only of the wanted keys if they are few."""
     wanted = only_keys_of(ledger, keys.select(*KEY).distinct(), KEY)
-    return wanted.groupBy(*KEY).agg(exact_sum(signed_quantity()).cast(EXACT).alias("stock"))
-
+    return movements(wanted, KEY, ("onHand",)).select(*KEY, F.col("onHand").cast(EXACT).alias("stock"))
 
-def _starts(state: DataFrame) -> DataFrame:
-    before = Window.partitionBy(*KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("net").over(before).cast(EXACT), _zero())
-    return state.withColumn("next", (F.col("stock") + earlier).cast(EXACT))
 
+def _bounds(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each chunk and account: what it moves if all or none of the checked requests are accepted, and the
+    stock from which on all, or below which none is.
 
-def _settle(events: DataFrame, stock: DataFrame) -> DataFrame:
-    """The stock every group starts with.
-
-    Only summaries of the groups meet by key, never their events.
+    The others bound its end where neither holds. ``least`` and ``most`` are what it can move at all. If a request is rejected, the stock
+    is below what it needs, and at the end below ``cap``; if none is, all of ``spent`` went. If one is accepted, the stock is not
+    below zero, and at the end not below ``floor``.
     """
-    summary = events.groupBy(*GROUP).agg(F.sum("delta").cast(EXACT).alias("net")).join(stock, KEY, "left")
-    siblings = F.count("*").over(Window.partitionBy(*KEY))
-    summary = summary.withColumn("stock", F.coalesce("stock", _zero())).withColumn("siblings", siblings)
-    summary = materialize(summary, "posting-summary")
-    alone = summary.filter("siblings = 1").select(*GROUP, F.col("stock").alias("start"))
-    state = summary.filter("siblings > 1").drop("siblings")
-    if state.isEmpty():
-        return alone
-    # Nothing is folded yet: no start is known.
-    state = state.withColumn("start", F.lit(None).cast(EXACT))
-    while True:
-        state = materialize(_starts(state), "posting-state")
-        wrong = ~F.col("next").eqNullSafe(F.col("start"))
-        if state.filter(wrong).isEmpty():
-            return alone.unionByName(state.select(*GROUP, "start"))
-        due = state.filter(wrong).select(*GROUP, "stock", F.col("next").alias("start"))
-        rows = events.drop("request").join(due, GROUP)
-        moved = F.sum(F.when(F.col("accepted"), F.col("delta")).otherwise(_zero())).cast(EXACT)
-        again = _folded(rows).groupBy(*GROUP).agg(F.first("stock").alias("stock"), moved.alias("net"), F.first("start").alias("start"))
-        state = state.filter(~wrong).drop("next").unionByName(again)
+    legs = events.select(
+        *keys, "_part", "_place", "checked",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("leg"), F.col("_account"), F.col("delta").alias("amount"), F.col("units").alias("needed")),
+                F.struct(F.lit(1).alias("leg"), F.col("_target").alias("_account"), F.col("units").alias("amount"), F.lit(None).cast(EXACT).alias("needed")),
+            )
+        ).alias("side"),
+    ).select(*keys, "_part", "_place", "checked", "side.*").filter("_account IS NOT NULL")
+    before = Window.partitionBy(*keys, "_part", "_account").orderBy("_place", "leg").rowsBetween(Window.unboundedPreceding, -1)
+    sure, amount = ~F.col("checked"), F.col("amount")
+
+    def running(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(before).cast(EXACT), _zero())
+
+    judged = F.col("checked") & F.col("needed").isNotNull()
+    gained = F.when(sure | (amount > 0), amount)
+    placed = legs.withColumns(
+        {
+            "_all": F.when(judged, F.col("needed") - running(amount)),
+            "_none": F.when(judged, F.col("needed") - running(F.when(sure, amount))),
+            "_cap": F.when(judged, F.col("needed") - running(gained) - F.greatest(amount, _zero())),
+            "_floor": F.when(judged, -running(F.when(sure, amount))),
+        }
+    )
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value).cast(EXACT), _zero())
+
+    most, none = total(gained), total(F.when(sure, amount))
+    return placed.groupBy(*keys, "_part", "_account").agg(
+        total(amount).alias("all"), none.alias("none"),
+        F.max("_all").cast(EXACT).alias("accept_from"), F.min("_none").cast(EXACT).alias("reject_below"),
+        total(F.when(sure | (amount < 0), amount)).alias("least"), most.alias("most"),
+        total(F.when(judged, F.least(amount, _zero()))).alias("spent"),
+        (F.max("_cap") + most).cast(EXACT).alias("cap"), (F.min("_floor") + none).cast(EXACT).alias("floor"),
+    )
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    """Which chunks of a key are settled: the bounds of the stock at each chunk's start against its own."""
+    table = table.sort_by("_part")
+    parts, accounts = table.column("_part").to_pylist(), table.column("_account").to_pylist()
+    values = {c: table.column(c).to_pylist() for c in ("all", "none", "accept_from", "reject_below", "least", "most", "spent", "cap", "floor")}
+    # ``high`` comes with 1 if the stock may be that much, 0 if it is below.
+    low: dict[int, Decimal] = {}
+    high: dict[int, tuple[Decimal, int]] = {}
+    zero, add = Decimal(0), Context(prec=60).add
+    verdicts, at = [], 0
+    while at < len(parts):
+        end = at
+        while end < len(parts) and parts[end] == parts[at]:
+            end += 1
+        rows = range(at, end)
+        own = [i for i in rows if values["accept_from"][i] is not None]
+        if all(low.get(accounts[i], zero) >= values["accept_from"][i] for i in own):
+            verdict = "all"
+        elif all(high.get(accounts[i], (zero, 1)) < (values["reject_below"][i], 1) for i in own):
+            verdict = "none"
+        else:
+            verdict = "open"
+        for i in rows:
+            (down, (up, within)), account = (low.get(accounts[i], zero), high.get(accounts[i], (zero, 1))), accounts[i]
+            if verdict != "open":
+                low[account], high[account] = add(down, values[verdict][i]), (add(up, values[verdict][i]), within)
+                continue
+            low[account], high[account] = add(down, values["least"][i]), (add(up, values["most"][i]), within)
+            if i in own:
+                low[account] = max(low[account], min(add(down, values["none"][i]), values["floor"][i]))
+                spent = add(high[account][0], values["spent"][i]), within
+                high[account] = min(high[account], max(spent, (values["cap"][i], 0)))
+        verdicts += [verdict] * len(rows)
+        at = end
+    return table.append_column("verdict", pa.array(verdicts, pa.string()))
+
+
+def _chunk_starts(events: DataFrame, stock: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ``_part``, ``_account``, ``stock``) at the start of every chunk."""
+    bounds = _bounds(events, keys)
+    opening = stock.select(
+        *keys, F.lit(-1).alias("_part"), "_account", F.col("stock").alias("all"), F.col("stock").alias("none"),
+        *[F.col("stock").alias(c) for c in ("least", "most")], *[F.lit(None).cast(EXACT).alias(c) for c in ("accept_from", "reject_below", "spent", "cap", "floor")],
+    )
+    both = bounds.unionByName(opening)
+    schema = T.StructType([*both.schema.fields, T.StructField("verdict", T.StringType())])
+    # A key has a row for each chunk and account here, however many requests there are.
+    judged = materialize(both.groupBy(*keys).applyInArrow(_judge, schema), "posting-bounds")
+    shift = F.when(F.col("verdict") == "all", F.col("all")).when(F.col("verdict") == "none", F.col("none")).otherwise(_zero())
+    steps = judged.select(
+        *keys, "_part", F.lit(STEP).alias("_kind"), F.lit(None).cast(events.schema["_place"].dataType).alias("_place"), "_account",
+        F.lit(None).cast("bigint").alias("_target"), F.lit(False).alias("checked"), _zero().alias("units"), shift.alias("delta"),
+    )
+    unsettled = judged.filter("verdict = 'open'").select(*keys, "_part").distinct()
+    doubtful = events.drop("request").join(unsettled, [*keys, "_part"], "left_semi")
+    rows = steps.unionByName(doubtful.select(*steps.columns))
+    # In order, a key in one task: the requests of open chunks only.
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "_part", "_kind", "_place").drop("_place")
+    told = T.StructType([*[events.schema[k] for k in keys], T.StructField("_part", T.IntegerType()), events.schema["_account"], T.StructField("stock", EXACT)])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, state = _stream(keys), [None, {}]
+        for batch in batches:
+            found = [(at, have) for at, kind, have, _ in walk(batch, state) if kind == STEP]
+            rows = batch.take(pa.array([at for at, _ in found], pa.int64())).select([*keys, "_part", "_account"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, _decimals([have for _, have in found])], told.names)
+
+    return materialize(placed.mapInArrow(follow, told).filter("_part >= 0"), "posting-starts")
+
+
+def _decided(events: DataFrame, stock: DataFrame, keys: Sequence[str], partitions: int | None, hot: int) -> DataFrame:
+    """``events`` are requests with their keys, ``_place`` and the columns of ``EVENT``; ``stock`` has the keys, ``_account`` and ``stock``."""
+    request, place = events.schema["request"].dataType, events.schema["_place"].dataType
+    starts = _start_rows(stock, keys, request, place)
+    if partitions is None:
+        crowded = events.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot).select(*keys)
+        if crowded.isEmpty():
+            return _folded(starts.unionByName(events), keys)
+        crowded = materialize(crowded, "posting-hot-keys")
+        usual = _folded(starts.join(crowded, keys, "left_anti").unionByName(events.join(crowded, keys, "left_anti")), keys)
+        events, stock = events.join(crowded, keys, "left_semi"), stock.join(crowded, keys, "left_semi")
+    # Ranges over key and order cut a key into chunks, in order.
+    ranged = events.repartitionByRange(*[partitions] if partitions else [], *keys, "_place")
+    chunks = materialize(ranged.withColumn("_part", F.spark_partition_id()), "posting-events")
+    grouped = [*keys, "_part"]
+    begun = _start_rows(_chunk_starts(chunks, stock, keys), grouped, request, place)
+    split = _folded(begun.unionByName(chunks.select(*begun.columns)), grouped)
+    return split if partitions else usual.unionByName(split)
 
 
 def decide(
@@ -123,20 +264,24 @@ def decide(
     ledger: DataFrame,
     order_by: Sequence[str] = ("transactionDate", "id"),
     partitions: int | None = None,
+    hot: int = HOT,
 ) -> DataFrame:
     """Requests with ``available`` (stock at their turn) and ``accepted``.
 
     ``order_by`` must order the requests of a key without ties, and no request may lack its
     product or warehouse (``post_outbound`` rejects those). Types other than outbound and transfer are always
-    accepted and move the stock. ``partitions`` is the number of ranges, by default the session's.
+    accepted and move the stock. ``ledger`` may also be the partial sums of ``plans.snapshot``. Keys of more than ``hot`` requests are
+    cut into chunks; with ``partitions`` all are, in so many ranges.
     """
-    return _decide(requests, opening_stock(ledger, requests), order_by, partitions)
-
-
-def _decide(requests: DataFrame, stock: DataFrame, order_by: Sequence[str], partitions: int | None) -> DataFrame:
-    events = materialize(_events(requests, order_by, partitions), "posting-events")
-    folded = _folded(events.join(_settle(events, stock), GROUP))
-    return folded.select("request.*", F.col("available").cast("double").alias("available"), "accepted")
+    units = _units("quantity")
+    events = requests.select(
+        *KEY, F.lit(REQUEST).alias("_kind"), F.struct(*order_by).alias("_place"), F.col("warehouseId").cast("bigint").alias("_account"),
+        F.lit(None).cast("bigint").alias("_target"), F.coalesce(F.col("type").isin(*CHECKED_TYPES), F.lit(False)).alias("checked"),
+        units.alias("units"), F.when(F.col("type") == "inbound", units).otherwise(-units).cast(EXACT).alias("delta"),
+        F.struct(*requests.columns).alias("request"),
+    )
+    stock = opening_stock(ledger, requests).withColumn("_account", F.col("warehouseId").cast("bigint"))
+    return _decided(events, stock, KEY, partitions, hot)
 
 
 def _dated(requests: DataFrame, name: str, now: datetime | None) -> DataFrame:
@@ -194,44 +339,26 @@ def transfer_legs(requests: DataFrame) -> DataFrame:
 
 
 def expand_transfers(
-    requests: DataFrame, ledger: DataFrame, partitions: int | None = None, now: datetime | None = None
+    requests: DataFrame, ledger: DataFrame, partitions: int | None = None, now: datetime | None = None, hot: int = HOT
 ) -> tuple[DataFrame, DataFrame]:
     """(both legs of every covered transfer, rejected requests as of ``post_outbound``).
 
-    A transfer also feeds later ones out of its target, so the first decisions, made as if
-    every transfer arrived, may be wrong. Those fed by a transfer whose decision has changed
-    are made again until none changes any more; in order of time at least one more decision
-    is right after every round. A blank date is ``now``.
+    A transfer also feeds later ones out of its target, so all transfers of a product are decided in one
+    order, by time and id, over the stock of all its warehouses: a chain of transfers of any length takes no
+    further pass. A blank date is ``now``.
     """
     valid, invalid = validate_batch(_dated(requests, "transferDate", now), "transfers")
-    # Every round reads the legs several times.
-    legs = materialize(transfer_legs(valid), "transfer-legs")
-    leaving, arriving = legs.filter(F.col("type") == "outbound"), legs.filter(F.col("type") == "inbound")
-    stock = materialize(opening_stock(ledger, legs), "transfer-stock")
-
-    def decisions(posted: DataFrame) -> DataFrame:
-        decided = _decide(posted, stock, ("transactionDate", "request", "leg"), partitions)
-        return decided.filter(F.col("type") == "outbound").select("request", "accepted", "available")
-
-    verdicts = materialize(decisions(legs).withColumn("changed", ~F.col("accepted")), "transfer-verdicts")
-    while not verdicts.filter("changed").isEmpty():
-        fed = arriving.join(verdicts.filter("changed").select("request"), "request", "left_semi").select(*KEY).distinct()
-        arrived = arriving.join(verdicts.filter("accepted").select("request"), "request", "left_semi")
-        again = decisions(leaving.unionByName(arrived).join(fed, KEY, "left_semi")).select(
-            "request", F.col("accepted").alias("_accepted"), F.col("available").alias("_available")
-        )
-        verdicts = materialize(
-            verdicts.join(again, "request", "left").select(
-                "request",
-                F.coalesce("_accepted", "accepted").alias("accepted"),
-                F.coalesce("_available", "available").alias("available"),
-                F.coalesce(F.col("_accepted") != F.col("accepted"), F.lit(False)).alias("changed"),
-            ),
-            "transfer-verdicts",
-        )
-    posted = legs.join(verdicts.filter("accepted").select("request"), "request", "left_semi").select(*LEG)
-    short = valid.join(verdicts.filter("NOT accepted").select(F.col("request").alias("id"), "available"), "id")
-    return posted, _all_rejected(invalid, short)
+    units = _units("quantity")
+    events = valid.select(
+        "productId", F.lit(REQUEST).alias("_kind"), F.struct("transferDate", "id").alias("_place"), F.col("fromWarehouseId").cast("bigint").alias("_account"),
+        F.col("toWarehouseId").cast("bigint").alias("_target"), F.lit(True).alias("checked"), units.alias("units"), (-units).cast(EXACT).alias("delta"),
+        F.struct(*valid.columns).alias("request"),
+    )
+    sides = F.explode(F.array("fromWarehouseId", "toWarehouseId")).alias("warehouseId")
+    stock = opening_stock(ledger, valid.select("productId", sides)).select("productId", F.col("warehouseId").cast("bigint").alias("_account"), "stock")
+    decided = materialize(_decided(events, stock, ["productId"], partitions, hot), "transfer-verdicts")
+    posted = transfer_legs(decided.filter("accepted")).select(*LEG)
+    return posted, _all_rejected(invalid, decided.filter("NOT accepted"))
 
 
 def expand_adjustments(requests: DataFrame, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from depotlens.functions.dates import in_days, in_days_if_both, last_days, perio
 from depotlens.functions.numbers import exact_avg, exact_multiple, exact_sum, exact_total, percent, ratio, zero_if_null
 from depotlens.plans.fanout import repeats, with_child_count
 from depotlens.plans.lookups import lookup, sorted_list
-from depotlens.plans.stock import Tables, movements, with_home_stock
+from depotlens.plans.stock import Tables, movements, stock_source, with_home_stock
 
 def overview(tables: Tables, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row of system totals; the date range limits every ledger figure."""
@@ -70,7 +70,7 @@ def inventory_by_warehouse(tables: Tables) -> DataFrame:
     ``netInventoryValue`` is inbound minus outbound quantity, as the original reports it.
     """
     columns = ("totalIn", "totalOut", "onHand", "inValue")
-    totals = _home_totals(tables, tables["transactions"], columns)
+    totals = _home_totals(tables, stock_source(tables), columns)
     joined = tables["warehouses"].join(totals, F.col("id") == F.col("_home"), "left")
     joined = joined.fillna(0, subset=["totalProducts", *columns])
     return joined.select(
@@ -109,7 +109,7 @@ def inventory_by_product(
 ) -> DataFrame:
     """Movements, stock and stock status of every product in its home warehouse."""
     products = where_equal(tables["products"], category=category, warehouseId=warehouse_id)
-    stock = with_home_stock(products, tables["transactions"], ("totalIn", "totalOut", "onHand", "inValue"))
+    stock = with_home_stock(products, stock_source(tables), ("totalIn", "totalOut", "onHand", "inValue"))
     # The status is worked out after the query, where a missing bound counts as 0.
     status = stock_status(
         F.col("onHand"), zero_if_null(F.col("minStock")), zero_if_null(F.col("maxStock"))
@@ -467,7 +467,7 @@ def low_stock_alert(tables: Tables, warehouse_id: int | None = None, limit: int
     """Products at or below 1.5 times their minimum stock, emptiest first."""
     products = where_equal(tables["products"], warehouseId=warehouse_id)
     alarm = F.col("minStock") * F.lit(1.5)
-    short = with_home_stock(products, tables["transactions"], ("onHand",)).filter(F.col("onHand") <= alarm)
+    short = with_home_stock(products, stock_source(tables), ("onHand",)).filter(F.col("onHand") <= alarm)
     if limit is not None:
         short = short.orderBy("onHand", "id").limit(int(limit))
     shortage = F.col("minStock") - F.col("onHand")
