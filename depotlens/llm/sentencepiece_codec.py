@@ -1,9 +1,9 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-The distinct parts of words of a batch are joined into one text and indexed by a suffix array. All
+The distinct new words of a batch are joined into one text and indexed by a suffix array. All
 pieces of the vocabulary are binary-searched in it at once, character by character; the range
 of a piece lists its occurrences, each an edge from its start to its end. Edges are sorted by end and
-relaxed from left to right.
+relaxed from left to right, those that end at the same place of their words for all words at once.
 
 The vocabulary is a byte-pair one, so the path wanted is the one its merges lead to. That
 path has an exact local rule: the encoding of a prefix ends with piece t iff t fits after the
@@ -30,6 +30,10 @@ SPACE = "▁"
 BATCH_ROWS = 4096
 CACHE_WORDS = 600_000
 CACHE_FITS = 2_000_000
+#: Characters of new words that are indexed at a time, about; it bounds memory.
+LEARNED_CHARACTERS = 1 << 20
+#: Longer words are relaxed one by one.
+LONG_WORD = 200
 #: A word is spaces and what follows them; no piece reaches into the next word.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -54,6 +58,19 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+class _Fits(dict):
+    """Answers for pairs of piece numbers, worked out when first asked for."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, pair: int) -> bool:
+        left, right = map(self.codec.text_of_number, divmod(pair, self.codec.stride))
+        self[pair] = known = self.codec.merged(left + right) == [left, right]
+        return known
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -74,15 +91,18 @@ class Codec:
         for row, piece in enumerate(ordered):
             self.matrix[row, : len(piece)] = [ord(c) for c in piece]
         self.ordered = ordered
-        #: Neighbours of characters inside pieces; words fall apart between all others.
-        self.neighbours = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
         self.text_of = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for value, i in self.bytes.items():
             self.text_of[i] = bytes([value])
         self.words: dict[str, bytes] = {}
         #: Pieces of two or more characters that the merges build from their characters at all.
         self.built = np.array([len(p) > 1 and self.merged(p) == [p] for p in ordered])
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: Number of a piece is its row, that of a character that is no piece comes after all rows.
+        self.id_of = np.array([self.ids[p] for p in ordered], np.int64)
+        self.stride = len(ordered) + 0x110000
+        single = [(ord(p), row) for row, p in enumerate(ordered) if len(p) == 1]
+        self.single_codes, self.single_rows = (np.array(x, np.int64) for x in zip(*sorted(single)))
+        self.fits = _Fits(self)
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves: the best-scored neighbours first, the leftmost of equals."""
@@ -99,18 +119,18 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fitting(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        known = self.fits.get(pair)
-        if known is None:
-            if len(self.fits) > CACHE_FITS:
-                self.fits.clear()
-            known = self.fits[pair] = self.merged(left + right) == [left, right]
-        return known
+    def text_of_number(self, number: int) -> str:
+        return self.ordered[number] if number < len(self.ordered) else chr(number - len(self.ordered))
+
+    def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the text of two pieces gives just these two."""
+        if len(self.fits) > CACHE_FITS:
+            self.fits.clear()
+        pairs, at = np.unique(left * self.stride + right, return_inverse=True)
+        return np.fromiter(map(self.fits.__getitem__, pairs.tolist()), bool, len(pairs))[at]
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece number) of every occurrence of a piece of two or more characters, by end."""
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
         order = suffix_array(codes, self.depth)
         n = len(codes)
         padded = np.concatenate([codes, np.full(self.depth, -1)])
@@ -144,45 +164,85 @@ class Codec:
         by_end = np.lexsort((start, end))
         return start[by_end], piece[by_end]
 
+    def _last_pieces(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Number of the last piece of the encoding of every prefix of every word, at the prefix's last character."""
+        at = np.minimum(np.searchsorted(self.single_codes, codes), len(self.single_codes) - 1)
+        last = np.where(self.single_codes[at] == codes, self.single_rows[at], len(self.ordered) + codes)
+        word = np.searchsorted(begins, start, side="right") - 1
+        end = start + self.lengths[piece]
+        short = sizes[word] <= LONG_WORD
+        place = (end - begins[word])[short]
+        order = np.lexsort((start[short], word[short], place))
+        word, place, start, piece, end = word[short][order], place[order], start[short][order], piece[short][order], end[short][order]
+        cuts = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # The longest piece first; the next one only where it does not fit.
+            new = np.diff(word[a:b], prepend=-1) != 0
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            turn = first.copy()
+            stop = np.append(first[1:], b - a)
+            while len(turn):
+                edge = a + turn
+                s = start[edge]
+                fits = s == begins[word[edge]]
+                inner = np.flatnonzero(~fits)
+                if len(inner):
+                    fits[inner] = self.fitting(last[s[inner] - 1], piece[edge[inner]])
+                last[end[edge[fits]] - 1] = piece[edge[fits]]
+                turn = turn[~fits] + 1
+                turn = turn[turn < stop[group[turn - 1]]]
+        return last
+
+    def _relax_alone(self, begin: int, size: int, start: list[int], piece: list[int], last: np.ndarray) -> None:
+        """The same for one long word; its edges by end, then start."""
+        settled = -1
+        for s, number in zip(start, piece):
+            end = s + int(self.lengths[number])
+            if end != settled and (s == begin or self.fits[int(last[s - 1]) * self.stride + number]):
+                last[end - 1] = number
+                settled = end
+
     def _learn(self, words: list[str]) -> None:
         text = "\0".join(words)
-        start, piece = self.edges(text)
-        ends = (start + self.lengths[piece]).tolist()
-        starts, numbers = start.tolist(), piece.tolist()
-        edge, n_edges, begin = 0, len(ends), 0
-        ordered, ids, fitting = self.ordered, self.ids, self.fitting
-        for word in words:
-            n = len(word)
-            last = [""] * (n + 1)  # the last piece of the encoding of each prefix
-            for j in range(1, n + 1):
-                end = begin + j
-                chosen = None
-                while edge < n_edges and ends[edge] <= end:
-                    if ends[edge] == end and chosen is None:
-                        i = starts[edge] - begin
-                        candidate = ordered[numbers[edge]]
-                        if i == 0 or (i > 0 and fitting(last[i], candidate)):
-                            chosen = candidate
-                    edge += 1
-                last[j] = chosen or word[j - 1]
-            parts: list[int] = []
-            j = n
-            while j:
-                piece_text = last[j]
-                number = ids.get(piece_text)
-                if number is not None:
-                    parts.append(number)
-                else:
-                    parts.extend(self.bytes[b] for b in reversed(piece_text.encode()))
-                j -= len(piece_text)
-            self.words[word] = np.array(parts[::-1], "<u4").tobytes()
-            begin += n + 1
-
-    def _parts(self, word: str) -> list[str]:
-        """The word cut where no piece has these two neighbours: no merge reaches over."""
-        neighbours = self.neighbours
-        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in neighbours]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        begins = ends - sizes
+        start, piece = self.edges(codes)
+        last = self._last_pieces(codes, begins, sizes, start, piece)
+        word = np.searchsorted(begins, start, side="right") - 1
+        for long in np.flatnonzero(sizes > LONG_WORD).tolist():
+            own = word == long
+            self._relax_alone(int(begins[long]), int(sizes[long]), start[own].tolist(), piece[own].tolist(), last)
+        # Back from the end of each word.
+        length = np.append(self.lengths, 1)[np.minimum(last, len(self.ordered))]
+        on = np.zeros(len(codes), bool)
+        at, low = ends.copy(), begins
+        while len(at):
+            on[at - 1] = True
+            at = at - length[at - 1]
+            left = at > low
+            at, low = at[left], low[left]
+        chosen = np.flatnonzero(on)
+        numbers = last[chosen]
+        unknown = numbers >= len(self.ordered)
+        ids = np.where(unknown, 0, self.id_of[np.minimum(numbers, len(self.ordered) - 1)])
+        counts = np.ones(len(ids), np.int64)
+        spelled = {}
+        for number in np.unique(numbers[unknown]).tolist():
+            spelled[number] = [self.bytes[b] for b in self.text_of_number(number).encode("utf-8", "surrogatepass")]
+        if spelled:
+            counts[unknown] = [len(spelled[x]) for x in numbers[unknown].tolist()]
+            flat = np.repeat(ids, counts)
+            flat[np.repeat(unknown, counts)] = [i for x in numbers[unknown].tolist() for i in spelled[x]]
+        else:
+            flat = ids
+        before = np.concatenate([[0], np.cumsum(counts)])
+        bounds = before[np.searchsorted(chosen, np.append(begins, len(codes)))] * 4
+        data = flat.astype("<u4").tobytes()
+        bounds = bounds.tolist()
+        self.words.update(zip(words, map(data.__getitem__, map(slice, bounds[:-1], bounds[1:]))))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
@@ -190,17 +250,15 @@ class Codec:
         split = [WORD.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
         everything = set().union(*split)
         new = everything - self.words.keys()
-        if len(self.words) + 2 * len(new) > CACHE_WORDS:
+        if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
             new = everything
-        apart = {word: self._parts(word) for word in new}
-        unseen = {part for parts in apart.values() for part in parts} - self.words.keys()
-        if unseen:
-            self._learn(sorted(unseen))
+        words = sorted(new)
+        parts = np.cumsum([len(w) + 1 for w in words]) // LEARNED_CHARACTERS
+        for part in np.unique(parts).tolist():
+            low, high = np.searchsorted(parts, (part, part + 1))
+            self._learn(words[low:high])
         get = self.words.__getitem__
-        for word, parts in apart.items():
-            if len(parts) > 1:
-                self.words[word] = b"".join(map(get, parts))
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
