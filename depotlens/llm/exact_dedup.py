@@ -8,6 +8,7 @@ with a third of all rows arrives at its group as one partial row per task.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,15 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id) in ``path``, bucketed and sorted by digest."""
+    """A table (digest, keep_id) in ``path``, bucketed and sorted by digest.
+
+    The number of buckets is kept beside the files. An index that is opened again has that number, whatever is asked
+    for: files are read by bucket, and under another number known texts would not be found.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets = spark, path, self._settled(spark, f"{path}-buckets", buckets)
+        buckets = self.buckets
         self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path[-48:])
         columns = INDEX_SCHEMA.replace("digest binary", "digest BINARY").replace("keep_id bigint", "keep_id BIGINT")
         spark.sql(
@@ -38,6 +44,17 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    @staticmethod
+    def _settled(spark: SparkSession, path: str, buckets: int) -> int:
+        """The number in ``path``, or ``buckets``, which then stands there."""
+        try:
+            known = spark.read.schema("buckets int").parquet(path).first()
+        except AnalysisException:  # there is no such path yet
+            known = None
+        if known is None:
+            spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(path)
+        return buckets if known is None else known["buckets"]
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 

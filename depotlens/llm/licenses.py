@@ -8,6 +8,8 @@ directory: directories, not files, are expanded to their ancestors and joined by
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,16 @@ FULL_TEMPLATES = (
     ("GPL-2.0", _GNU_OLD.format(this="This program", kind="", version="2")),
     ("GPL-3.0", _GNU.format(this="This program", kind="", version="3")),
     ("LGPL-3.0", _GNU.format(this="This library", kind="Lesser ", version="3")),
+    ("AGPL-3.0", _GNU.format(this="This program", kind="Affero ", version="3")),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR "
+        "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+        "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
@@ -94,14 +106,18 @@ HEADS = (
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MIT", _PERMISSION),
 )
-ALL_TEMPLATES = TEMPLATES + FULL_TEMPLATES + HEADS
+#: Paragraphs of the full texts that stand alone where a text is cut.
+PARAGRAPHS = tuple((name, part) for name, text in FULL_TEMPLATES for part in text.split("\n\n")[1:] if len(part) > 200)
+SPDX = tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEMPLATES + FULL_TEMPLATES))
+ALL_TEMPLATES = TEMPLATES + FULL_TEMPLATES + HEADS + PARAGRAPHS + SPDX
 #: Marks of comments at the start of a line.
 COMMENT = r"(?m)^[\x20\t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[\x20\t]*"
 #: A passage without any of these is not about a licence.
-ANCHORS = r"(?i)licen[cs]e|permission|redistribution|public domain|cc0|cc by"
+ANCHORS = r"(?i)licen[cs]e|permission|redistribution|public domain|cc0|cc by|warrant|liable"
 
 
 def terms(text: Column) -> Column:
@@ -190,16 +206,19 @@ def ancestors(folder: Column) -> Column:
     )
 
 
-def licences(files: DataFrame, minimum: float = MINIMUM) -> DataFrame:
-    """The licence of every file: ``path``, ``licence``, ``score``, ``origin``, ``inherited_from``.
+def licences(files: DataFrame, minimum: float = MINIMUM, keep: Sequence[str] = ()) -> DataFrame:
+    """The licence of every file: ``path``, ``licence``, ``score``, ``origin``, ``inherited_from``, and the columns to ``keep``.
 
-    ``files`` has ``path``, ``text`` and ``is_licence_file``; other columns are ignored. ``origin`` is
+    ``files`` has ``path``, ``text`` and ``is_licence_file``; other columns are ignored unless kept. ``origin`` is
     ``own``, ``inherited`` (from a licence file of the nearest directory at or above that of the file)
     or ``none``, with NULL licence. Of several licence files in a directory the best score counts, then
     the last name of a licence. A NULL or empty text has no licence of its own; a NULL path is in no
     directory and inherits nothing. Repeated rows get equal rows; an empty table gives an empty result.
     """
-    rows = files.select("path", directory(F.col("path")).alias("folder"), F.coalesce("is_licence_file", F.lit(False)).alias("file"))
+    carried = F.struct(*keep) if keep else F.lit(None)
+    rows = files.select(
+        "path", directory(F.col("path")).alias("folder"), F.coalesce("is_licence_file", F.lit(False)).alias("file"), carried.alias("carried")
+    )
     own = materialize(own_licences(files.select("path", "text", "is_licence_file"), minimum), "own-licences")
     found = rows.join(own.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path"), "left").drop("_path")
     sources = found.filter("file AND licence IS NOT NULL").groupBy("folder").agg(F.max(F.struct("score", "licence")).alias("rule"))
@@ -219,4 +238,5 @@ def licences(files: DataFrame, minimum: float = MINIMUM) -> DataFrame:
         F.coalesce("score", "rule.score").alias("score"),
         F.when(has_own, "own").when(F.col("rule").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(~has_own, F.col("above")).alias("inherited_from"),
+        *[F.col(f"carried.{c}").alias(c) for c in keep],
     )

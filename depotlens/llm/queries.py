@@ -63,16 +63,21 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Every source is a repository; ids give two levels of directories, each tenth file is a licence file."""
+    """Every source is a repository; ids give two levels of directories, each tenth file is a licence file.
+
+    A document without an id stands in the root of its repository, under the digest of its text.
+    """
+    return licences_of(documents(spark, folder))
+
+
+def licences_of(docs: DataFrame) -> DataFrame:
     hundred = F.floor(F.col("doc_id") / 1000).cast("string")
     ten = F.floor(F.pmod("doc_id", F.lit(1000)) / 50).cast("string")
-    is_file = F.col("doc_id") % 10 == 0
-    name = F.concat(F.when(is_file, "LICENSE.").otherwise("page."), F.col("doc_id").cast("string"))
-    files = documents(spark, folder).select(
-        F.concat_ws("/", "source", hundred, ten, name).alias("path"), "text", is_file.alias("is_licence_file")
-    )
-    found = licenses.licences(files)
-    return found.withColumn("doc_id", F.regexp_extract("path", r"(-?[0-9]+)$", 1).cast("bigint"))
+    is_file = F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    name = F.concat(F.when(is_file, "LICENSE.").otherwise("page."), own)
+    files = docs.select(F.concat_ws("/", "source", hundred, ten, name).alias("path"), "text", is_file.alias("is_licence_file"), "doc_id")
+    return licenses.licences(files, keep=("doc_id",))
 
 
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

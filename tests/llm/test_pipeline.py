@@ -94,3 +94,40 @@ def test_run_is_the_stages(spark, stages):
         return sorted(hashlib.sha256(repr((r.doc_id, r.start, r.length, r.ids_crc32)).encode()).hexdigest() for r in frame.collect())
 
     assert digest(pipeline.run(spark, SF_DIR)) == digest(stages[5])
+
+
+CLASHING = ("_digest", "_spans", "_kept_id", "_kept", "_turn", "__digest", "spans")
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_odd_rows_and_clashing_columns(docs, name):
+    """NULLs, empty and long texts, ties, repeated rows; then no rows at all."""
+    frame = docs.select(*[c for c in docs.columns if c not in CLASHING], *[F.lit(c).alias(c) for c in CLASHING])
+    stage = dict(pipeline.STAGES)[name]
+    found = stage(docs.sparkSession, frame, SF_DIR)
+    rows, empty = found.collect(), stage(docs.sparkSession, frame.limit(0), SF_DIR)
+    assert empty.columns == found.columns and empty.collect() == []
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+        return
+    assert found.columns == frame.columns
+    left = [r.doc_id for r in rows]
+    given = [r.doc_id for r in frame.select("doc_id").collect()]
+    if name == "secret scans":
+        assert sorted(left, key=str) == sorted(given, key=str)
+        (key,) = [r for r in rows if r.doc_id is None]
+        assert key.text == "no id here, [SECRET]" and key.n_chars == len(key.text)
+    elif name == "exact dedup":
+        assert sorted(left, key=str) == sorted({*given} - {2, 5, 12}, key=str)
+    elif name == "MinHash near-dedup":
+        assert {5, 6, 7, None} <= set(left) and left.count(9) == 2 and len({2, 3, 4, 13} & set(left)) == 1
+    else:
+        assert {5, 6, 7} & set(left) == set() and left.count(9) == 2
+
+
+def test_one_of_rows_that_share_id_and_text(spark):
+    """The same one, in whatever order rows come."""
+    rows = [(1, "Some text", "en", "a", 9), (1, "some text", "de", "b", 9), (1, "SOME text", None, "c", 9), (2, "other", "en", "a", 5)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    found = [sorted(map(str, pipeline.drop_exact_copies(spark, spark.createDataFrame(x, schema).repartition(n), "").collect())) for x, n in ((rows, 1), (rows[::-1], 4))]
+    assert found[0] == found[1] and len(found[0]) == 2

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotlens.llm import exact_dedup, fingerprints, language_id, licenses, near_dedup, packing, pii, secrets, sentencepiece_codec, substring_dedup
+from depotlens.llm import queries
 from depotlens.plans.durable import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -319,6 +320,73 @@ def test_wrapped_headers_and_licence_files(spark):
         assert r.licence == r.path.rsplit("/", 1)[1].split("|")[0], r
 
 
+def brute_own_licences(files):
+    """Plain TF-IDF cosine of every passage with every template."""
+
+    def terms(text):
+        return re.findall(r"[0-9]+(?:\.[0-9]+)+|[a-z0-9]+", text.lower())
+
+    def passages(text, whole):
+        if not re.search(licenses.ANCHORS, text):
+            return []
+        blocks = [re.sub(r"\s+", " ", b, flags=re.A).strip(" ") for b in re.split(r"\r?\n(?:[\x20\t]*\r?\n)+", re.sub(licenses.COMMENT, "", text))]
+        named = [b for b in blocks if re.search(licenses.ANCHORS, b)]
+        sentence = r"(?<=[.!?])\s+"
+        found = re.split(rf"\n|{sentence}", text) + named + [s for b in named for s in re.split(sentence, b)] + [text] * whole
+        return [p for p in found if re.search(licenses.ANCHORS, p)]
+
+    texts = [t or "" for _, t, _ in files]
+    held = Counter(term for t in texts for term in set(terms(t)))
+
+    def vector(text):
+        counted = Counter(terms(text))
+        value = {x: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + held[x])) + 1) for x, n in counted.items()}
+        return value, np.sqrt(sum(v * v for v in value.values()))
+
+    known = [(name, *vector(text)) for name, text in licenses.ALL_TEMPLATES]
+    own = {}
+    for path, text, whole in files:
+        scores = []
+        for p in set(passages(text or "", whole)):
+            v, norm = vector(p)
+            scores += [round(sum(x * w.get(k, 0) for k, x in v.items()) / (norm * other), 6) for _, w, other in known if norm]
+        if scores and max(scores) >= licenses.MINIMUM:
+            own[path] = max(scores)
+    return own
+
+
+def test_licence_scores_are_plain_cosines(spark):
+    rows = [(f"n{i}/f", f"some words w{i} of file {i % 9} under this it is\nno licence here, says line {i}", False) for i in range(60)]
+    rows += [(f"t{i}/f{i}", f"Words w{i}. {text}\n\nAnd more w{i}. Text.", i % 3 == 0) for i, (_, text) in enumerate(licenses.ALL_TEMPLATES)]
+    rows += [("x/null", None, True), ("x/empty", "", True), ("x/part", "Permission is granted to any person obtaining the software", False)]
+    found = licenses.own_licences(spark.createDataFrame(rows, "path string, text string, is_licence_file boolean")).collect()
+    want = brute_own_licences(rows)
+    assert {r.path for r in found} == set(want)
+    assert all(r.score == pytest.approx(want[r.path], abs=2e-6) for r in found)
+
+
+def test_kindred_licences_are_told_apart(spark):
+    """Affero and plain GNU licences, a warranty paragraph on its own, lines that name a licence by its short name."""
+    full = dict(licenses.FULL_TEMPLATES)
+    rows = [(f"n{i}/f", f"some words w{i} of file {i} this is it", False) for i in range(200)]
+    for version, date in (("AFFERO ", "19 November 2007"), ("LESSER ", "29 June 2007"), ("", "29 June 2007")):
+        name = {"AFFERO ": "AGPL-3.0", "LESSER ": "LGPL-3.0", "": "GPL-3.0"}[version]
+        head = f"GNU {version}GENERAL PUBLIC LICENSE\n   Version 3, {date}\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"
+        rows.append((f"h/{name}|LICENSE", head + "\n" + full[name], True))
+    rows.append(("w/MIT|x", "\n".join(textwrap.wrap(full["MIT"].split("\n\n")[2], 60)), False))
+    rows.append(("w/ISC|x", full["ISC"], False))
+    rows += [(f"s/{name}|x.py", f"# SPDX-License-Identifier: {name}\nimport os\n", False) for name in ("MIT", "Apache-2.0", "AGPL-3.0", "ISC", "GPL-2.0")]
+    found = licenses.own_licences(spark.createDataFrame(rows, "path string, text string, is_licence_file boolean")).collect()
+    assert len(found) == len(rows) - 200
+    assert all(r.licence == r.path.split("/")[1].split("|")[0] for r in found)
+
+
+def test_licences_of_documents_without_an_id(spark):
+    rows = [(None, "Released under the MIT License.", "src7"), (None, "nothing", "src7"), (20, "words", "src7"), (None, None, None)]
+    found = queries.licences_of(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted(((r.doc_id, r.licence, r.origin) for r in found), key=str) == sorted([(None, "MIT", "own"), (None, None, "none"), (20, None, "none"), (None, None, "none")], key=str)
+
+
 def brute_classes(rows):
     sets = {}
     for doc_id, text in rows:
@@ -404,6 +472,12 @@ def test_index_remembers(spark, docs):
     assert index.read().count() == 2
     reopened = exact_dedup.DigestIndex(spark, index.path, 4)
     assert reopened.read().count() == 2
+    # A session that does not know the table, and asks for another number of buckets.
+    spark.sql(f"DROP TABLE {index.table}")
+    other = exact_dedup.DigestIndex(spark, index.path, 8)
+    assert other.buckets == 4
+    assert not any(r.kept for r in exact_dedup.deduplicate(docs.filter("doc_id IN (1, 3)"), other).filter("keep_id <> doc_id").collect())
+    assert other.read().count() == 2
 
 
 def test_fingerprints(documents):
