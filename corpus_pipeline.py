@@ -2,7 +2,7 @@
 
 Each stage is one of the text operators, applied to all that its predecessor kept; its result is
 written as Parquet and read again for the next. All stages but the last return the columns
-of ``documents``.
+of ``documents``, and further ones, whatever their names. Every stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depotlens.llm import exact_dedup, language_id, near_dedup, packing, secrets
@@ -19,10 +19,19 @@ from depotlens.plans.durable import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is in ``ids`` (unique, one column); NULL equals NULL."""
-    side = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = _unused(docs, "_kept_id")
+    side = ids.select(F.col("doc_id").alias(kept))
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     That class is learned from text without a language, and its limit from labelled rows: a low score alone rejects
     nothing, since clean texts that are short or mix words of two languages have one too. Where nothing could be learned, texts
-    with a letter stay. Rows that share an id stay if one of them is accepted.
+    with a letter stay. Rows that share an id (NULL is one too) stay if one of them is accepted; repeated rows stay repeated.
     """
     model = language_id.fit_with_reject(docs)
     if not model.languages:
@@ -41,33 +50,51 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays; rows repeated as a whole become one."""
+    """Of equal texts the one with the largest id stays (a NULL id is the smallest; NULL counts as the empty text).
+
+    Rows that share id and text are one document: of those that differ in other columns, the one with the smallest hash of
+    the whole row stays, whatever the order of rows.
+    """
+    digest, kept_id, kept_digest, turn = (_unused(docs, name) for name in ("_digest", "_kept_id", "_kept", "_turn"))
     kept = exact_dedup.deduplicate(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
-    side = kept.distinct().select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept"))
-    own = docs.withColumn("_digest", F.unhex(F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)))
-    met = own.join(side, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    side = kept.distinct().select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
+    own = docs.withColumn(digest, F.unhex(F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)))
+    met = own.join(side, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
+    first = Window.partitionBy("doc_id", digest).orderBy(F.xxhash64(*docs.columns))
+    return met.withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, that of the smallest id.
+
+    Rows without words (NULL or empty texts) are alike to none and stay, as do rows with a NULL id. Rows that share the id
+    that stays all stay.
+    """
     return _only(docs, near_dedup.near_classes(docs).filter("kept").select("doc_id").distinct())
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents without any stay as they are."""
-    found = secrets.scan(docs).filter(F.size("spans") > 0)
-    side = materialize(found.select(F.col("digest").alias("_digest"), "spans").dropDuplicates(["_digest"]), "secret-spans")
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    text = F.when(F.col("_digest").isNotNull(), secrets.redact(F.col("text"), spans)).otherwise(F.col("text"))
-    length = F.when(F.col("_digest").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    met = docs.join(side, digest == F.col("_digest"), "left")
+    """Secrets are replaced by a mark, and ``n_chars`` is that of the new text; rows without any stay as they are.
+
+    Every row is kept: NULL and empty texts have no secrets, equal texts are changed alike.
+    """
+    digest, spans = _unused(docs, "_digest"), _unused(docs, "_spans")
+    found = secrets.scan(docs).filter(F.size("spans") > 0).dropDuplicates(["digest"])
+    places = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    side = materialize(found.select(F.col("digest").alias(digest), places.alias(spans)), "secret-spans")
+    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    held = F.col(digest).isNotNull()
+    text = F.when(held, secrets.redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    length = F.when(held, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    met = docs.join(side, own == F.col(digest), "left")
     return met.withColumn("text", text).withColumn("n_chars", length).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens.
+
+    A NULL or empty text has one token, its end. Rows that share an id, or are repeated, are packed each.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
