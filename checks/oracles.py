@@ -814,6 +814,11 @@ BODIES |= {
     "invoice_by_id": BODIES["invoice_document"].replace("GROUP BY i.id", "WHERE i.id = (SELECT max(id) FROM inv) GROUP BY i.id"),
     "product_by_id": PRODUCT_LIST + " WHERE p.id = (SELECT max(id) FROM prod)",
     "stored_tables": PRODUCT_LIST,
+    "product_search_indexed": BODIES["product_search"],
+    "customer_search_indexed": BODIES["customer_search"],
+    "distinct_products_daily": f"SELECT {DAY} AS date, CAST(count(DISTINCT t.productId) AS BIGINT) AS uniqueProducts FROM led t GROUP BY 1",
+    "distinct_products_monthly": """SELECT strftime(t.transactionDate, '%Y-%m') AS month,
+        CAST(count(DISTINCT t.productId) AS BIGINT) AS uniqueProducts FROM led t GROUP BY 1""",
 }
 
 

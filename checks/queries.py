@@ -10,13 +10,13 @@ from collections import ChainMap
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.synthetic import SyntheticTables
 from depotlens.operators import batch, billing, catalog, dashboard, ledger, maintenance, posting, reports, search
-from depotlens.plans import snapshot
+from depotlens.plans import distinct, search_index, snapshot
 from depotlens.plans.durable import new_path
 from depotlens.sources import files
 
@@ -370,6 +370,26 @@ def stored_tables(t: SyntheticTables) -> DataFrame:
     return listed.select(*t["products"].columns, "uomName", "warehouseName", "locationName")
 
 
+def _indexed(t: SyntheticTables, name: str, columns: tuple[str, ...], operator: Callable[..., DataFrame], keyword: str) -> DataFrame:
+    """A search over a table that was written by id, with the postings of its text."""
+    rows = t[name]
+    spark = rows.sparkSession
+    path, postings = new_path(spark, name), new_path(spark, "postings")
+    files.write_by_id(rows, path)
+    search_index.build(rows, columns, postings)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    found = search_index.candidates(stored, search_index.read(spark, postings), keyword)
+    return operator(ChainMap({name: found}, t), keyword=keyword)
+
+
+def distinct_products(t: SyntheticTables, **by: Column) -> DataFrame:
+    """Products that moved, from stored bit maps by day; coarser groups are merged from them."""
+    path = new_path(t["part"].sparkSession, "bit-maps")
+    distinct.bit_maps(t["transactions"], "productId", {"date": F.date_format("transactionDate", "yyyy-MM-dd")}).write.parquet(path)
+    days = t["part"].sparkSession.read.schema("date string, block bigint, bits binary").parquet(path)
+    return distinct.counts(distinct.merged(days, by) if by else days, list(by) or ["date"], "uniqueProducts")
+
+
 OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     # Reports
     "overview": reports.overview,
@@ -525,6 +545,10 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "invoice_by_id": lambda t: invoice_document(t, lambda tables: _by_id(t, "invoices", billing.invoice_document)),
     "product_by_id": lambda t: _by_id(t, "products", catalog.product_list),
     "stored_tables": stored_tables,
+    "product_search_indexed": lambda t: _indexed(t, "products", catalog.PRODUCT_TEXT, catalog.product_search, "RED"),
+    "customer_search_indexed": lambda t: _indexed(t, "customers", billing.CUSTOMER_TEXT, billing.customer_list, "build_NG"),
+    "distinct_products_daily": distinct_products,
+    "distinct_products_monthly": lambda t: distinct_products(t, month=F.substring("date", 1, 7)),
 }
 
 
