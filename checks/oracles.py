@@ -798,6 +798,21 @@ BODIES["ledger_by_month"] = BODIES["ledger_summary"] + " WHERE transactionDate >
 
 BODIES |= {
     "on_hand_changes": BODIES["on_hand"],
+    "stored_upsert": BODIES["upsert_latest"],
+    "stored_upsert_rejected": BODIES["upsert_latest_rejected"],
+    "stored_replace_invoices": BODIES["replace_children_invoices"],
+    "stored_replace_items": BODIES["replace_children_items"],
+    "stored_cascade_invoices": BODIES["cascade_delete_invoices"],
+    "stored_cascade_items": BODIES["cascade_delete_items"],
+    "stored_guarded_delete": BODIES["guarded_delete_products"],
+    "stored_ledger_changes": f"""WITH early AS (SELECT id, quantity FROM led WHERE transactionDate < '1993-01-01'),
+        corrected AS (SELECT DISTINCT id FROM early WHERE quantity = 11)
+        SELECT t.id, t.type, t.productId, t.warehouseId, CASE WHEN c.id IS NULL THEN t.quantity ELSE 1.5 END AS quantity,
+        CASE WHEN c.id IS NULL THEN t.unitPrice ELSE 2.5 END AS unitPrice,
+        CASE WHEN c.id IS NULL THEN {STAMP.format("t.transactionDate")} ELSE '1993-06-15 10:00:00' END AS transactionDate
+        FROM led t LEFT JOIN corrected c ON c.id = t.id WHERE t.id NOT IN (SELECT id FROM early WHERE quantity = 13)""",
+    "ledger_list_skewed": "WITH hot AS (SELECT * REPLACE (CASE WHEN quantity < 45 THEN 7 ELSE productId END AS productId) FROM led) "
+    + LEDGER_LIST.replace("FROM led t", "FROM hot t"),
     "on_hand_snapshot": BODIES["on_hand"],
     "inventory_by_product_snapshot": BODIES["inventory_by_product"],
     "inventory_by_warehouse_snapshot": BODIES["inventory_by_warehouse"],

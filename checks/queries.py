@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.synthetic import SyntheticTables
-from depotlens.operators import batch, billing, catalog, dashboard, ledger, maintenance, posting, reports, search
-from depotlens.plans import distinct, search_index, snapshot
+from depotlens.operators import batch, billing, catalog, dashboard, ledger, maintenance, posting, reports, search, versions
+from depotlens.plans import buckets, distinct, search_index, snapshot
 from depotlens.plans.durable import new_path
 from depotlens.sources import files
 
@@ -158,8 +158,8 @@ def expand_adjustments(t: SyntheticTables) -> DataFrame:
     return posted.unionByName(told, allowMissingColumns=True)
 
 
-def _upserted(t: SyntheticTables, insert: bool) -> tuple[DataFrame, DataFrame]:
-    """Changes of known and unknown products, some without a name."""
+def _product_changes(t: SyntheticTables) -> tuple[DataFrame, DataFrame]:
+    """Products, and changes of known and unknown ones, some without a name."""
     changes = t["lineitem"].selectExpr(
         "l_partkey * 2 AS id",
         "CASE WHEN l_linenumber % 3 > 0 THEN concat('Version ', l_orderkey) ELSE '' END AS name",
@@ -167,8 +167,11 @@ def _upserted(t: SyntheticTables, insert: bool) -> tuple[DataFrame, DataFrame]:
         "l_extendedprice AS unitPrice",
         "l_shipdate AS updatedAt",
     )
-    target = t["products"].withColumn("updatedAt", F.lit("1990-01-01").cast("timestamp_ntz"))
-    return batch.upsert_latest(target, changes, "products", insert)
+    return t["products"].withColumn("updatedAt", F.lit("1990-01-01").cast("timestamp_ntz")), changes
+
+
+def _upserted(t: SyntheticTables, insert: bool) -> tuple[DataFrame, DataFrame]:
+    return batch.upsert_latest(*_product_changes(t), "products", insert)
 
 
 def upsert_latest_rejected(t: SyntheticTables) -> DataFrame:
@@ -190,12 +193,13 @@ def _updated_invoices(t: SyntheticTables) -> tuple[DataFrame, DataFrame, DataFra
     return batch.update_invoices(invoices, t["invoice_items"], documents)
 
 
+def _taxed(t: SyntheticTables) -> DataFrame:
+    return t["invoices"].withColumns({c: F.lit(0.0) for c in ("subtotal", "taxAmount")} | {"taxRate": F.lit(8.0)})
+
+
 def _replaced(t: SyntheticTables) -> tuple[DataFrame, DataFrame]:
-    invoices = t["invoices"].withColumns(
-        {c: F.lit(0.0) for c in ("subtotal", "taxAmount")} | {"taxRate": F.lit(8.0)}
-    )
     new_items = t["invoice_items"].filter("lineNo <= 2").drop("total")
-    return batch.replace_children(invoices, t["invoice_items"], new_items)
+    return batch.replace_children(_taxed(t), t["invoice_items"], new_items)
 
 
 def _deleted(t: SyntheticTables, entity: str) -> DataFrame:
@@ -390,6 +394,58 @@ def distinct_products(t: SyntheticTables, **by: Column) -> DataFrame:
     return distinct.counts(distinct.merged(days, by) if by else days, list(by) or ["date"], "uniqueProducts")
 
 
+def _stored(df: DataFrame, key: str = "id") -> buckets.Stored:
+    return buckets.write(df, new_path(df.sparkSession, "stored"), key, 16)
+
+
+def stored_upsert(t: SyntheticTables, part: int) -> DataFrame:
+    """The changes of products, made in the table stored in buckets."""
+    target, changes = _product_changes(t)
+    stored = _stored(target)
+    rejected = versions.upsert(stored, changes, "products")
+    return (stored.rows(), rejected.select("id", "name", "sku", "unitPrice", "reject_reason"))[part]
+
+
+def stored_replace(t: SyntheticTables, part: int) -> DataFrame:
+    heads, items = _stored(_taxed(t)), _stored(t["invoice_items"], "invoiceId")
+    versions.replace_children(heads, items, t["invoice_items"].filter("lineNo <= 2").drop("total"))
+    return (heads, items)[part].rows()
+
+
+def stored_cascade(t: SyntheticTables, part: int) -> DataFrame:
+    heads, items = _stored(t["invoices"]), _stored(t["invoice_items"], "invoiceId")
+    versions.cascade_delete(heads, items, t["invoices"].filter("status = 'overdue'"))
+    return (heads, items)[part].rows()
+
+
+def stored_guarded_delete(t: SyntheticTables) -> DataFrame:
+    stored = _stored(t["products"])
+    rejected = versions.guarded_delete(t, "products", stored, t["products"])
+    held = rejected.select("id", F.col("transactionCount").cast("string").alias("held_by"))
+    return stored.rows().select("id").join(held, "id", "left")
+
+
+def stored_ledger_changes(t: SyntheticTables) -> DataFrame:
+    """Lines corrected and moved to another month, and others deleted, in a ledger stored by month."""
+    rows = t["transactions"]
+    spark = rows.sparkSession
+    path = new_path(spark, "ledger")
+    files.append_ledger(rows, path)
+    early = rows.filter("transactionDate < '1993-01-01'")
+    corrected = early.filter("quantity = 11").select("id").distinct().selectExpr(
+        "id", "1.5D AS quantity", "2.5D AS unitPrice", "timestamp_ntz '1993-06-15 10:00:00' AS transactionDate", "timestamp_ntz '2024-01-01' AS updatedAt"
+    )
+    versions.upsert_ledger(spark.read.parquet(path), path, corrected)
+    versions.delete_from_ledger(spark.read.parquet(path), path, early.filter("quantity = 13").select("id"))
+    return spark.read.parquet(path).select("id", "type", "productId", "warehouseId", "quantity", "unitPrice", "transactionDate")
+
+
+def ledger_list_skewed(t: SyntheticTables) -> DataFrame:
+    """All ledger rows, nine tenths of them of one product."""
+    hot = t["transactions"].withColumn("productId", F.when(F.col("quantity") < 45, 7).otherwise(F.col("productId")).cast("bigint"))
+    return ledger.ledger_list(ChainMap({"transactions": hot}, t), limit=None, ordered=False, skewed=True)
+
+
 OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     # Reports
     "overview": reports.overview,
@@ -547,6 +603,15 @@ OPERATORS: dict[str, Callable[[SyntheticTables], DataFrame]] = {
     "stored_tables": stored_tables,
     "product_search_indexed": lambda t: _indexed(t, "products", catalog.PRODUCT_TEXT, catalog.product_search, "RED"),
     "customer_search_indexed": lambda t: _indexed(t, "customers", billing.CUSTOMER_TEXT, billing.customer_list, "build_NG"),
+    "stored_upsert": lambda t: stored_upsert(t, 0),
+    "stored_upsert_rejected": lambda t: stored_upsert(t, 1),
+    "stored_replace_invoices": lambda t: stored_replace(t, 0),
+    "stored_replace_items": lambda t: stored_replace(t, 1),
+    "stored_cascade_invoices": lambda t: stored_cascade(t, 0),
+    "stored_cascade_items": lambda t: stored_cascade(t, 1),
+    "stored_guarded_delete": stored_guarded_delete,
+    "stored_ledger_changes": stored_ledger_changes,
+    "ledger_list_skewed": ledger_list_skewed,
     "distinct_products_daily": distinct_products,
     "distinct_products_monthly": lambda t: distinct_products(t, month=F.substring("date", 1, 7)),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depotlens.functions.columns import line_value, of_type, where_equal
 from depotlens.functions.dates import in_days, last_days
 from depotlens.functions.numbers import exact_sum
-from depotlens.plans.lookups import lookup, sorted_list
+from depotlens.plans.lookups import lookup, lookup_skewed, sorted_list
 from depotlens.plans.stock import Tables, on_hand_by_key, stock_source
 
 
@@ -23,17 +23,20 @@ def ledger_list(
     limit: int | None = 100,
     id: Any = None,
     ordered: bool = True,
+    skewed: bool = False,
 ) -> DataFrame:
     """Newest ledger rows with the names of what they refer to.
 
-    The limit is applied before the look-ups, which never change the number of rows.
+    The limit is applied before the look-ups, which never change the number of rows. ``skewed`` looks products up
+    by ``lookup_skewed``, for whole ledgers in which few products hold much of the rows.
     """
     ledger = where_equal(tables["transactions"], type=type, warehouseId=warehouse_id, id=id)
     ledger = in_days(ledger, "transactionDate", start, end)
     newest_first = (F.desc("transactionDate"), F.asc("id"))
     if limit is not None:
         ledger = ledger.orderBy(*newest_first).limit(int(limit))
-    named = lookup(ledger, tables["products"], "productId", productName="name", productSku="sku", _uom="uomId")
+    of_products = lookup_skewed if skewed else lookup
+    named = of_products(ledger, tables["products"], "productId", productName="name", productSku="sku", _uom="uomId")
     named = lookup(named, tables["warehouses"], "warehouseId", warehouseName="name")
     named = lookup(named, tables["locations"], "locationId", locationName="name")
     named = lookup(named, tables["uoms"], "_uom", uomName="name").drop("_uom")

@@ -64,3 +64,32 @@ def lookup(df: DataFrame, dimension: DataFrame, key: str, by: str = "id", **colu
         F.col(by).alias(ref), *[F.col(source).alias(name) for name, source in columns.items()]
     )
     return df.join(side, F.col(key) == F.col(ref), "left").drop(ref)
+
+
+def frequent_keys(df: DataFrame, key: str, share: int) -> DataFrame:
+    """Keys that hold at least one of ``share`` parts of the rows: at most ``share`` of them, whatever the size of ``df``.
+
+    Keys are counted on the map side first, so a hot key arrives as one partial count of each task.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows").alias("_all"))
+    return counts.join(F.broadcast(total), F.col("_rows") * share >= F.col("_all")).select(key)
+
+
+def lookup_skewed(df: DataFrame, dimension: DataFrame, key: str, by: str = "id", share: int = 200, **columns: str) -> DataFrame:
+    """``lookup`` for large dimensions and keys that hold much of ``df``, whatever Spark splits at run time.
+
+    Rows of the frequent keys stay where they are and meet the few dimension rows of these keys by broadcast; a dimension has one row
+    for each key here. The other rows are looked up as usual. Rows without a key or partner stay, with NULLs.
+    Reads ``df`` once more to count, and the rows in two parts. The frequent keys, ``share`` at most, pass through the driver.
+    """
+    hot = [row[0] for row in frequent_keys(df, key, share).collect()]
+    if not hot:
+        return lookup(df, dimension, key, by, **columns)
+    # Rows without a key need no partner either, and would meet in one task.
+    apart = F.col(key).isin(hot) | F.col(key).isNull()
+    few = dimension.filter(F.col(by).isin(hot))
+    ref = f"_{key}_ref"
+    side = few.select(F.col(by).alias(ref), *[F.col(source).alias(name) for name, source in columns.items()])
+    met = df.filter(apart).join(F.broadcast(side), F.col(key) == F.col(ref), "left").drop(ref)
+    return met.unionByName(lookup(df.filter(~apart), dimension.filter(~F.col(by).isin(hot)), key, by, **columns))
