@@ -8,7 +8,7 @@ joined back to all paths that carry the blob. Built from DataFrame functions onl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +66,35 @@ LEDGER = "digest binary, rules array<string>, spans array<struct<start:bigint,ra
 SPANS = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
+#: Matches or spans that are folded together.
+RUN = 128
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(items: Column) -> Column:
+    """An array cut into runs of ``RUN``.
+
+    A fold that builds an array copies it in each step, and one that cuts a text walks through it. Folding short runs, and
+    one value of each run, keeps the work of long texts in proportion to them.
+    """
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(RUN)))
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda at: F.slice(items, at, RUN))
+
+
+def _before(runs: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each run, the fold of all items before it, from 0 on."""
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+
+    def next_run(acc: Column, run: Column) -> Column:
+        return F.struct(F.aggregate(run, acc["at"], step).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+
+    return F.aggregate(runs, state, next_run, lambda acc: acc["all"])
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule in code points, end exclusive.
 
@@ -74,7 +103,6 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, rule.pattern, -1)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["piece"])
@@ -84,8 +112,17 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         found = F.when(F.length(value) >= rule.at_least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(stop.alias("at"), found.alias("found"))
 
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
-    found = F.aggregate(pairs, state, step, lambda acc: acc["found"])
+    def of_run(run: Column, before: Column) -> Column:
+        state = F.struct(before.alias("at"), F.array().cast(SPANS).alias("found"))
+        return F.aggregate(run, state, step, lambda acc: acc["found"])
+
+    def of_runs(runs: Column) -> Column:
+        passed = _before(runs, lambda at, pair: at + F.length(pair["piece"]) + F.length(pair["match"]))
+        return F.flatten(F.zip_with(runs, passed, of_run))
+
+    both = F.struct(pieces.alias("pieces"), matches.alias("matches"))
+    pairs = _once(both, lambda b: F.arrays_zip(F.slice(b["pieces"], F.lit(1), F.size(b["matches"])).alias("piece"), b["matches"].alias("match")))
+    found = _once(pairs, lambda p: _once(_runs(p), of_runs))
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
 
@@ -108,6 +145,11 @@ def _scan(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
+def _without_repeats(spans: Column) -> Column:
+    """Sorted spans, each once."""
+    return F.filter(spans, lambda s, i: ~s.eqNullSafe(F.get(spans, i - 1)))
+
+
 class BlobLedger:
     """Parquet files of (digest, rules, spans) in ``path``, only ever appended to."""
 
@@ -126,7 +168,7 @@ class BlobLedger:
         spans = F.filter("spans", lambda s: F.array_contains(kinds, s["kind"]))
         return self.read().groupBy("digest").agg(
             F.flatten(F.collect_list("rules")).alias("done"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("spans"),
+            _once(F.sort_array(F.flatten(F.collect_list(spans))), _without_repeats).alias("spans"),
         )
 
 
@@ -174,17 +216,31 @@ def of_base(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by ``mark``; overlapping spans are one."""
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.concat(acc["text"], F.coalesce(between, F.lit(""))).alias("text"),
-        )
+    """The text with every span replaced by ``mark``; overlapping spans are one. ``spans`` are sorted by start.
+
+    Each run of spans meets only the part of the text that it stands in.
+    """
 
+    def of_run(run: Column, before: Column) -> Column:
+        state = F.struct(before.alias("at"), F.lit("").alias("text"))
+
+        def of_part(part: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                kept = F.substring(part, acc["at"] - before + 1, s["start"] - acc["at"])
+                between = F.when(s["start"] >= acc["at"], F.concat(kept, F.lit(mark)))
+                return F.struct(
+                    F.greatest(acc["at"], s["stop"]).alias("at"),
+                    F.concat(acc["text"], F.coalesce(between, F.lit(""))).alias("text"),
+                )
+
+            return F.aggregate(run, state, step, lambda acc: acc["text"])
+
+        # A span that begins before the run's text lies in one that was met before.
+        return _once(F.substring(text, before + 1, F.greatest(F.element_at(run, -1)["start"] - before, F.lit(0))), of_part)
+
+    def of_runs(runs: Column) -> Column:
+        return F.array_join(F.zip_with(runs, _before(runs, lambda at, s: F.greatest(at, s["stop"])), of_run), "")
+
+    end = F.coalesce(F.array_max(F.transform(spans, lambda s: s["stop"])), F.lit(0).cast("bigint"))
     rest = F.length(text).cast("bigint")
-    return F.aggregate(
-        spans, state, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, rest))
-    )
+    return F.concat(_once(_runs(spans), of_runs), F.substring(text, end + 1, rest))
