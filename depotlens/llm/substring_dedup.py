@@ -129,12 +129,19 @@ def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unplaned(data, n, U64), dtype=U64)
 
 
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """floor(hash * ranges / 2**64), from the halves of the hash, for fewer than 2**31 ranges."""
+    high, low = hashes >> U64(32), hashes & U64(0xFFFFFFFF)
+    return (high * U64(ranges) + (low * U64(ranges) >> U64(32)) >> U64(32)).astype(np.int64)
+
+
 def _sender(width: int, ranges: int):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         batch = _Batch(table, width)
-        bounds = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], U64)
-        cuts = [0, *np.searchsorted(batch.distinct, bounds).tolist(), len(batch.distinct)]
-        found = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        # Only ranges that hashes of the batch fall in are visited, however many there are.
+        number, first = np.unique(_range_of(batch.distinct, ranges), return_index=True)
+        cuts = [*first.tolist(), len(batch.distinct)]
+        found = list(zip(number.tolist(), cuts, cuts[1:]))
         return pa.table(
             {
                 "hash_range": pa.array([i for i, _, _ in found], pa.int32()),

@@ -142,6 +142,33 @@ def brute_secrets(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
 
 
+def test_hash_ranges():
+    random = np.random.default_rng(8)
+    hashes = np.concatenate([random.integers(0, 1 << 64, 500, np.uint64), np.array([0, 1, (1 << 64) - 1, 1 << 63, (1 << 63) - 1], np.uint64)])
+    for ranges in (1, 2, 3, 7, 1000, 12_345_678, (1 << 31) - 1):
+        assert substring_dedup._range_of(hashes, ranges).tolist() == [int(h) * ranges >> 64 for h in hashes]
+
+
+def test_versions_that_differ_in_many_lines(spark):
+    """Thousands of digests go to groups of groups; the likeness stays exact."""
+    def lines(first, n):
+        return [f"line {i}" for i in range(first, first + n)]
+
+    texts_ = ["\n".join(lines(0, 9000)), "\n".join(lines(4000, 12_000)), "\n".join(lines(100_000, 500)), "\n".join(lines(100_000, 30))]
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    begun = time.monotonic()
+    found = {r.doc_id: r for r in fingerprints.fingerprint_edits(frame).collect()}
+    assert time.monotonic() - begun < 90
+    for i, text in enumerate(texts_):
+        after = texts_[(i + 1) % len(texts_)]
+        n = len(text) // 4
+        edited = text[: len(text) - n] + after[:n]
+        for name, other in (("near_next", after), ("near_edited", edited)):
+            one, two = set(text.split("\n")), set(other.split("\n"))
+            assert abs(found[i][name] - len(one & two) / len(one | two)) < 1e-12, (i, name)
+        assert (found[i].edited_open, found[i].next_open) == (0, 0)
+
+
 def test_secrets(table):
     found = secrets.scan(table).select("doc_id", secrets.joined(secrets.of_base(F.col("spans"))))
     same([tuple(r) for r in found.collect()], [(i, brute_secrets(t or "")) for i, t in texts(table)])
