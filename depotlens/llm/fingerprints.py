@@ -128,29 +128,47 @@ def _settled(peeled: Column, a: Column, b: Column) -> Column:
 
 
 def _retry(state: Column, attempt: int) -> Column:
-    """Compare what is left over in groups with a sketch each."""
+    """Compare what is left over in groups with a sketch each.
+
+    Digests are dealt to about as many neighbourhoods of groups as a neighbourhood has groups, then to the groups, so a
+    digest is looked at some 2 * sqrt(groups) times.
+    """
     total = (F.size(state["rest_a"]) + F.size(state["rest_b"])).cast("bigint")
     groups = F.greatest(F.lit(1 + attempt).cast("bigint"), F.ceil(total / F.lit(PER_GROUP)))
 
-    def part(digests: Column, g: Column) -> Column:
-        return F.filter(digests, lambda k: F.pmod(F.xxhash64(k, F.lit(100 + attempt)), groups) == g)
+    def in_groups(bound: Column) -> Column:
+        groups, wide = bound["groups"], bound["wide"]
+
+        def group_of(k: Column) -> Column:
+            return F.pmod(F.xxhash64(k, F.lit(100 + attempt)), groups)
+
+        def where(pair: Column, met: Callable[[Column], Column]) -> Column:
+            return F.struct(*[F.filter(pair[side], met).alias(side) for side in "ab"])
 
-    def one(g: Column) -> Column:
         def compared(pair: Column) -> Column:
             cells = _minus(_sketch(_items(pair["a"], attempt)), _sketch(_items(pair["b"], attempt)))
             return _bind(_peel(cells, attempt), lambda peeled: _settled(peeled, pair["a"], pair["b"]))
 
-        return _bind(F.struct(part(state["rest_a"], g).alias("a"), part(state["rest_b"], g).alias("b")), compared)
+        def neighbourhood(o: Column) -> Column:
+            own = F.sequence(o * wide, F.least((o + 1) * wide, groups) - 1)
+            near = where(bound, lambda k: F.floor(group_of(k) / wide) == o)
+            return _bind(near, lambda pair: F.transform(own, lambda g: _bind(where(pair, lambda k: group_of(k) == g), compared)))
 
-    none = F.array().cast("array<bigint>")
-    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), groups - 1), one)
-    return F.aggregate(
-        parts,
-        _result(state["plus"], state["minus"], none, none),
-        lambda acc, x: _result(
-            acc["plus"] + x["plus"], acc["minus"] + x["minus"], F.concat(acc["rest_a"], x["rest_a"]), F.concat(acc["rest_b"], x["rest_b"])
-        ),
-    )
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), F.ceil(groups / wide) - 1), neighbourhood))
+
+    wide = F.ceil(F.sqrt(groups))
+    dealt = F.struct(groups.alias("groups"), wide.alias("wide"), state["rest_a"].alias("a"), state["rest_b"].alias("b"))
+
+    def summed(parts: Column) -> Column:
+        def told(name: str) -> Column:
+            return F.aggregate(parts, state[name], lambda acc, x: acc + x[name])
+
+        def left(name: str) -> Column:
+            return F.flatten(F.transform(parts, lambda x: x[name]))
+
+        return _result(told("plus"), told("minus"), left("rest_a"), left("rest_b"))
+
+    return _bind(_bind(dealt, in_groups), summed)
 
 
 def with_difference(df: DataFrame, a: str, b: str, sketch_a: str, sketch_b: str, name: str) -> DataFrame:
