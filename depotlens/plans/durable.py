@@ -11,12 +11,17 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
     ``spark.checkpoint.dir`` names it; a session without one uses a sub-folder of its table
-    storage (``spark.sql.warehouse.dir``). A machine-local folder is never chosen.
+    storage (``spark.sql.warehouse.dir``). Spark's own default for that is a folder of the
+    driver's machine, which executors elsewhere cannot read: on a cluster it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    one_machine = spark.conf.get("spark.master", "local").split("[")[0] == "local"
+    if not one_machine and warehouse.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_intermediate"
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -5,66 +5,214 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _TYPES = {
-    "s": T.StringType(),
-    "l": T.LongType(),
-    "i": T.IntegerType(),
-    "d": T.DoubleType(),
-    "b": T.BooleanType(),
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
     "date": T.DateType(),
-    "ts": T.TimestampType(),
+    "timestamp": T.TimestampType(),
 }
 
 
-def _struct(spec: str) -> T.StructType:
-    """``"id:l name:s"`` -> StructType; every column is nullable."""
-    fields = (item.split(":") for item in spec.split())
-    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in fields])
+def _struct(**columns: str) -> T.StructType:
+    """Column names and Spark type names; every column is nullable."""
+    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in columns.items()])
 
 
+# Names and types of the tables' columns.
 WAREHOUSES = _struct(
-    "id:l name:s code:s address:s city:s country:s phone:s email:s manager:s totalArea:d usedArea:d "
-    "status:s type:s rentalPrice:d notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    name="string",
+    code="string",
+    address="string",
+    city="string",
+    country="string",
+    phone="string",
+    email="string",
+    manager="string",
+    totalArea="double",
+    usedArea="double",
+    status="string",
+    type="string",
+    rentalPrice="double",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
 )
 LOCATIONS = _struct(
-    "id:l warehouseId:l code:s name:s type:s area:d capacity:d status:s notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    warehouseId="bigint",
+    code="string",
+    name="string",
+    type="string",
+    area="double",
+    capacity="double",
+    status="string",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
+)
+UOMS = _struct(
+    id="bigint",
+    name="string",
+    code="string",
+    description="string",
+    isActive="boolean",
 )
-UOMS = _struct("id:l name:s code:s description:s isActive:b")
 PRODUCTS = _struct(
-    "id:l name:s sku:s description:s manufacturer:s category:s uomId:l warehouseId:l locationId:l "
-    "minStock:d maxStock:d unitPrice:d notes:s isActive:b createdAt:ts updatedAt:ts"
+    id="bigint",
+    name="string",
+    sku="string",
+    description="string",
+    manufacturer="string",
+    category="string",
+    uomId="bigint",
+    warehouseId="bigint",
+    locationId="bigint",
+    minStock="double",
+    maxStock="double",
+    unitPrice="double",
+    notes="string",
+    isActive="boolean",
+    createdAt="timestamp",
+    updatedAt="timestamp",
 )
 TRANSACTIONS = _struct(
-    "id:l type:s productId:l warehouseId:l locationId:l quantity:d unitPrice:d supplier:s customer:s "
-    "reference:s notes:s transactionDate:ts createdAt:ts updatedAt:ts"
+    id="bigint",
+    type="string",
+    productId="bigint",
+    warehouseId="bigint",
+    locationId="bigint",
+    quantity="double",
+    unitPrice="double",
+    supplier="string",
+    customer="string",
+    reference="string",
+    notes="string",
+    transactionDate="timestamp",
+    createdAt="timestamp",
+    updatedAt="timestamp",
 )
 CUSTOMERS = _struct(
-    "id:l name:s code:s contactPerson:s phone:s email:s address:s city:s country:s taxCode:s "
-    "creditLimit:d status:s notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    name="string",
+    code="string",
+    contactPerson="string",
+    phone="string",
+    email="string",
+    address="string",
+    city="string",
+    country="string",
+    taxCode="string",
+    creditLimit="double",
+    status="string",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
 )
 INVOICES = _struct(
-    "id:l invoiceNumber:s customerId:l invoiceDate:date dueDate:date subtotal:d taxRate:d taxAmount:d "
-    "total:d status:s notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    invoiceNumber="string",
+    customerId="bigint",
+    invoiceDate="date",
+    dueDate="date",
+    subtotal="double",
+    taxRate="double",
+    taxAmount="double",
+    total="double",
+    status="string",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
+)
+INVOICE_ITEMS = _struct(
+    id="bigint",
+    invoiceId="bigint",
+    productId="bigint",
+    quantity="double",
+    unitPrice="double",
+    total="double",
+    notes="string",
 )
-INVOICE_ITEMS = _struct("id:l invoiceId:l productId:l quantity:d unitPrice:d total:d notes:s")
 MAINTENANCE_PLANS = _struct(
-    "id:l warehouseId:l title:s description:s type:s priority:s plannedDate:date estimatedDuration:i "
-    "estimatedCost:d responsibleStaff:s status:s notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    warehouseId="bigint",
+    title="string",
+    description="string",
+    type="string",
+    priority="string",
+    plannedDate="date",
+    estimatedDuration="int",
+    estimatedCost="double",
+    responsibleStaff="string",
+    status="string",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
 )
 MAINTENANCE_PROGRESS = _struct(
-    "id:l planId:l status:s progressPercent:i actualStartDate:date actualEndDate:date actualCost:d "
-    "notes:s updatedBy:s updatedAt:ts"
+    id="bigint",
+    planId="bigint",
+    status="string",
+    progressPercent="int",
+    actualStartDate="date",
+    actualEndDate="date",
+    actualCost="double",
+    notes="string",
+    updatedBy="string",
+    updatedAt="timestamp",
 )
 # ``notes`` is declared although the original table lacks it: its writers set it.
 INCIDENTS = _struct(
-    "id:l warehouseId:l title:s description:s type:s severity:s reportedAt:ts reporter:s phone:s "
-    "status:s action:s resolvedAt:ts resolvedBy:s notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    warehouseId="bigint",
+    title="string",
+    description="string",
+    type="string",
+    severity="string",
+    reportedAt="timestamp",
+    reporter="string",
+    phone="string",
+    status="string",
+    action="string",
+    resolvedAt="timestamp",
+    resolvedBy="string",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
 )
 MAINTENANCE_STAFF = _struct(
-    "id:l name:s code:s position:s specialty:s phone:s email:s status:s notes:s createdAt:ts updatedAt:ts"
+    id="bigint",
+    name="string",
+    code="string",
+    position="string",
+    specialty="string",
+    phone="string",
+    email="string",
+    status="string",
+    notes="string",
+    createdAt="timestamp",
+    updatedAt="timestamp",
+)
+SKUS = _struct(
+    id="string",
+    productId="string",
+    skuCode="string",
+    barcode="string",
+    isDefault="boolean",
 )
-SKUS = _struct("id:s productId:s skuCode:s barcode:s isDefault:b")
 CONTRACTS = _struct(
-    "id:s code:s customerCode:s customerName:s type:s value:d startDate:s endDate:s status:s description:s"
+    id="string",
+    code="string",
+    customerCode="string",
+    customerName="string",
+    type="string",
+    value="double",
+    startDate="string",
+    endDate="string",
+    status="string",
+    description="string",
 )
 
 # Browser documents: one row per stock slip, its lines nested.

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pytest
 from helpers import by, rows
 from pyspark.sql import functions as F
 
 from depotlens.functions.dates import week_label
 from depotlens.functions.numbers import exact_sum, percent, round_half_up
 from depotlens.operators import billing, catalog, dashboard, ledger, maintenance, reports
+from depotlens.plans.durable import shared_folder
 
 ENTRY = (
     "id long, type string, productId long, warehouseId long, locationId long, quantity double, unitPrice double, "
@@ -204,3 +206,24 @@ def test_large_invoices_are_nested_in_parts(spark, seed):
     assert sorted((r["id"], r["part"], r["n"]) for r in sizes if r["id"] != 1) == [(2, 0, 5), (3, 0, 0)]
     whole = by(billing.invoice_document(tables), "id", "part", "items")
     assert len(whole[1][1]) == 95 and whole[1][1][0]["productSku"] is not None
+
+
+class Settings:
+    """As much of a session as tells where intermediate tables go."""
+
+    def __init__(self, **settings):
+        self.settings = {name.replace("_", "."): value for name, value in settings.items()}
+        self.conf = self
+
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
+
+
+def test_intermediate_tables_go_to_shared_folders():
+    local = {"spark_master": "local[4]", "spark_sql_warehouse_dir": "file:/work/warehouse"}
+    cluster = {**local, "spark_master": "yarn"}
+    assert shared_folder(Settings(**local)) == "file:/work/warehouse/_intermediate"
+    assert shared_folder(Settings(**cluster, spark_checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
+    assert shared_folder(Settings(**{**cluster, "spark_sql_warehouse_dir": "hdfs:///w"})) == "hdfs:///w/_intermediate"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Settings(**cluster))
