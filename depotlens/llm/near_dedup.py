@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from depotlens.llm.substring_dedup import MULTIPLIER, U64, _mixed, hash_words, split_words, window_hashes
 from depotlens.llm.workers import reachable
 from depotlens.plans.durable import materialize
+from depotlens.plans.lookups import lookup_skewed
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -241,13 +242,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     chosen = texts.join(sides, F.col("doc_id") == F.col("node")).select("node", "text").dropDuplicates(["node"])
     sets = materialize(chosen.mapInArrow(_shingle_sets, "node bigint, shingles binary, n int"), "shingles")
     labels = _settle(buckets, sets, similarity)
-    own = signed.select("doc_id", "digest").join(members.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
-    node = F.coalesce("node", "doc_id")
-    classed = (
-        own.select("doc_id", node.alias("node"))
-        .join(labels.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left")
-        .select("doc_id", F.coalesce("label", "node").alias("class_id"))
-    )
+    # Classes of digests first, one row each; then one look-up for all rows, copies of one text in place.
+    named = members.join(labels.select(F.col("node").alias("_node"), "label"), F.col("node") == F.col("_node"), "left")
+    classes = named.select(F.col("digest").alias("id"), F.coalesce("label", "node").alias("class_id"))
+    met = lookup_skewed(signed.select("doc_id", "digest"), classes, "digest", class_id="class_id")
+    classed = met.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return classed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 

@@ -625,6 +625,43 @@ def test_languages(documents, docs):
         assert 0 <= r.score <= 1 and ((r.lang_pred == "und") == (r.doc_id in (5, 6, 7)))
 
 
+def plain_probabilities(model, text):
+    """The network position by position, without tables."""
+    total = np.zeros(len(model.languages))
+    for begin in range(0, max(1, len(text)), language_id.WINDOW):
+        part = text[begin : begin + language_id.WINDOW]
+        seen = model.embedding[np.frombuffer(part.ljust(language_id.WINDOW, b"\0"), np.uint8)]
+        tops = [
+            max(sum(float(seen[at + k] @ f[k, :, i]) for k in range(width)) for at in range(language_id.POSITIONS))
+            for width, f in sorted(model.filters.items())
+            for i in range(f.shape[2])
+        ]
+        z = np.maximum(np.array(tops) + model.bias, 0) @ model.weights + model.offset
+        z = np.exp(z - z.max())
+        total += len(part) * z / z.sum()
+    return total / total.sum()
+
+
+def test_tables_of_filters_are_plain_convolutions(monkeypatch):
+    monkeypatch.setattr(language_id, "EPOCHS", 3)
+    samples = [f"{word} {i} " * 40 for i in range(12) for word in ("the words of one", "die anderen Wörter", "les mots français")]
+    model = language_id.train(samples, ["en", "de", "fr"] * 12)
+    tried = ["a", "kurz", "x" * 256, "Grüße " * 50, samples[0] + samples[1], "\x00\x01 \U0001f600"]
+    found = language_id.Classifier(model).classify([t.encode() for t in tried])
+    for row, text in zip(found, tried):
+        assert np.allclose(row, plain_probabilities(model, text.encode()), atol=1e-4)
+
+
+def test_a_hot_text_is_classed_like_any_other(spark):
+    """A third of the rows are one text, and many have no words; ids are NULL here and there."""
+    hot = " ".join(f"h{i}" for i in range(40))
+    rows = [(i, hot) for i in range(300)] + [(None, hot)] + [(300 + i, [None, "", " \n"][i % 3]) for i in range(300)]
+    rows += [(600 + i, " ".join(f"w{i // 2}x{j}" for j in range(60 + i % 2))) for i in range(300)]
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    expected = [(i, i if i is None or 300 <= i < 600 else 0 if i < 300 else i // 2 * 2) for i, _ in rows]
+    same([(r.doc_id, r.class_id) for r in found], expected)
+
+
 def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
     rows = [(i, f"text number {i} of one language" if i % 10 == 0 else "one hot text", "aa") for i in range(4000)]
     rows += [(i, f"andere texte {i}", "bb") for i in range(4000, 4100)]
