@@ -9,6 +9,7 @@ bytes, all windows of a text are classified in blocks, and their probabilities a
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,18 +187,19 @@ def draw(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list
     """Texts and labels: about ``per_language`` different whole texts for every value of ``lang``, the documented bound.
 
     Rows with NULL ``lang`` or text and held-out rows are never learned from. The sample is
-    drawn by a hash of the text, so it depends neither on the order of rows nor on how many copies a text has.
+    drawn by a hash of the text, so it depends neither on the order of rows nor on how many copies a text has. Training
+    takes ``WINDOWS_PER_TEXT`` windows of each text, drawn at random; prediction reads all windows.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     hashes = usable.select("lang", F.xxhash64("text", F.lit(11)).alias("hash")).distinct()
-    counts = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)
+    # One row for each label, and the model has a class for each.
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.count("*"))
+    shares = hashes.groupBy(F.col("lang").alias("_lang")).agg(share.alias("_share"))
     place = F.xxhash64("text", F.lit(11)).bitwiseAND(F.lit((1 << 30) - 1).cast("bigint"))
-    drawn = usable.withColumn("_place", place).filter(F.col("_place") < share * float(1 << 30))
+    placed = usable.select("lang", "text", place.alias("_place")).join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
+    drawn = placed.filter(F.col("_place") < F.col("_share") * F.lit(float(1 << 30)))
     rows = drawn.select("_place", "lang", "text").dropDuplicates(["lang", "text"]).collect()
-    texts, labels, taken = [], [], dict.fromkeys(counts, 0)
+    texts, labels, taken = [], [], Counter()
     for row in sorted(rows, key=lambda r: (r["lang"], r["_place"], r["text"])):
         if taken[row["lang"]] < per_language:
             taken[row["lang"]] += 1
@@ -242,7 +244,8 @@ def fit_with_reject(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
 
     Its limit is calibrated on a quarter of the labelled texts, which are not learned from then: as they are, cut
     short, mixed in pairs and in capitals, none of them is rejected, and half of what is left to certainty is kept
-    as a margin. With too few labelled texts to calibrate nothing is rejected.
+    as a margin. A short text tells too little of what it is, so texts under ``LEAST_BYTES`` bytes are never rejected, and neither
+    is any text if fewer than ``LEAST_CALIBRATION`` labelled ones are there to calibrate with.
     """
     texts, labels = draw(docs, per_language)
     kept = [i for i in range(len(texts)) if i % 4 != 3]
