@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ MAX_DARTS_IN_CELL = 24
 BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 400_000
 COLUMNS = 4096
+#: Text that a task turns into shingles at a time.
+SLICE_BYTES = 1 << 20
 
 _poisson = {}
 
@@ -134,11 +137,23 @@ def band_hashes(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``SLICE_BYTES`` of text, so that long texts are held few at a time; one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and (i - begin == most or held + size > SLICE_BYTES):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows to id, digest of the set of shingles and bands."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
+        for part in _slices(batch, 256):
             found = [shingles(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
             digest = [xxhash.xxh3_128_digest(e.tobytes()) if len(e) else None for e, _ in found]
             bands: list[np.ndarray | None] = [None] * len(found)
@@ -156,8 +171,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin in range(0, batch.num_rows, 1024):
-            part = batch.slice(begin, 1024)
+        for part in _slices(batch, 1024):
             found = [shingles(t)[0] for t in part.column("text").cast(pa.binary()).to_pylist()]
             yield pa.record_batch(
                 {
@@ -172,8 +186,9 @@ def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+            for a, b in zip(batch.column("sa"), batch.column("sb")):
+                # Views of the batch: pairs of long texts are not copied.
+                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

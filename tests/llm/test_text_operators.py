@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -652,6 +653,17 @@ def test_tables_of_filters_are_plain_convolutions(monkeypatch):
         assert np.allclose(row, plain_probabilities(model, text.encode()), atol=1e-4)
 
 
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_slices_hold_all_rows_in_order(monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "SLICE_BYTES", 10)
+    given = ["", None, "abc", "x" * 50, "ä" * 5, "ab", "cd", None, "abcdefgh", "abcdefgh"]
+    batch = pa.record_batch({"text": pa.array(given, pa.string())})
+    held = [part.column("text").to_pylist() for part in near_dedup._slices(batch, most)]
+    assert [t for part in held for t in part] == given and all(held)
+    assert all(len(part) <= most and (len(part) == 1 or sum(len((t or "").encode()) for t in part) <= 10) for part in held)
+    assert list(near_dedup._slices(batch.slice(0, 0), most)) == []
+
+
 def test_a_hot_text_is_classed_like_any_other(spark):
     """A third of the rows are one text, and many have no words; ids are NULL here and there."""
     hot = " ".join(f"h{i}" for i in range(40))
