@@ -18,6 +18,8 @@ LENGTH = 3
 #: So many candidates are looked up by value, which reaches the scan; more are joined.
 LISTED = 1000
 SCHEMA = "gram string, id {kind}"
+#: Rows whose runs one task takes; a row has some dozens of runs. Tasks grow in number with the table, not in size.
+ROWS_A_TASK = 20_000
 
 
 def folded(text: Column) -> Column:
@@ -31,12 +33,23 @@ def grams(text: Column) -> Column:
     return F.when(F.length(text) >= LENGTH, F.array_distinct(runs))
 
 
+def postings(table: DataFrame, columns: Sequence[str], key: str = "id", shares: int = 1) -> DataFrame:
+    """A row for each run and id whatever the number of columns that hold it.
+
+    The runs of each row are dealt by id in ``shares`` before repeats are dropped: a task that read a whole small file
+    would otherwise hold all of them, and shares sized by shuffled bytes are not, since runs compress well.
+    """
+    held = F.array_distinct(F.flatten(F.array(*[F.coalesce(grams(folded(F.col(c))), F.array().cast("array<string>")) for c in columns])))
+    dealt = table.select(F.col(key).alias("id"), held.alias("_runs")).repartition(shares, "id")
+    return dealt.select(F.explode("_runs").alias("gram"), "id").distinct()
+
+
 def build(table: DataFrame, columns: Sequence[str], path: str, key: str = "id") -> None:
     """Postings of the text columns of a table, a row for each run and id whatever the number of columns that hold it."""
-    held = F.array_distinct(F.flatten(F.array(*[F.coalesce(grams(folded(F.col(c))), F.array().cast("array<string>")) for c in columns])))
-    postings = table.select(F.explode(held).alias("gram"), F.col(key).alias("id")).distinct()
+    shares = max(1, -(-table.count() // ROWS_A_TASK))
     # Ranges over run and id: a run that most rows hold is spread over several files.
-    postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
+    rows = postings(table, columns, key, shares)
+    rows.repartitionByRange(shares, "gram", "id").sortWithinPartitions("gram", "id").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:

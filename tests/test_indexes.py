@@ -80,3 +80,15 @@ def test_keys_that_are_no_numbers(spark):
     ids = distinct.numbered(rows, "code")
     state = distinct.bit_maps(rows.join(ids, "code", "left"), "number", {"day": F.col("day")})
     assert {r.day: r.n for r in distinct.counts(state, ["day"], "n").collect()} == {1: 2, 2: 1}
+
+
+def test_postings_are_dealt_by_rows_not_by_one_scan(spark, tmp_path, monkeypatch):
+    """Runs of a table read by one task are taken in shares that grow in number with its rows, each run and id once."""
+    monkeypatch.setattr(search_index, "ROWS_A_TASK", 2)
+    rows = spark.createDataFrame([(i % 9, f"name {i}") for i in range(10)], "id bigint, name string").coalesce(1)
+    search_index.build(rows, ["name"], str(tmp_path / "postings"))
+    written = search_index.read(spark, str(tmp_path / "postings"))
+    want = {(text[j : j + 3], i % 9) for i, text in ((i, f"name {i}") for i in range(10)) for j in range(len(text) - 2)}
+    assert {(r["gram"], r["id"]) for r in written.collect()} == want
+    assert written.count() == len(want)
+    assert len(list((tmp_path / "postings").glob("*.parquet"))) == 5
