@@ -67,6 +67,16 @@ class Encoder:
         for token, i in vocabulary.items():
             if token.replace("Ċ", "\n").endswith(SENTENCE_ENDS):
                 self.ends_sentence[i] = True
+        # Byte-level tokens show one character for each byte; then a token's bytes are its length.
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        alphabet = set(ByteLevel.alphabet())
+        special_ids = {self.tokenizer.token_to_id(t) for t in special}
+        self.token_bytes = None
+        if all(set(token) <= alphabet for token, i in vocabulary.items() if i not in special_ids):
+            self.token_bytes = np.zeros(size, np.int64)
+            for token, i in vocabulary.items():
+                self.token_bytes[i] = len(token)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -94,9 +104,15 @@ class Encoder:
 
     def _learn_block(self, cache: dict[str, bytes], lead: str, words: list[str]) -> None:
         found = self.tokenizer.encode(lead + lead.join(words), add_special_tokens=False)
-        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
-        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ids = np.array(found.ids, "<u4")
+        if self.token_bytes is not None and len(lead.encode()) == 1:
+            # Starts in bytes: each word begins at its lead, the first token of the word.
+            sizes = self.token_bytes[ids]
+            starts = np.cumsum(sizes) - sizes
+            lengths = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1
+        else:
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets))
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         cuts = np.searchsorted(starts, np.cumsum(lengths) - lengths).tolist() + [len(ids)]
         for word, a, b in zip(words, cuts, cuts[1:]):
             cache[word] = ids[a:b].tobytes()
@@ -152,34 +168,33 @@ def choose_cuts(nodes: list[int], penalties: list[int], limit: int = LIMIT) -> l
     """
     powers = [1 << k for k in range(limit.bit_length()) if SMALLEST_POWER <= 1 << k < limit]
     place = [0, *nodes]
-    at = [-1] * (place[-1] + 1)
-    for i, p in enumerate(place):
-        at[p] = i
-    cost = [0] * len(place)
-    back = [0] * len(place)
-    queue = [0]  # indices with rising f(j) + j
-    keys = [0]
-    head = 0
-    for i in range(1, len(place)):
-        p = place[i]
-        while place[queue[head]] < p - limit:
+    n = len(place)
+    at = np.full(place[-1] + 1, -1, np.int64)
+    at[place] = np.arange(n)
+    # For each node, the node exactly a power before it (-1: none), in order of the powers.
+    ahead = np.array(place[1:], np.int64)
+    earlier = [np.where(ahead >= power, at[np.maximum(ahead - power, 0)], -1).tolist() for power in powers]
+    cost = [0] * n
+    back = [0] * n
+    # A monotone queue of nodes with rising f(j) + j, in slots head..top.
+    q_node, q_place, q_key = [0] * n, [0] * n, [0] * n
+    head = top = 0
+    for i, p, penalty, js in zip(range(1, n), nodes, penalties, zip(*earlier) if earlier else ((),) * (n - 1)):
+        low = p - limit
+        while q_place[head] < low:
             head += 1
-        best, source = keys[head] + limit - p, queue[head]
+        best, source = q_key[head] + limit - p, q_node[head]
         if best:
-            for power in powers:
-                if power > p:
-                    break
-                j = at[p - power]
+            for j in js:
                 if j >= 0 and cost[j] < best:
                     best, source = cost[j], j
-        best += penalties[i - 1]
+        best += penalty
         cost[i], back[i] = best, source
         key = best + p
-        while len(keys) > head and keys[-1] >= key:
-            keys.pop()
-            queue.pop()
-        keys.append(key)
-        queue.append(i)
+        while top >= head and q_key[top] >= key:
+            top -= 1
+        top += 1
+        q_node[top], q_place[top], q_key[top] = i, p, key
     cuts = []
     i = len(place) - 1
     while i:

@@ -706,3 +706,15 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(name, docs):
     assert OPERATORS[name](docs.filter("doc_id > 1000")).collect() == []
+
+
+def test_packing_words_learned_by_bytes():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    coder = packing.Encoder(TOKENIZER)
+    assert coder.token_bytes is not None
+    texts = ["café naïve 東京 tōkyō, ok.", "Ünïcode wörds\nnew línea! 🙂🙂 x", "a b\nc", None, "", "x  y", "日本語です。 end?"]
+    found = coder.encode_all(texts)
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
