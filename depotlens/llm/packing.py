@@ -13,7 +13,8 @@ transition for each power from 256 on.
 
 Words are tokenized once: byte-level BPE never joins over a white-space boundary, so the ids
 of a text whose words are separated by single spaces or line feeds are those of its words,
-kept in a bounded cache. Any other text is given to the tokenizer whole.
+kept in a bounded cache. Any other text is given to the tokenizer whole. A batch of texts is split
+into words by Arrow; only its distinct words are looked up in Python, and numpy gathers their ids.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,9 @@ class Encoder:
         self.lined: dict[str, bytes] = {}
         newline = self.whole("\n")
         self.newline_bytes = len(newline)
+        # Texts that str.split() would not give back by single spaces and line feeds go to the tokenizer whole.
+        other = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")
+        self.not_by_words = f"^[ \n]|[ \n]$|[ \n][ \n]|[{other}]"
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
         self.ends_sentence = np.zeros(size, bool)
@@ -151,6 +156,63 @@ class Encoder:
         return out
 
 
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, as ``encode_all`` gives them, with the per-word work done on distinct words."""
+        n = len(texts)
+        by_words = pc.fill_null(pc.and_(pc.greater(pc.utf8_length(texts), 0), pc.invert(pc.match_substring_regex(texts, self.not_by_words))), False)
+        for token in self.special:
+            by_words = pc.and_(by_words, pc.invert(pc.fill_null(pc.match_substring(texts, token), False)))
+        mask = by_words.to_numpy(zero_copy_only=False)
+        chosen = np.flatnonzero(mask)
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * n
+        if len(chosen) < n:
+            for i in np.flatnonzero(~mask).tolist():
+                text = texts[i].as_py()
+                if text:
+                    out[i] = np.frombuffer(self.whole(text), "<u4")
+        if not len(chosen):
+            return out
+        fast = texts.take(pa.array(chosen))
+        # Lines, then words; the first word of a line follows a line feed, any other one a space.
+        lines = pc.split_pattern(fast, "\n")
+        split = pc.split_pattern(lines.flatten(), " ")
+        words = split.flatten()
+        starts = split.offsets.to_numpy()
+        starts = starts - starts[0]
+        bounds = starts[lines.offsets.to_numpy() - lines.offsets.to_numpy()[0]]
+        lined = np.zeros(len(words), bool)
+        lined[starts[:-1]] = True
+        codes = np.empty(len(words), np.int64)
+        chunks, sizes, base = [], [], 0
+        for cache, lead, mask in ((self.lined, "\n", lined), (self.spaced, " ", ~lined)):
+            part = words.filter(pa.array(mask))
+            distinct = pc.unique(part)
+            codes[mask] = pc.index_in(part, value_set=distinct).to_numpy() + base
+            known = distinct.to_pylist()
+            found = list(map(cache.get, known))
+            new = {w for w, b in zip(known, found) if b is None}
+            if new:
+                if len(cache) + len(new) > CACHE_WORDS:
+                    cache.clear()
+                    new = set(known)
+                self._learn(cache, lead, new)
+                found = list(map(cache.__getitem__, known))
+            chunks += found
+            sizes += map(len, found)
+            base += len(known)
+        flat = np.frombuffer(b"".join(chunks), "<u4")
+        size = np.array(sizes, np.int64) >> 2
+        begin = np.cumsum(size) - size
+        lengths = size[codes]
+        ends = np.cumsum(lengths)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[codes] - (ends - lengths), lengths)]
+        at = np.concatenate(([0], ends))[bounds].tolist()
+        skip = self.newline_bytes >> 2
+        for i, a, b in zip(chosen.tolist(), at, at[1:]):
+            out[i] = ids[a + skip : b]
+        return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -253,12 +315,12 @@ def _packer(path: str, limit: int, run_tokens: int, with_ids: bool):
             held, tokens = [], 0
             return batch
 
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                texts = part.column("text").to_pylist()
-                for doc_id, data in zip(part.column("doc_id").to_pylist(), coder.encode_all(texts)):
-                    held.append((doc_id, np.frombuffer(data + END_ID.to_bytes(4, "little"), "<u4")))
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), coder.encode_batch(part.column("text"))):
+                    held.append((doc_id, np.concatenate((data, end))))
                     tokens += len(held[-1][1])
                     if tokens >= run_tokens:
                         yield flush()

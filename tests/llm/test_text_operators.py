@@ -718,3 +718,20 @@ def test_packing_words_learned_by_bytes():
     found = coder.encode_all(texts)
     for text, ids in zip(texts, found):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_packing_batch_encoder_matches_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    coder = packing.Encoder(TOKENIZER)
+    texts = [
+        "café naïve 東京 tōkyō, ok.", "Ünïcode wörds\nnew línea! 🙂🙂 x", "a b\nc", None, "", "x  y", " lead", "trail ", "a\n\nb", "\n",
+        "a\tb", "a\xa0b", "x <|endoftext|> y", "one", "end.\nNext! again,\nfin?", "a b a b a",
+    ]
+    found = coder.encode_batch(pa.array(texts, pa.string()))
+    assert len(found) == len(texts)
+    for text, ids in zip(texts, found):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert [x.tolist() for x in coder.encode_batch(pa.array(texts, pa.string()))] == [x.tolist() for x in found]
